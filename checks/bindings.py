@@ -135,7 +135,7 @@ DOC_TITLES = Binding("titles", "documents", {
     "id": "'tmdb_' || doc_id", "tmdb_id": "doc_id", "title": "lang || ' ' || source",
     "release_date": "TIMESTAMP '2023-09-01 00:00:00' + INTERVAL '1' DAY * CAST(doc_id % 200 AS INT)",
     "overview": "CASE WHEN doc_id % 2 = 0 THEN '' ELSE source END",
-    "popularity": "CAST(n_chars AS DOUBLE)",
+    "popularity": "CAST(n_chars AS DOUBLE)", "poster_url": "CAST(NULL AS STRING)",
 }, schemas.CANDIDATES)
 
 STORED_EVENTS = Binding("stored_events", "events", {
