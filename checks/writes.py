@@ -24,7 +24,7 @@ WRITTEN_SQL = "'2024-05-01T00:00:00Z'"
 
 
 def new_store(spark):
-    return TableStore(spark, work_path(spark, "store"), buckets=16)
+    return TableStore(spark, work_path(spark, "store"), buckets=4)
 
 
 def movie_columns(movies):

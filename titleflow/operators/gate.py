@@ -35,6 +35,11 @@ QUEUED, ON_COOLDOWN, NOT_FOUND = "queued", "cooldown", "not_found"
 ACCEPTED = "movie_id string, micros bigint"
 
 
+def _window(micros: Column, length: int = COOLDOWN) -> Column:
+    """Number of the time window; exact, also for times before 1970."""
+    return ((micros - F.pmod(micros, F.lit(length))) / length).cast("bigint")
+
+
 def accepted_times(
     distinct_times: DataFrame, cooldown: int = COOLDOWN, hot_requests: int = HOT_REQUESTS,
     cell: int = CELL,
@@ -70,8 +75,7 @@ def _fold(times: DataFrame, cooldown: int) -> DataFrame:
 def _split_chain(times: DataFrame, cooldown: int, cell: int) -> DataFrame:
     """Accepted times of titles that are too large for one group."""
     placed = times.withColumns({
-        "window": F.floor(F.col("micros") / cooldown),
-        "column": F.floor(F.pmod("micros", F.lit(cooldown)) / cell),
+        "column": _window(F.pmod("micros", F.lit(cooldown)), cell),
     })
     follow, walk, trace = _column_functions(cooldown, cell)
     groups = ["movie_id", "column"]
@@ -193,15 +197,29 @@ def _decisions(asked: DataFrame, accepted: DataFrame) -> DataFrame:
     the governing one is in the request's window or in the window before: an equi-join
     with one match, on a key that splits large titles by time.
     """
-    window = F.floor(F.col("micros") / COOLDOWN)
-    hit = F.struct("micros", "accepted_id")
-    here = accepted.select("movie_id", window.alias("window"), hit.alias("here"))
-    before = accepted.select("movie_id", (window + 1).alias("window"), hit.alias("before"))
-    governing = here.join(before, ["movie_id", "window"], "full")
-    at = F.when(F.col("here.micros") <= F.col("micros"), F.col("here")).otherwise(F.col("before"))
+    window = _window(F.col("micros"))
+    hit = F.struct("micros", F.col("accepted_id").alias("id"))
+    none = F.lit(None)
+    placed = F.array(
+        F.struct(window.alias("window"), hit.alias("here"), none.alias("before")),
+        F.struct((window + 1).alias("window"), none.alias("here"), hit.alias("before")),
+    )
+    governing = (
+        accepted.select("movie_id", F.inline(placed))
+        .groupBy("movie_id", "window")
+        .agg(*[
+            F.max(f"{which}.{field}").alias(f"{which}_{field}")
+            for which in ("here", "before") for field in ("micros", "id")
+        ])
+    )
+    covered = F.col("here_micros") <= F.col("micros")
+    at = F.struct(*[
+        F.when(covered, F.col(f"here_{field}")).otherwise(F.col(f"before_{field}")).alias(field)
+        for field in ("micros", "id")
+    ])
     last = F.coalesce(F.col("__at.micros"), F.col("prior"))
     is_accepted = (F.col("__at.micros") == F.col("micros")) & (
-        F.col("__at.accepted_id") == F.col("request_id")
+        F.col("__at.id") == F.col("request_id")
     )
     status = (
         F.when(F.col("known").isNull(), NOT_FOUND)
@@ -220,7 +238,8 @@ def _decisions(asked: DataFrame, accepted: DataFrame) -> DataFrame:
             F.when(waits, dates.cooldown_remaining(F.timestamp_micros("__last"), F.col("requested_at"))),
         )
         .withColumn("accepted_at", F.when(~F.col("known").isNull(), F.timestamp_micros("__last")))
-        .drop("window", "here", "before", "__at", "__last", "micros", "known", "prior")
+        .select(*[c for c in asked.columns if c not in ("micros", "known", "prior")],
+                "status", "retry_after_hours", "accepted_at")
     )
 
 

@@ -35,11 +35,15 @@ Ensure the output is ONLY valid raw JSON with no Markdown markdown codeblock wra
 
 
 def clean_reviews(reviews: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Cleaned contents; reviews with fewer than ``min_words`` words left are dropped."""
+    """Cleaned contents; reviews with fewer than ``min_words`` words left are dropped.
+
+    The cleaned text comes out of a generator: the optimizer does not push the filter
+    below it, so every text is cleaned once and not again for the filter.
+    """
     min_words = min_words if min_words > 0 else MIN_WORDS
-    cleaned = reviews.withColumn(
-        "content", text.clean_text(F.coalesce("content", F.lit("")))
-    )
+    once = F.array(text.clean_text(F.coalesce("content", F.lit(""))))
+    columns = [F.explode(once).alias(c) if c == "content" else F.col(c) for c in reviews.columns]
+    cleaned = reviews.select(*columns)
     return cleaned.filter(text.has_words(F.col("content"), min_words))
 
 

@@ -75,8 +75,9 @@ class TableStore:
             self.bucket_of(key).alias("bucket"),
         )
         nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields[:-1]]
-        markers = self.spark.createDataFrame([(b,) for b in touched], "bucket int").select(
-            *nothing, "bucket"
+        bucket = F.col("id").cast("int")
+        markers = self.spark.range(self.buckets).filter(bucket.isin(touched)).select(
+            *nothing, bucket.alias("bucket")
         )
         (
             rows.unionByName(markers)
