@@ -115,7 +115,9 @@ def jn11(spark, d):
 
 FILL = f"""{PLANNED},
 walk AS (SELECT *, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM planned),
-work AS (SELECT id, rank FROM walk WHERE action <> 'skip' ORDER BY rank LIMIT 250)"""
+work AS (SELECT id, rank FROM walk WHERE action <> 'skip' ORDER BY rank LIMIT 250),
+skips AS (SELECT count(*) AS n FROM walk WHERE action = 'skip'
+    AND (rank < (SELECT max(rank) FROM work) OR (SELECT count(*) FROM work) < 250))"""
 
 
 def ranked(spark, d):
@@ -132,14 +134,14 @@ def win6(spark, d):
 
 @query("win6_batch_counts", f"""
 {FILL} SELECT (SELECT count(*) FROM walk) AS discovered,
-    (SELECT count(*) FROM walk WHERE action = 'skip' AND rank < (SELECT max(rank) FROM work)) AS skipped""")
+    (SELECT n FROM skips) AS skipped""")
 def win6_counts(spark, d):
     return candidates.fill_batch(ranked(spark, d), 250).counts
 
 
 @query("agg8_run_counters", f"""
 {FILL} SELECT (SELECT count(*) FROM walk) AS discovered, count(*) FILTER (WHERE rank % 2 = 0) AS processed,
-    (SELECT count(*) FROM walk WHERE action = 'skip' AND rank < (SELECT max(rank) FROM work)) AS skipped,
+    (SELECT n FROM skips) AS skipped,
     count(*) FILTER (WHERE rank % 2 = 1) AS failed
 FROM (SELECT id, CAST(substring(id, 6) AS BIGINT) AS rank FROM work)""")
 def agg8(spark, d):

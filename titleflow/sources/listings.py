@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from titleflow import schemas
 from titleflow.functions import dates, movies
@@ -13,13 +14,21 @@ MAX_LISTING_PAGES = 5
 
 
 def read_payloads(
-    spark: SparkSession, path: str, schema, multi_line: bool = False
+    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False
 ) -> DataFrame:
-    """JSON payloads, one per line, or one per file with ``multi_line``.
+    """JSON payloads, one per line, or one per file with ``multi_line``."""
+    return parse_payloads(spark.read.text(path, wholetext=multi_line), schema)
 
-    A payload that does not parse keeps its text in ``_corrupt_record``.
+
+def parse_payloads(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """Payloads of a ``value`` column.
+
+    A payload that does not parse keeps its text in ``_corrupt_record``, whichever
+    columns a query needs: the whole schema decides, not the columns read.
     """
-    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    parsed = F.from_json("value", schema, options)
+    return lines.filter(F.trim("value") != "").select(parsed.alias("payload")).select("payload.*")
 
 
 def well_formed(payloads: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ FEED = "letterboxd"
 FEED_AUTHOR = "Letterboxd User"
 FEED_ITEMS = 10
 
+FEED_OPTIONS = {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "false"}
+
 
 def forum_reviews(payloads: DataFrame, max_posts: int = FORUM_POSTS) -> DataFrame:
     """Reviews of forum search payloads: the first posts of each search, adult ones dropped."""
@@ -41,14 +43,14 @@ def forum_reviews(payloads: DataFrame, max_posts: int = FORUM_POSTS) -> DataFram
 def read_feeds(spark: SparkSession, path: str) -> DataFrame:
     """``(movie_id, xml)``: one landed file per feed below ``movie_id=...`` folders."""
     return (
-        spark.read.option("wholetext", True).text(path)
+        spark.read.text(path, wholetext=True)
         .select(F.col("movie_id").cast("string").alias("movie_id"), F.col("value").alias("xml"))
     )
 
 
 def feed_reviews(feeds: DataFrame, max_items: int = FEED_ITEMS) -> DataFrame:
     """Reviews of RSS feeds: the first items, numbered by position."""
-    channel = F.from_xml("xml", schemas.FEED.simpleString(), {"ignoreNamespace": "true"})["channel"]
+    channel = F.from_xml("xml", schemas.FEED.simpleString(), FEED_OPTIONS)["channel"]
     item = F.col("item")
     return (
         feeds.select("movie_id", F.posexplode(channel["item"]).alias("pos", "item"))

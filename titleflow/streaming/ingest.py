@@ -12,17 +12,15 @@ from titleflow.functions.dates import Moment
 from titleflow.operators import candidates, joins
 from titleflow.plans.catalog_sync import catalog_sync
 from titleflow.sinks.store import TableStore
+from titleflow.sources.listings import parse_payloads
 
 _STOP = "page limit of this run reached"
 
 
 def page_stream(spark: SparkSession, path: str, pages_per_batch: int) -> DataFrame:
-    """Landed pages, one file per page, oldest first."""
-    return (
-        spark.readStream.schema(schemas.LISTING_PAGE)
-        .option("maxFilesPerTrigger", pages_per_batch)
-        .json(path)
-    )
+    """Landed pages, one per line, a file after the other by age."""
+    lines = spark.readStream.option("maxFilesPerTrigger", pages_per_batch).text(path)
+    return parse_payloads(lines, schemas.LISTING_PAGE)
 
 
 def run_available(
