@@ -12,6 +12,7 @@ def spark():
     from titleflow.session import configure
 
     spark = session(4)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
     yield configure(spark)
     spark.stop()
 

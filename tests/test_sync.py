@@ -53,30 +53,49 @@ def summaries(store):
     return {r.movie_id: r for r in store.read("movie_summaries").collect()}
 
 
-def test_stale_title_with_a_summary_gets_metadata_only(spark, store):
-    stored(spark, store, (1, 25, 90))
-    def never(prompt):
-        raise AssertionError("called")
-    outcome = rs.review_sync(store, inputs(spark, [candidate(1, 99.0)], ["tmdb_1"], never), NOW, 10)
-    assert counters(outcome) == {"discovered": 1, "processed": 1, "skipped": 0, "failed": 0}
-    assert (movies(store)[1].title, movies(store)[1].last_updated, movies(store)[1].imdb_score) == ("T1", NOW, None)
-    assert summaries(store)["tmdb_1"].audience_consensus == "old"
+def replying():
+    """Fails for Broken, answers badly for Fenced, must not be asked for Silent or Stale."""
+    def replies(prompt):
+        import json
 
+        assert "Silent" not in prompt and "Stale" not in prompt
+        if "Broken" in prompt:
+            raise RuntimeError("no answer")
+        if "Fenced" in prompt:
+            return "```json {}```"
+        return json.dumps({"overall_sentiment": 85, "pros": ["p"], "audience_consensus": "new"})
 
-def test_fresh_title_is_skipped(spark, store):
-    stored(spark, store, (1, 1, 90))
-    outcome = rs.review_sync(store, inputs(spark, [candidate(1, 99.0)]), NOW, 10)
-    assert counters(outcome) == {"discovered": 1, "processed": 0, "skipped": 1, "failed": 0}
-    assert movies(store)[1].title == "Old1"
+    return replies
 
 
-def test_new_title_gets_a_summary(spark, store):
-    outcome = rs.review_sync(store, inputs(spark, [candidate(1, 99.0)], ["tmdb_1"]), NOW, 10)
-    assert counters(outcome)["processed"] == 1
-    row = summaries(store)["tmdb_1"]
-    assert (row.overall_sentiment, row.audience_consensus, row.review_count) == (85, "new", 1)
-    assert [(r.type, r.content) for r in store.read("movie_points").collect()] == [("pro", "p")]
-    assert [r.genre for r in store.read("movie_genres").collect()] == ["Drama"]
+def test_one_run_over_titles_in_every_state(spark, store):
+    stored(spark, store, (1, 25, 90), (2, 1, 90), (8, 1, None))
+    names = {1: "Stale", 2: "Fresh", 3: "New", 4: "Broken", 5: "Silent", 6: "Fenced", 7: "Told", 8: "Unsummarised"}
+    titles = [candidate(i, 99.0 - i, name, "a plot" if i == 7 else "") for i, name in names.items()]
+    old = list(candidate(20, 99.0)); old[4] = dt.datetime(2026, 2, 8)
+    titles += [candidate(21, 19.99), tuple(old)]
+    details = spark.createDataFrame([(3, "tt3", ["A", "B"]), (1, "tt1", None)], "tmdb_id long, imdb_id string, genres array<string>")
+    ratings = spark.createDataFrame(
+        [("tt3", "x", "7.8", "84%"), (None, "Told", None, "50/100")], "imdb_id string, title string, imdb string, rotten_tomatoes string")
+    run = inputs(spark, titles, [f"tmdb_{i}" for i in (1, 2, 3, 4, 6, 8)], replying(), details=details, ratings=ratings)
+    outcome = rs.review_sync(store, run, NOW, 10)
+
+    assert counters(outcome) == {"discovered": 8, "processed": 5, "skipped": 1, "failed": 2}
+    assert {r.id: r.error.split(":")[0] for r in outcome.errors.collect()} == {
+        "tmdb_4": "LLM error for 'Broken'", "tmdb_6": "LLM error for 'Fenced'"}
+    found = {i: (r.title, r.imdb_id, r.imdb_score, r.rotten_tomatoes) for i, r in movies(store).items()}
+    assert found == {
+        1: ("Stale", "tt1", None, None), 2: ("Old2", None, 5.0, 50), 3: ("New", "tt3", 7.8, 84), 5: ("Silent", None, None, None),
+        7: ("Told", None, None, 50), 8: ("Unsummarised", None, None, None)}
+    texts = {i: (r.overall_sentiment, r.audience_consensus, r.review_count) for i, r in summaries(store).items()}
+    assert texts == {
+        "tmdb_1": (90, "old", 3), "tmdb_2": (90, "old", 3), "tmdb_3": (85, "new", 1), "tmdb_5": (None, "", 0),
+        "tmdb_7": (85, "new", 0), "tmdb_8": (85, "new", 1)}
+    assert sorted((r.movie_id, r.genre) for r in store.read("movie_genres").collect()) == [("tmdb_3", "A"), ("tmdb_3", "B")]
+    assert {r.movie_id for r in store.read("movie_points").collect()} == {"tmdb_3", "tmdb_7", "tmdb_8"}
+
+    again = rs.review_sync(store, inputs(spark, [candidate(5, 99.0, "Silent")], summarise=None), NOW, 10)
+    assert counters(again)["processed"] == 1  # an empty summary is no reason to skip
 
 
 def test_pool_fill_walks_past_fresh_titles(spark, store):
@@ -86,43 +105,6 @@ def test_pool_fill_walks_past_fresh_titles(spark, store):
     assert counters(outcome) == {"discovered": 4, "processed": 1, "skipped": 2, "failed": 0}
 
 
-def test_summariser_error_stores_nothing(spark, store):
-    titles = [candidate(1, 99.0, "Broken"), candidate(2, 98.0)]
-    outcome = rs.review_sync(store, inputs(spark, titles, ["tmdb_1", "tmdb_2"]), NOW, 10)
-    assert counters(outcome) == {"discovered": 2, "processed": 1, "skipped": 0, "failed": 1}
-    assert [(r.id, r.error) for r in outcome.errors.collect()] == [("tmdb_1", "LLM error for 'Broken': no answer")]
-    assert (set(movies(store)), set(summaries(store))) == ({2}, {"tmdb_2"})
-
-
-def test_bad_reply_is_an_error(spark, store):
-    outcome = rs.review_sync(store, inputs(spark, [candidate(1, 99.0)], ["tmdb_1"], calls("```json")), NOW, 10)
-    assert "parsing reply" in outcome.errors.first().error
-    assert movies(store) == {}
-
-
-def test_title_without_reviews_and_overview_gets_an_empty_summary(spark, store):
-    def never(prompt):
-        raise AssertionError("called")
-    rs.review_sync(store, inputs(spark, [candidate(1, 99.0)], (), never), NOW, 10)
-    row = summaries(store)["tmdb_1"]
-    assert (row.overall_sentiment, row.review_count, 1 in movies(store)) == (None, 0, True)
-    again = rs.review_sync(store, inputs(spark, [candidate(1, 99.0, overview="now known")]), NOW, 10)
-    assert counters(again)["processed"] == 1
-    assert summaries(store)["tmdb_1"].overall_sentiment == 85
-
-
-def test_without_a_summariser_reviews_are_still_counted(spark, store):
-    rs.review_sync(store, inputs(spark, [candidate(1, 99.0)], ["tmdb_1"], None), NOW, 10)
-    assert (summaries(store)["tmdb_1"].review_count, summaries(store)["tmdb_1"].overall_sentiment) == (1, None)
-
-
-def test_unpopular_and_old_titles_are_no_candidates(spark, store):
-    old = list(candidate(2, 99.0)); old[4] = dt.datetime(2026, 2, 8)
-    titles = [candidate(1, 19.99), tuple(old), candidate(3, 20.0)]
-    outcome = rs.review_sync(store, inputs(spark, titles), NOW, 10)
-    assert counters(outcome)["discovered"] == 1
-
-
 def test_target_comes_first_whatever_its_state(spark, store):
     stored(spark, store, (555, 1, 90))
     outcome = rs.targeted_sync(store, inputs(spark, [candidate(666, 99.0), candidate(555, 98.0)], ["tmdb_555"]), NOW, "tmdb_555", 2)
@@ -140,17 +122,6 @@ def test_unknown_target_is_one_error_and_the_fill_still_runs(spark, store):
     assert counters(alone) == {"discovered": 0, "processed": 0, "skipped": 0, "failed": 0}
 
 
-def test_details_and_ratings(spark, store):
-    details = spark.createDataFrame([(1, "tt1", ["A", "B"])], "tmdb_id long, imdb_id string, genres array<string>")
-    ratings = spark.createDataFrame(
-        [("tt1", "x", "7.8", "84%"), (None, "T2", None, "50/100")], "imdb_id string, title string, imdb string, rotten_tomatoes string")
-    titles = [candidate(1, 99.0), candidate(2, 98.0)]
-    rs.review_sync(store, inputs(spark, titles, details=details, ratings=ratings), NOW, 10)
-    got = {i: (r.imdb_id, r.imdb_score, r.rotten_tomatoes) for i, r in movies(store).items()}
-    assert got == {1: ("tt1", 7.8, 84), 2: (None, None, 50)}
-    assert sorted((r.movie_id, r.genre) for r in store.read("movie_genres").collect()) == [("tmdb_1", "A"), ("tmdb_1", "B")]
-
-
 def test_pool_sizes():
     assert [candidates.pool_size(n) for n in (0, 1, 8, 10, 15, 20, 50)] == [50, 40, 40, 50, 75, 100, 100]
 
