@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from checks.bindings import (
-    DOC_TITLES, EVENTS_NOW, EVENTS_NOW_SQL, MOVIES, NOW, NOW_SQL, POINTS, REQUESTS, SUMMARIES, THEMES,
-    ctes, query, sql_clean, sql_key, sql_score, sql_strip_tags, sql_time, sql_trim, sql_words, table,
+    EVENTS_NOW, EVENTS_NOW_SQL, MOVIES, NOW, NOW_SQL, POINTS, REQUESTS, SUMMARIES, THEMES,
+    ctes, query, sql_clean, sql_key, sql_score, sql_strip_tags, sql_time, sql_words, table,
 )
 from titleflow.functions import dates, movies, scores, text
 from titleflow.operators import gate

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.bindings import (
-    MOVIES, REVIEWS, SUMMARIES, TURNS, ctes, joined, query, sql_joined, sql_strip_tags, sql_time, table,
+    MOVIES, REVIEWS, SUMMARIES, TURNS, ctes, joined, query, sql_strip_tags, sql_time, table,
 )
 from titleflow import schemas
 from titleflow.functions import dates

@@ -1,12 +1,10 @@
 """Candidates, actions, batch fill, counters, coverage."""
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from checks.bindings import (
-    DOC_TITLES, EVENTS_NOW, EVENTS_NOW_SQL, GENRES, MOVIES, NOW, NOW_SQL, POINTS, REQUESTS, STORED_MOVIES_CTE,
-    SUMMARIES, THEMES, ctes, joined, query, sql_time, stored_movies, table,
+    DOC_TITLES, EVENTS_NOW, EVENTS_NOW_SQL, MOVIES, NOW, NOW_SQL, POINTS, REQUESTS, STORED_MOVIES_CTE,
+    SUMMARIES, THEMES, ctes, joined, query, stored_movies, table,
 )
 from checks.functions import CONTENT_SQL
 from checks.inputs import GENRE_SQL, genre_payload, read_pages

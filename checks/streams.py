@@ -1,20 +1,11 @@
 """Structured Streaming runs over files that Spark derives from the driver's tables."""
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
-from checks.bindings import (
-    DOC_TITLES, EVENTS_NOW, REQUESTS, SUMMARIES, query, table,
-)
+from checks.bindings import DOC_TITLES, EVENTS_NOW, ORACLE, REQUESTS, query
 from checks.inputs import genre_payload, pack_pages
 from checks.planning import PLANNED
-from checks.writes import (
-    GATE_SQL, WRITTEN, accepted, catalogue_rows, catalogue_store, job5, new_store, sync_store,
-)
-from checks.bindings import ORACLE
-from titleflow import schemas
-from titleflow.operators import gate
+from checks.writes import GATE_SQL, WRITTEN, accepted, catalogue_rows, catalogue_store, sync_store
 from titleflow.session import work_path
 from titleflow.streaming import gate as gate_streaming
 from titleflow.streaming import ingest

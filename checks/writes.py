@@ -5,8 +5,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from checks.bindings import (
-    DOC_TITLES, EVENTS_NOW, EVENTS_NOW_SQL, GENRES, MOVIES, NOW, POINTS, REQUESTS, SUMMARIES, THEMES, TURNS,
-    ctes, joined, query, sql_joined, sql_time, stored_movies, table,
+    DOC_TITLES, GENRES, MOVIES, POINTS, REQUESTS, SUMMARIES, THEMES, TURNS,
+    ctes, joined, query, sql_time, stored_movies, table,
 )
 from checks.inputs import GENRE_SQL, LEGACY_SQL, genre_payload, pack_pages, wide_movies
 from checks.planning import PLANNED, STORED_REQUESTS, stored_movies_all, stored_requests

@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from titleflow.operators import lists, reviews
 from titleflow.operators.reviews import INSTRUCTIONS, NO_REVIEWS_NOTE
 

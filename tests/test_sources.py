@@ -2,10 +2,8 @@ import json
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from titleflow import schemas
-from titleflow.functions import dates
 from titleflow.session import work_path
 from titleflow.sources import listings, ratings, registry, replies, reviews, stored
 

@@ -4,7 +4,6 @@ import json
 from pyspark.sql import functions as F
 
 from titleflow import schemas
-from titleflow.functions import dates
 from titleflow.operators import browse, joins
 from titleflow.plans import migrate
 from titleflow.sinks import constraints, merge

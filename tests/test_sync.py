@@ -1,7 +1,6 @@
 import datetime as dt
 import json
 
-from pyspark.sql import functions as F
 
 from titleflow import schemas
 from titleflow.operators import candidates

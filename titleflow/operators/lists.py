@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from titleflow.session import rows_up_to
 
-MAX_LIST = 10_000
+MAX_LIST = 100_000
 SMALL_CROWD = 1_000
 
 
