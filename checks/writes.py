@@ -411,10 +411,10 @@ def str3(spark, d):
 @query("str3_cooldown_gate_split", GATE_SQL)
 def str3_split(spark, d):
     """Every title on the path for titles with too many requests for one group."""
-    return accepted(gate.gate_requests(REQUESTS.frame(spark, d), None, None, hot_requests=10, cell=HALF_HOUR))
+    return accepted(gate.gate_requests(REQUESTS.frame(spark, d), None, None, hot_requests=10, cell=TWO_HOURS))
 
 
-HALF_HOUR = gate.HOUR // 2
+TWO_HOURS = 2 * gate.HOUR
 
 PRIOR = STORED_REQUESTS.replace("2024-01-02 17:00:00", "2024-01-05 00:00:00")
 KNOWN_TIMES = f"""SELECT movie_id, ts, id FROM ({EVENT_TIMES}) LEFT JOIN last USING (movie_id)

@@ -22,7 +22,8 @@ def page(number, ids, year=2026, total=3):
 
 
 def frame(spark, payloads, schema=schemas.LISTING_PAGE):
-    lines = spark.createDataFrame([(json.dumps(p),) for p in payloads], "value string")
+    texts = [p if isinstance(p, str) else json.dumps(p) for p in payloads]
+    lines = spark.createDataFrame([(t,) for t in texts], "value string")
     return listings.parse_payloads(lines, schema)
 
 
@@ -38,9 +39,9 @@ def known(spark, store, *ids):
 
 def test_pages_with_a_known_title_and_genres(spark, store):
     known(spark, store, 102)
-    pages = frame(spark, [page(1, [101, 102]), page(2, [103]), page(3, [104])])
+    pages = frame(spark, [page(1, [101, 102]), page(2, [103]), page(3, [104]), '{"page": "x"}'])
     counters = catalog_sync(store, pages, genres(spark), NOW).first()
-    assert counters.asDict() == {"pages": 3, "discovered": 4, "saved": 3, "skipped": 1}
+    assert counters.asDict() == {"pages": 3, "discovered": 4, "saved": 3, "skipped": 1, "errors": 1}
     titles = {r.id: r.title for r in store.read("movies").collect()}
     assert titles == {"tmdb_101": "T101", "tmdb_102": "known", "tmdb_103": "T103", "tmdb_104": "T104"}
     assert sorted((r.movie_id, r.genre) for r in store.read("movie_genres").collect()) == [

@@ -121,6 +121,16 @@ def test_unknown_target_is_one_error_and_the_fill_still_runs(spark, store):
     assert counters(alone) == {"discovered": 0, "processed": 0, "skipped": 0, "failed": 0}
 
 
+def test_unwritten_summaries_are_a_warning(spark, store, monkeypatch):
+    def lost(*args):
+        raise OSError("lost")
+
+    monkeypatch.setattr(store, "save_summaries", lost)
+    outcome = rs.review_sync(store, inputs(spark, [candidate(1, 99.0)], ["tmdb_1"]), NOW, 10)
+    assert (outcome.warnings, counters(outcome)["processed"]) == (["Failed to save summaries: lost"], 1)
+    assert set(movies(store)) == {1}
+
+
 def test_pool_sizes():
     assert [candidates.pool_size(n) for n in (0, 1, 8, 10, 15, 20, 50)] == [50, 40, 40, 50, 75, 100, 100]
 

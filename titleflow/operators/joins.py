@@ -150,8 +150,13 @@ def _summary_struct() -> Column:
     )
 
 
-def with_details(titles: DataFrame, details: DataFrame) -> DataFrame:
-    """Adds imdb id and genre names from the detail payloads; both stay missing without one."""
+def with_details(titles: DataFrame, details: DataFrame, few: bool = False) -> DataFrame:
+    """Adds imdb id and genre names from the detail payloads; both stay missing without one.
+
+    With ``few`` titles only their payloads are grouped, not all of them.
+    """
+    if few:
+        details = details.join(titles.select("tmdb_id"), "tmdb_id", "left_semi")
     found = details.groupBy("tmdb_id").agg(
         F.max(F.struct("imdb_id", "genres")).alias("__d")
     )
@@ -163,10 +168,11 @@ def with_details(titles: DataFrame, details: DataFrame) -> DataFrame:
     )
 
 
-def with_ratings(titles: DataFrame, ratings: DataFrame) -> DataFrame:
+def with_ratings(titles: DataFrame, ratings: DataFrame, few: bool = False) -> DataFrame:
     """Adds the two scores, by imdb id where there is one, else by title.
 
-    Only ratings that say something overwrite a score the title came with.
+    Only ratings that say something overwrite a score the title came with. With ``few``
+    titles only their payloads are grouped, not all of them.
     """
     def keyed(prefix: str, column: str) -> Column:
         return F.concat(F.lit(prefix), F.nullif(F.col(column), F.lit("")))
@@ -176,19 +182,20 @@ def with_ratings(titles: DataFrame, ratings: DataFrame) -> DataFrame:
             keyed(prefix, column).alias("__key"), F.struct("imdb", "rotten_tomatoes").alias("__s")
         )
 
-    found = (
-        by("imdb:", "imdb_id").unionByName(by("title:", "title"))
-        .filter(F.col("__key").isNotNull())
-        .groupBy("__key")
-        .agg(F.max("__s").alias("__s"))
+    asked = titles.withColumn(
+        "__key", F.coalesce(keyed("imdb:", "imdb_id"), keyed("title:", "title"))
     )
+    rated = by("imdb:", "imdb_id").unionByName(by("title:", "title"))
+    rated = rated.filter(F.col("__key").isNotNull())
+    if few:
+        rated = rated.join(asked.select("__key"), "__key", "left_semi")
+    found = rated.groupBy("__key").agg(F.max("__s").alias("__s"))
 
     def kept(column: str, ddl: str) -> Column:
         return F.col(column) if column in titles.columns else F.lit(None).cast(ddl)
 
     return (
-        titles.withColumn("__key", F.coalesce(keyed("imdb:", "imdb_id"), keyed("title:", "title")))
-        .join(found, "__key", "left")
+        asked.join(found, "__key", "left")
         .withColumns({
             "imdb_score": F.coalesce(
                 scores.imdb_score(F.col("__s.imdb")), kept("imdb_score", "double")

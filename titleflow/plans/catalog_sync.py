@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from titleflow.functions.dates import Moment
 from titleflow.operators import counts, joins
@@ -10,7 +11,6 @@ from titleflow.session import written
 from titleflow.sinks import merge
 from titleflow.sinks.store import TableStore
 from titleflow.sources import listings
-from pyspark.sql import functions as F
 
 
 def catalogue_batch(pages: DataFrame, genre_payloads: DataFrame) -> DataFrame:
@@ -32,13 +32,15 @@ def catalogue_batch(pages: DataFrame, genre_payloads: DataFrame) -> DataFrame:
 def catalog_sync(
     store: TableStore, pages: DataFrame, genre_payloads: DataFrame, now: Moment
 ) -> DataFrame:
-    """Save the titles that are new; returns one row of counters.
+    """Save the titles that are new; returns one row of counters, with malformed pages as errors.
 
     Known titles are left alone, so a page that is delivered twice changes nothing.
     """
     batch = written(catalogue_batch(pages, genre_payloads), "catalogue-batch")
     before = store.read("movies").select("id")
-    counters = written(counts.catalogue_counters(batch, before), "catalogue-counters")
+    errors = listings.malformed(pages, "listing").agg(F.count(F.lit(1))).scalar()
+    counters = counts.catalogue_counters(batch, before).withColumn("errors", errors)
+    counters = written(counters, "catalogue-counters")
     fresh = merge.last_wins(joins.new_titles(batch, before), "id", "batch_order")
     store.save_movies(fresh, now)
     return counters

@@ -45,9 +45,10 @@ def migrate_summaries(
     """Writes the migrated rows; returns ``(migrated, errors)``."""
     rows = migrated_rows(wide_movies, points, themes, now)
     summaries = written(rows.summaries, "migrated")
-    store.replace_children("movie_points", summaries, rows.points)
-    store.replace_children("movie_themes", summaries, rows.themes)
-    store.upsert("movie_summaries", summaries)
+    touched = store.touched(summaries, "movie_id")
+    store.replace_children("movie_points", summaries, rows.points, touched)
+    store.replace_children("movie_themes", summaries, rows.themes, touched)
+    store.upsert("movie_summaries", summaries, touched=touched)
     arrived = store.read("movie_summaries").filter(F.col("last_updated") == moment(now))
     state = summaries.select("movie_id").join(
         arrived.select("movie_id").withColumn("arrived", F.lit(True)), "movie_id", "left"

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from titleflow.functions.dates import Moment
 from titleflow.operators import candidates as c
@@ -40,26 +42,29 @@ class Settings:
 
 @dataclass
 class Outcome:
-    """Counters in one row, and the error messages."""
+    """Counters in one row, the error messages per title, and warnings of the run."""
 
     counters: DataFrame
     errors: DataFrame
+    warnings: list[str]
 
 
 ERRORS = "id string, error string"
 
 
 def discover(inputs: Inputs, now: Moment, limit: int, settings: Settings) -> DataFrame:
-    """The ranked candidate pool, with details."""
+    """The ranked candidate pool, with details.
+
+    The pool is a top-k of at most a hundred rows, so it is numbered as it arrives.
+    """
     feed = c.popular_recent(inputs.titles, now, settings.min_popularity, settings.months)
-    pool = c.candidate_pool(feed, limit)
+    top = c.candidate_pool(feed, limit)
+    rows = [(*row, rank) for rank, row in enumerate(top.collect())]
+    schema = T.StructType([*top.schema.fields, T.StructField("rank", T.IntegerType())])
+    pool = top.sparkSession.createDataFrame(rows, schema)
     if inputs.details is not None:
-        pool = joins.with_details(pool, inputs.details)
-    # the pool has at most a hundred rows by now, so one task may number them
-    numbered = pool.agg(
-        F.sort_array(F.collect_list(F.struct((-F.col("popularity")).alias("by"), "id"))).alias("ids")
-    ).select(F.posexplode("ids").alias("rank", "entry")).select("rank", F.col("entry.id").alias("id"))
-    return pool.join(F.broadcast(numbered), "id")
+        pool = joins.with_details(pool, inputs.details, few=True)
+    return pool
 
 
 def _as_candidates(movies: DataFrame, genres: DataFrame) -> DataFrame:
@@ -83,15 +88,18 @@ def _work_columns(frame: DataFrame) -> DataFrame:
 
 
 def process(
-    store: TableStore, work: DataFrame, inputs: Inputs, now: Moment, settings: Settings
+    store: TableStore, work: DataFrame, inputs: Inputs, now: Moment, settings: Settings,
+    warnings: list[str],
 ) -> DataFrame:
     """Work on planned titles and save them; returns ``(id, title, error)`` per title.
 
     A title whose summariser call fails is not saved at all. One that has neither reviews
-    nor an overview gets an empty summary and comes up again in the next run.
+    nor an overview gets an empty summary and comes up again in the next run. Where the
+    summaries cannot be written, that is a warning and the titles are saved all the same.
+    The work comes out of the candidate pool, so it is never more than that.
     """
     if inputs.ratings is not None:
-        work = joins.with_ratings(work, inputs.ratings)
+        work = joins.with_ratings(work, inputs.ratings, few=True)
     else:
         work = work.withColumns({
             "imdb_score": F.lit(None).cast("double"), "rotten_tomatoes": F.lit(None).cast("int"),
@@ -123,7 +131,10 @@ def process(
     outcomes = work.join(
         summaries.select(F.col("movie_id").alias("id"), "error"), "id", "left"
     )
-    store.save_summaries(summaries.filter(F.col("error").isNull()).drop("error"), now)
+    try:
+        store.save_summaries(summaries.filter(F.col("error").isNull()).drop("error"), now)
+    except (PySparkException, OSError) as error:
+        warnings.append(f"Failed to save summaries: {error}")
     store.save_movies(outcomes.filter(F.col("error").isNull()), now)
     return outcomes.select("id", "title", "error")
 
@@ -143,10 +154,11 @@ def review_sync(
     store: TableStore, inputs: Inputs, now: Moment, limit: int, settings: Settings = Settings()
 ) -> Outcome:
     """Work on the next ``limit`` titles of the pool that need it."""
+    warnings: list[str] = []
     planned = written(_plan(store, discover(inputs, now, limit, settings), now), "plan")
     batch = c.fill_batch(planned, limit)
-    outcomes = process(store, _work_columns(batch.work), inputs, now, settings)
-    return Outcome(counts.run_counters(outcomes, batch.counts), _failures(outcomes))
+    outcomes = process(store, _work_columns(batch.work), inputs, now, settings, warnings)
+    return Outcome(counts.run_counters(outcomes, batch.counts), _failures(outcomes), warnings)
 
 
 def targeted_sync(
@@ -157,15 +169,16 @@ def targeted_sync(
 
     An unknown target is one error; the other slots are filled all the same.
     """
-    spark = store.spark
+    spark, warnings = store.spark, []
     stored = store.read("movies").filter(F.col("id") == target)
     known = not stored.isEmpty()
     errors = spark.createDataFrame([], ERRORS)
     counters = spark.range(1).select(F.lit(0).alias("discovered"), F.lit(0).alias("skipped"))
     outcomes = spark.createDataFrame([], "id string, title string, error string")
     if known:
-        forced = _as_candidates(stored, store.read("movie_genres")).withColumn("action", F.lit(c.FULL))
-        outcomes = process(store, _work_columns(forced), inputs, now, settings)
+        genres = store.read("movie_genres").filter(F.col("movie_id") == target)
+        forced = _as_candidates(stored, genres).withColumn("action", F.lit(c.FULL))
+        outcomes = process(store, _work_columns(forced), inputs, now, settings, warnings)
     else:
         message = f"Target movie '{target}' not found in catalog"
         errors = spark.createDataFrame([(target, message)], ERRORS)
@@ -174,11 +187,11 @@ def targeted_sync(
         planned = written(_plan(store, pool, now), "plan")
         others = planned.filter(F.col("id") != target)
         batch = c.fill_batch(others, limit - 1 if known else limit)
-        filled = process(store, _work_columns(batch.work), inputs, now, settings)
+        filled = process(store, _work_columns(batch.work), inputs, now, settings, warnings)
         outcomes = outcomes.unionByName(filled)
         counters = batch.counts.select(
-            F.lit(planned.count()).alias("discovered"), "skipped"
+            planned.agg(F.count(F.lit(1))).scalar().alias("discovered"), "skipped"
         )
     return Outcome(
-        counts.run_counters(outcomes, counters), errors.unionByName(_failures(outcomes))
+        counts.run_counters(outcomes, counters), errors.unionByName(_failures(outcomes)), warnings
     )

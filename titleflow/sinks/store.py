@@ -14,6 +14,7 @@ running the job again repairs both.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,11 +38,6 @@ class TableStore:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def exists(self, table: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        return path.getFileSystem(conf).exists(path)
-
     def read(self, table: str) -> DataFrame:
         """The table; one that was never written is empty."""
         return self._buckets(table, None).drop("bucket")
@@ -52,9 +48,12 @@ class TableStore:
 
     def _buckets(self, table: str, touched: list[int] | None) -> DataFrame:
         schema = self._stored_schema(table)
-        if not self.exists(table):
+        try:
+            frame = self.spark.read.schema(schema).parquet(self.path(table))
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], schema)
-        frame = self.spark.read.schema(schema).parquet(self.path(table))
         if touched is not None:
             frame = frame.filter(F.col("bucket").isin(touched))
         return frame.filter(F.col(schemas.TABLE_KEYS[table]).isNotNull())
@@ -62,7 +61,7 @@ class TableStore:
     def bucket_of(self, key: str | Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
 
-    def _touched(self, keys: DataFrame, key: str) -> list[int]:
+    def touched(self, keys: DataFrame, key: str) -> list[int]:
         """Buckets a batch touches: never more than ``buckets`` numbers."""
         rows = keys.select(self.bucket_of(key).alias("bucket")).distinct().collect()
         return sorted(row.bucket for row in rows)
@@ -93,18 +92,23 @@ class TableStore:
         """Write a whole table."""
         self._overwrite(table, rows, list(range(self.buckets)))
 
-    def upsert(self, table: str, new: DataFrame, keep_non_null: bool = False) -> None:
-        """Merge rows that are unique per key."""
+    def upsert(
+        self, table: str, new: DataFrame, keep_non_null: bool = False,
+        touched: list[int] | None = None,
+    ) -> None:
+        """Merge rows that are unique per key. ``touched``: their buckets, where known."""
         key = schemas.TABLE_KEYS[table]
-        touched = self._touched(new, key)
+        touched = self.touched(new, key) if touched is None else touched
         if touched:
             old = self._buckets(table, touched).drop("bucket")
             merged = merge.upsert(old, new.select(*old.columns), key, keep_non_null)
             self._overwrite(table, merged, touched)
 
-    def replace_children(self, table: str, parents: DataFrame, new: DataFrame) -> None:
+    def replace_children(
+        self, table: str, parents: DataFrame, new: DataFrame, touched: list[int] | None = None
+    ) -> None:
         """Replace all child rows of the parents (``movie_id``) by the new ones."""
-        touched = self._touched(parents, "movie_id")
+        touched = self.touched(parents, "movie_id") if touched is None else touched
         if touched:
             old = self._buckets(table, touched).drop("bucket")
             self._overwrite(table, merge.replace_children(old, parents, new), touched)
@@ -114,17 +118,18 @@ class TableStore:
         if order is not None:
             batch = merge.last_wins(batch, "id", order)
         batch = written(batch, "movie-batch")
-        self.replace_children(
-            "movie_genres", batch.select(F.col("id").alias("movie_id")), merge.genre_rows(batch)
-        )
-        self.upsert("movies", merge.movie_rows(batch, now))
+        parents = batch.select(F.col("id").alias("movie_id"))
+        touched = self.touched(batch, "id")
+        self.replace_children("movie_genres", parents, merge.genre_rows(batch), touched)
+        self.upsert("movies", merge.movie_rows(batch, now), touched=touched)
 
     def save_summaries(self, saved: DataFrame, now: Moment) -> None:
         """Upsert summaries with ``pros``, ``cons`` and ``themes``; children first."""
         saved = written(saved, "summary-batch")
-        self.replace_children("movie_points", saved, merge.point_rows(saved))
-        self.replace_children("movie_themes", saved, merge.theme_rows(saved))
-        self.upsert("movie_summaries", merge.summary_rows(saved, now))
+        touched = self.touched(saved, "movie_id")
+        self.replace_children("movie_points", saved, merge.point_rows(saved), touched)
+        self.replace_children("movie_themes", saved, merge.theme_rows(saved), touched)
+        self.upsert("movie_summaries", merge.summary_rows(saved, now), touched=touched)
 
     def save_requests(self, requests: DataFrame) -> None:
         self.upsert("review_requests", written(merge.latest_requests(requests), "requests"))
