@@ -8,6 +8,18 @@ from titleflow.functions.text import trim_ws
 _DECIMAL = r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 _INTEGER = r"\A[+-]?[0-9]+\z"
 
+# fixed values: lowest sentiment of each class and label
+CLASSES = ((70, "high"), (40, "mid"))
+LOWEST_CLASS, NO_CLASS = "low", "none"
+LABELS = (
+    (80, "Overwhelmingly Positive"),
+    (65, "Generally Favorable"),
+    (45, "Mixed or Average"),
+    (30, "Leaning Negative"),
+)
+LOWEST_LABEL, NO_LABEL = "Unfavorable", "Awaiting Analysis"
+UNRATED = "Unrated"
+
 
 def imdb_score(raw: Column) -> Column:
     """``7.8`` or ``7.8/10`` as a number; anything else is missing."""
@@ -33,25 +45,20 @@ def percent_text(score: Column) -> Column:
     return F.concat(score.cast("string"), F.lit("%"))
 
 
+def _banded(score: Column, bands, lowest: str, missing: str) -> Column:
+    column = F.when(score.isNull(), missing)
+    for least, name in bands:
+        column = column.when(score >= least, name)
+    return column.otherwise(lowest)
+
+
 def sentiment_class(score: Column) -> Column:
-    return (
-        F.when(score.isNull(), "none")
-        .when(score >= 70, "high")
-        .when(score >= 40, "mid")
-        .otherwise("low")
-    )
+    return _banded(score, CLASSES, LOWEST_CLASS, NO_CLASS)
 
 
 def sentiment_label(score: Column) -> Column:
-    return (
-        F.when(score.isNull(), "Awaiting Analysis")
-        .when(score >= 80, "Overwhelmingly Positive")
-        .when(score >= 65, "Generally Favorable")
-        .when(score >= 45, "Mixed or Average")
-        .when(score >= 30, "Leaning Negative")
-        .otherwise("Unfavorable")
-    )
+    return _banded(score, LABELS, LOWEST_LABEL, NO_LABEL)
 
 
 def sentiment_text(score: Column) -> Column:
-    return F.coalesce(percent_text(score), F.lit("Unrated"))
+    return F.coalesce(percent_text(score), F.lit(UNRATED))

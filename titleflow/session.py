@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # a join on a hot title is split even where the next step could reuse its partitioning
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # a page far behind the start falls back from the driver's heap to a sort on the cluster
     "spark.sql.execution.topKSortFallbackThreshold": "100000",
 }
