@@ -411,7 +411,7 @@ def str3(spark, d):
 @query("str3_cooldown_gate_split", GATE_SQL)
 def str3_split(spark, d):
     """Every title on the path for titles with too many requests for one group."""
-    return accepted(gate.gate_requests(REQUESTS.frame(spark, d), None, None, hot_requests=10, cell=TWO_HOURS))
+    return accepted(gate.gate_requests(REQUESTS.frame(spark, d), None, None, hot_requests=10, column_requests=25))
 
 
 TWO_HOURS = 2 * gate.HOUR

@@ -40,14 +40,14 @@ def random_requests(seed, titles, count, days, step=dt.timedelta(seconds=1)):
     return [(i, f"m{rng.randrange(titles)}", START + step * rng.randrange(span)) for i in range(count)]
 
 
-@pytest.mark.parametrize("seed, titles, count, days, cell", [
-    (1, 2, 1500, 9, gate.HOUR // 2), (3, 5, 400, 30, 71 * 60_000_000), (4, 1, 2500, 2, 11 * 60_000_000 + 13),
+@pytest.mark.parametrize("seed, titles, count, days, column", [
+    (1, 2, 1500, 9, 60), (3, 5, 400, 30, 9), (4, 1, 2500, 2, 77),
 ])
-def test_split_chains_equal_the_walk(spark, seed, titles, count, days, cell):
+def test_split_chains_equal_the_walk(spark, seed, titles, count, days, column):
     requests = random_requests(seed, titles, count, days, dt.timedelta(seconds=61, microseconds=7))
     expected = by_hand(requests)
     asked = frame(spark, requests)
-    assert statuses(gate.gate_requests(asked, None, None, hot_requests=0, cell=cell)) == expected
+    assert statuses(gate.gate_requests(asked, None, None, hot_requests=0, column_requests=column)) == expected
     assert statuses(gate.gate_requests(asked, None, None)) == expected
 
 

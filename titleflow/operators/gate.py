@@ -6,7 +6,8 @@ with a bounded number of distinct request times are folded as one sorted array e
 A title with more of them is split:
 
 * Cut time into windows as long as the cooldown, and every window into cells. Cells at
-  the same place of all windows form a column.
+  the same place of all windows form a column. The more requests a title has, the more
+  columns it gets.
 * After an accepted request the next one comes from the same column of the next window,
   or it is the first request of some later cell. So a chain can enter a column only at
   the first request of a cell, and every column can be followed on its own task from
@@ -28,7 +29,8 @@ from titleflow.session import written
 HOUR = 3_600_000_000
 COOLDOWN = dates.COOLDOWN_HOURS * HOUR
 HOT_REQUESTS = 100_000
-CELL = 1_000_000
+COLUMN_REQUESTS = 500_000
+MAX_COLUMNS = 21_600
 
 QUEUED, ON_COOLDOWN, NOT_FOUND = "queued", "cooldown", "not_found"
 
@@ -42,16 +44,17 @@ def _window(micros: Column, length: int = COOLDOWN) -> Column:
 
 def accepted_times(
     distinct_times: DataFrame, cooldown: int = COOLDOWN, hot_requests: int = HOT_REQUESTS,
-    cell: int = CELL,
+    column_requests: int = COLUMN_REQUESTS,
 ) -> DataFrame:
     """``(movie_id, micros)`` of the accepted ones among distinct request times."""
     sizes = distinct_times.groupBy("movie_id").agg(F.count(F.lit(1)).alias("n"))
-    hot = sizes.filter(F.col("n") > hot_requests).select("movie_id")
+    hot = sizes.filter(F.col("n") > hot_requests)
     if hot.isEmpty():
         return _fold(distinct_times, cooldown)
     folded = _fold(distinct_times.join(hot, "movie_id", "left_anti"), cooldown)
-    split = distinct_times.join(hot, "movie_id", "left_semi")
-    return folded.unionByName(_split_chain(split, cooldown, cell))
+    columns = F.least(F.ceil(F.col("n") / column_requests), F.lit(MAX_COLUMNS))
+    cells = hot.select("movie_id", F.ceil(F.lit(cooldown) / columns).cast("bigint").alias("cell"))
+    return folded.unionByName(_split_chain(distinct_times.join(cells, "movie_id"), cooldown))
 
 
 def _fold(times: DataFrame, cooldown: int) -> DataFrame:
@@ -72,22 +75,22 @@ def _fold(times: DataFrame, cooldown: int) -> DataFrame:
     )
 
 
-def _split_chain(times: DataFrame, cooldown: int, cell: int) -> DataFrame:
+def _split_chain(times: DataFrame, cooldown: int) -> DataFrame:
     """Accepted times of titles that are too large for one group."""
-    placed = times.withColumns({
-        "column": _window(F.pmod("micros", F.lit(cooldown)), cell),
-    })
-    follow, walk, trace = _column_functions(cooldown, cell)
+    offset = F.pmod("micros", F.lit(cooldown))
+    place = ((offset - F.pmod(offset, F.col("cell"))) / F.col("cell")).cast("bigint")
+    placed = times.withColumn("column", place)
+    follow, walk, trace = _column_functions(cooldown)
     groups = ["movie_id", "column"]
     entries = placed.groupBy(*groups).applyInPandas(
-        follow, "movie_id string, entry bigint, leaves bigint"
+        follow, "movie_id string, cell bigint, entry bigint, leaves bigint"
     )
     used = entries.groupBy("movie_id").applyInPandas(walk, ACCEPTED)
     marked = placed.join(used.withColumn("used", F.lit(True)), ["movie_id", "micros"], "left")
     return marked.groupBy(*groups).applyInPandas(trace, ACCEPTED)
 
 
-def _column_functions(cooldown: int, cell: int):
+def _column_functions(cooldown: int):
     """Functions over sorted request times; numpy arrays of one column or of one title."""
 
     def chain_links(pdf):
@@ -114,7 +117,8 @@ def _column_functions(cooldown: int, cell: int):
                 end[i] = end[link[i]]
         first = np.flatnonzero(np.r_[True, window[1:] != window[:-1]])
         return pd.DataFrame({
-            "movie_id": pdf["movie_id"].iloc[0], "entry": t[first], "leaves": t[end[first]],
+            "movie_id": pdf["movie_id"].iloc[0], "cell": pdf["cell"].iloc[0],
+            "entry": t[first], "leaves": t[end[first]],
         })
 
     def walk(pdf):
@@ -127,7 +131,7 @@ def _column_functions(cooldown: int, cell: int):
         import pandas as pd
 
         pdf = pdf.sort_values("entry")
-        entry, leaves = pdf["entry"].to_numpy(), pdf["leaves"].to_numpy()
+        entry, leaves, cell = pdf["entry"].to_numpy(), pdf["leaves"].to_numpy(), pdf["cell"].iloc[0]
         offset = leaves % cooldown
         cell_end = np.minimum((offset // cell + 1) * cell, cooldown)
         following = np.searchsorted(entry, (leaves // cooldown + 1) * cooldown + cell_end)
@@ -156,7 +160,7 @@ def _column_functions(cooldown: int, cell: int):
 
 def gate_requests(
     requests: DataFrame, movies: DataFrame | None, last_requests: DataFrame | None,
-    hot_requests: int = HOT_REQUESTS, cell: int = CELL,
+    hot_requests: int = HOT_REQUESTS, column_requests: int = COLUMN_REQUESTS,
 ) -> DataFrame:
     """Adds ``status``, ``retry_after_hours`` and ``accepted_at`` to every request.
 
@@ -186,7 +190,9 @@ def gate_requests(
         .agg(F.min("request_id").alias("accepted_id")),
         "gate-times",
     )
-    accepted = accepted_times(open_times.select("movie_id", "micros"), COOLDOWN, hot_requests, cell)
+    accepted = accepted_times(
+        open_times.select("movie_id", "micros"), COOLDOWN, hot_requests, column_requests
+    )
     return _decisions(asked, accepted.join(open_times, ["movie_id", "micros"]))
 
 
