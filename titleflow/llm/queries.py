@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titleflow.llm import exact, mixing, placement
-from titleflow.llm.common import documents
+from titleflow.llm import exact, mixing, piece_codec, placement, token_files
+from titleflow.llm.common import documents, work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 #: No source is passed more often than this in the mix of the registered query and of the pipeline.
 MAX_EPOCHS = 2.0
+#: Vocabulary files of the installed public tokenizers.
+WORD_VOCABULARY, PIECE_VOCABULARY = "word_bpe_49k.json", "piece_bpe_32k.model"
 SHARDS = [f"shard-{k:03d}" for k in range(128)]
 
 
@@ -28,6 +30,19 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op1_token_files")
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_path(spark, "token-files")
+    token_files.write(documents(spark, sf_dir), path, vocabulary(WORD_VOCABULARY))
+    return token_files.summary(spark, path)
+
+
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -41,6 +56,18 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.classes(documents(spark, sf_dir), keep="largest")
 
 
+@query("op6_sentencepiece")
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(piece_codec.round_trip(documents(spark, sf_dir), vocabulary(PIECE_VOCABULARY)))
+
+
+def piece_digests(encoded: DataFrame) -> DataFrame:
+    listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return encoded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 
