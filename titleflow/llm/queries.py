@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titleflow.llm import exact, mixing, piece_codec, placement, token_files
+from titleflow.llm import exact, mixing, piece_codec, placement, token_files, toxicity
 from titleflow.llm.common import documents, work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,20 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = placement.fill(SHARDS)
     return placement.place(documents(spark, sf_dir).select("doc_id"), "doc_id", table)
+
+
+def held_out(doc_id):
+    """A fifth of all documents, by id, whose labels nothing is learned from."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+
+
+def toxicity_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Classifier:
+    learned = ~held_out(F.col("doc_id"))
+    return toxicity.train(docs.where(learned), documents(spark, sf_dir, "labels").select("doc_id", "toxic").where(learned))
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = toxicity.score(docs, toxicity_classifier(spark, docs, sf_dir))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
