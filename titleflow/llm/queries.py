@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titleflow.llm import exact, mixing, piece_codec, placement, token_files, toxicity
+from titleflow.llm import exact, mixing, pii, piece_codec, placement, token_files, toxicity
 from titleflow.llm.common import documents, work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,6 +115,18 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(rows, max_epochs=MAX_EPOCHS)
 
 
+@query("op8_pii")
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = pii.find(docs, pii.train(docs))
+
+    def count(kind: int):
+        return F.size(F.filter("base", lambda s: s.kind == kind)).cast("bigint")
+
+    counts = [count(kind).alias(f"n_{name}") for kind, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 @query("op9_sharding")
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = placement.fill(SHARDS)
