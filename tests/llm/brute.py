@@ -42,3 +42,38 @@ def private_base(text):
 
 def listed(spans):
     return ",".join(f"{BASE[k][0]}:{a}:{b}" for a, k, b in spans)
+
+
+def fingerprint(text):
+    from xxhash import xxh64_intdigest
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return 0
+    shingles = [words[k:k + 3] for k in range(len(words) - 2)] if len(words) >= 3 else [words]
+    hashes = [xxh64_intdigest(" ".join(s).encode(), 42) for s in shingles]
+    return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+
+
+def near(rows, bits=3):
+    """{(id, fingerprint): component id} of (id, text) rows, over all pairs."""
+    marks = {(i, fingerprint(t)) for i, t in rows}
+    return grouped(marks, lambda a, b: bin(a ^ b).count("1") <= bits)
+
+
+def grouped(marks, linked):
+    first = {}
+    for i, mark in marks:
+        first[mark] = min(i, first.get(mark, i))
+    out, left = {}, set(first)
+    while left:
+        reached, todo = set(), [left.pop()]
+        while todo:
+            one = todo.pop()
+            reached.add(one)
+            new = {m for m in left if linked(one, m)}
+            left -= new
+            todo += new
+        least = min(first[m] for m in reached)
+        out.update({m: least for m in reached})
+    return {(i, mark): out[mark] for i, mark in marks}
