@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titleflow.llm import exact, mixing, pii, piece_codec, placement, simhash, substring, token_files, toxicity
+from titleflow.llm import exact, mixing, pii, piece_codec, placement, posting_lists, simhash, substring, token_files, toxicity
 from titleflow.llm.common import documents, work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.summary(spark, path)
 
 
+@query("op2_posting_lists")
+def op2_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posting_lists.search(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query("op3_substring", r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS t
