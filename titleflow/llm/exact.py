@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from titleflow.llm.common import ascii_lower, id_and_text
+from titleflow.llm.common import ascii_lower, id_and_text, written
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
@@ -47,11 +47,14 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: s
     """The rows of ``df`` that stay, with all their columns.
 
     Rows repeating id and text are one document: one of them stays, with the columns of any of them. Rows of a
-    null id are kept if no other row has their text.
+    null id are kept, once, if no other row has their text.
     """
-    decided = classes(df, id_col, text_col, keep).where("kept").select(
-        F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).dropDuplicates()
+    kept = classes(df, id_col, text_col, keep).where("kept")
+    decided = written(kept.groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.count("*").alias("__rows")), "exact")
     lowered = ascii_lower(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     marked = df.withColumn("__own", F.sha2(lowered.cast("binary"), 256))
-    kept = marked.join(decided, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi")
-    return kept.dropDuplicates([id_col, "__own"]).drop("__own")
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha"))
+    stay = marked.join(decided, same, "left_semi")
+    if not decided.where("__rows > 1").isEmpty():
+        stay = stay.dropDuplicates([id_col, "__own"])
+    return stay.drop("__own")

@@ -142,3 +142,18 @@ def mix(
         .where(F.col("room").isNull() | (F.col("__before") < F.col("room")))
         .select("doc_id", "source", "tokens", "epoch", "block", "block_rank", "rank")
     )
+
+
+def repeat(
+    df: DataFrame, max_epochs: float | None = None, target_entropy: float | None = None, budget: int | None = None, seed: str = "mix",
+    id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``df``, with all their columns, as often as the mix takes them; tokens are words.
+
+    Rows repeating an id, null ones too, are drawn together, for the smallest of their sources.
+    """
+    units = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("tokens"))
+    units = units.groupBy("doc_id").agg(F.min(F.coalesce("source", F.lit(""))).alias("source"), F.sum("tokens").alias("tokens"))
+    times = mix(units, max_epochs, target_entropy, budget, seed).groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").cast("int").alias("__times"))
+    taken = df.join(times, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")))
+    return taken.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*(F.col(f"`{c}`") for c in df.columns))

@@ -193,3 +193,11 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     lead = named.join(least, "root").select("fingerprint", "component_id")
     return own.join(lead, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """The rows of ``df`` that stay: of each class those with the smallest id, with all their columns. Rows with a
+    null id stay, as they belong to no class."""
+    lead = classes(df, id_col, text_col, words).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    own = F.col(f"`{id_col}`")
+    return df.join(lead, own == F.col("__id"), "left_semi").unionByName(df.where(own.isNull()))

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from titleflow.llm.common import id_and_text, per_batch, small_batches
 
@@ -169,21 +170,23 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, id_col
     return fit(positive, _sampled(docs, UNLABELLED), float(prior))
 
 
-def score(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, score`` of every row, from its whole text alone; a null text is an empty one.
+def with_score(df: DataFrame, classifier: Classifier, name: str = "score", text_col: str = "text") -> DataFrame:
+    """``df`` with the score of every row, from its whole text alone; a null text is an empty one.
 
-    Null and repeated ids stay as they are, row by row; an empty table gives an empty one.
+    Null and repeated ids stay as they are, row by row; an empty table gives an empty one. A column that bears
+    the new name is replaced.
     """
-    small_batches(docs.sparkSession)
-    rows = id_and_text(docs, id_col, text_col)
+    small_batches(df.sparkSession)
+    df = df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() != name.lower()))
+    at = df.columns.index(text_col)
     bias, weights = classifier.bias, classifier.weights
 
     def make():
         known: dict[str, tuple[int, ...]] = {}
 
-        def one(text: str) -> float:
+        def one(text: str | None) -> float:
             present: set[int] = set()
-            for word in set(_WORD.findall(text.lower())):
+            for word in set(_WORD.findall((text or "").lower())):
                 own = known.get(word)
                 if own is None:
                     if len(known) >= REMEMBERED:
@@ -194,8 +197,19 @@ def score(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_
             return classifier.score(bias + sum(weights[f] for f in sorted(present)))
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([one(t) for t in batch["text"].to_pylist()], pa.float64())], ["doc_id", "score"])
+            scores = pa.array([one(t) for t in batch.column(at).to_pylist()], pa.float64())
+            return pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, name])
 
         return step
 
-    return rows.mapInArrow(per_batch(make), f"doc_id {dict(rows.dtypes)['doc_id']}, score double")
+    return df.mapInArrow(per_batch(make), StructType([*df.schema.fields, StructField(name, DoubleType())]))
+
+
+def score(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, score`` of every row."""
+    return with_score(id_and_text(docs, id_col, text_col), classifier).select("doc_id", "score")
+
+
+def reject(df: DataFrame, classifier: Classifier, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that score below the threshold, with all their columns."""
+    return with_score(df, classifier, "__score", text_col).where(F.col("__score") < threshold).drop("__score")
