@@ -7,7 +7,9 @@ those whose statistics or filters exclude the ids they ask for.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,69 +23,72 @@ from titleflow.llm.common import id_and_text, per_batch, small_batches
 #: Bytes of a stripe, and rows that share an entry of the row index and a Bloom filter.
 STRIPE_BYTES = 16 << 20
 INDEX_ROWS = 1_000
-#: Entries that an encoder remembers before it starts anew; longer words are not remembered.
-REMEMBERED, LONGEST = 300_000, 64
+#: Keys that each half of an encoder's memory holds; longer ones are not remembered.
+REMEMBERED, LONGEST = 400_000, 64
 
 FILE_SCHEMA = "part int, ordinal bigint, doc_id bigint, ids array<int>"
 
 
+class Remembered(dict):
+    """What ``make`` gave for a key. At ``REMEMBERED`` keys these become the older half, and the last older
+    half is forgotten but for what is asked for again."""
+
+    def __init__(self, make):
+        self.make, self.older = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Encoder:
-    """Ids of whole texts by the tokenizers library, remembered for words met before.
+    """Ids of whole texts by the tokenizers library, remembered for chunks and words met before.
 
-    A text is cut at single spaces, where the vocabulary's normaliser and splitter cut it anyway. Words of plain
-    lower-case letters go to the library's merge model at once, as the steps before it leave them as they are;
-    all others pass through the library's whole ``encode``.
+    A text is cut at single spaces and line ends, where the vocabulary's normaliser and splitter cut it anyway. A
+    chunk of plain characters, which normalisation keeps once they are lower-case, is cut into letters, digits
+    and signs as the splitter does, and these go to the library's merge model at once; any other chunk passes
+    through the library's whole ``encode``.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        # letters that normalisation keeps, and how the splitter spells their bytes
         spelt = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         letters = [chr(c) for c in (*range(0x61, 0x7B), *range(0xDF, 0x100)) if c != 0xF7]
-        self.plain = set(letters)
-        self.spelling = {ord(c): spelt.pre_tokenize_str(c)[0][0] for c in letters}
+        # an apostrophe may begin a suffix that the splitter knows, and a bracket a special token
+        others = [chr(c) for c in range(0x21, 0x7F) if not chr(c).isalpha() and chr(c) not in "'<"]
+        self.plain = set(letters + others)
+        self.spelling = {ord(c): spelt.pre_tokenize_str(c)[0][0] for c in letters + others}
         self.lower = {ord(c.upper()): c for c in letters if len(c.upper()) == 1 and ord(c.upper()) < 0xE0}
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.stops = {c: self._packed(self._library(c)) for c in ",.;:!?"}
+        alphabet = "".join(letters)
+        self.cut = re.compile(f"[{alphabet}]+|[0-9]|[^{alphabet}0-9]+").findall
+        self.words = Remembered(self._word)
+        self.known = Remembered(self._chunk)
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
-        return np.array(ids, dtype="<i4").tobytes()
-
-    def _library(self, chunk: str) -> list[int]:
-        return self.tokenizer.encode(chunk, add_special_tokens=False).ids
-
-    def _word(self, chunk: str) -> bytes:
-        stop = self.stops.get(chunk[-1:], b"")
-        word = (chunk[:-1] if stop else chunk).translate(self.lower)
-        if not word or not self.plain.issuperset(word):
-            return self._packed(self._library(chunk))
-        ids = self.words.get(word)
-        if ids is None:
-            ids = self._packed([token.id for token in self.model.tokenize(word.translate(self.spelling))])
-            if len(word) <= LONGEST:
-                if len(self.words) >= REMEMBERED:
-                    self.words.clear()
-                self.words[word] = ids
-        return ids + stop
+        return array("i", ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        return self._packed([token.id for token in self.tokenizer.model.tokenize(word.translate(self.spelling))])
+
+    def _chunk(self, chunk: str) -> bytes:
+        lowered = chunk.translate(self.lower)
+        if self.plain.issuperset(lowered):
+            return b"".join(map(self.words.__getitem__, self.cut(lowered)))
+        return self._packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
-        known, out = self.known, []
-        for chunk in text.split(" "):
-            ids = known.get(chunk)
-            if ids is None:
-                ids = self._word(chunk)
-                if len(chunk) <= LONGEST:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[chunk] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 _ENCODERS: dict[str, Encoder] = {}
