@@ -4,27 +4,42 @@ A text starts as its characters, spaces written as a visible mark. An agenda hol
 whose union is a piece, ordered by the piece's score and then by position; the best pair is merged and
 its new neighbours join the agenda, until none is left. Characters without a piece fall back to bytes.
 
-No piece of such a vocabulary continues over a mark after another character, so the runs that begin at marks are
-encoded on their own, and remembered. Every new run, and the first whole text of each Arrow batch, is held
-against the sentencepiece library; a difference stops the job.
+No piece of such a vocabulary continues over a mark after another character, and none holds letters beside other
+characters, so a text is cut at these places into runs that are encoded on their own, and remembered. Every
+new run, and the first whole text of each Arrow batch, is held against the sentencepiece library; a
+difference stops the job.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from titleflow.llm.common import id_and_text, per_batch, small_batches
-from titleflow.llm.token_files import id_lists
+from titleflow.llm.token_files import Remembered, id_lists
 
 MARK = "▁"
-#: Runs that a codec remembers before it starts anew; longer ones are not remembered.
-REMEMBERED, LONGEST = 300_000, 64
-_RUNS = re.compile(f"{MARK}+[^{MARK}]*")
+#: A character without a piece, which keeps a run apart from the mark that the library puts before a text.
+_APART = "\n"
+
+
+def _runs(names) -> re.Pattern:
+    """Runs that no piece crosses: marks with what follows them, letters, or other characters. A letter that some piece
+    holds beside another character counts as one of those."""
+    plain = re.compile(r"[^\W\d_]")
+    odd = set()
+    for name in names:
+        for a, b in zip(name, name[1:]):
+            if a != MARK and b != MARK and bool(plain.match(a)) != bool(plain.match(b)):
+                odd.add(a if plain.match(a) else b)
+    letter = r"[^\W\d_" + re.escape("".join(sorted(odd))) + "]"
+    other = f"(?:(?!{letter})[^{MARK}])"
+    return re.compile(f"{MARK}+(?:{letter}+|{other}*)|{letter}+|{other}+")
 
 
 class Codec:
@@ -38,9 +53,11 @@ class Codec:
         special = {i for i in every if library.is_control(i) or library.is_unknown(i) or library.is_byte(i)}
         names = [library.id_to_piece(i) for i in every]
         self.ids = {names[i]: i for i in every if i not in special}
-        if any(MARK in name.lstrip(MARK) for name in self.ids):
-            raise ValueError("a piece holds a mark after another character")
-        self.scores = {names[i]: library.get_score(i) for i in every if i not in special}
+        self.cut = _runs(self.ids).findall
+        if any(len(self.cut(name)) > 1 or _APART in name for name in self.ids):
+            raise ValueError("a piece holds a mark after another character, letters beside others, or a line end")
+        #: By piece: what the agenda is ordered by.
+        self.order = {names[i]: -library.get_score(i) for i in every if i not in special}
         self.bytes = [library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         if not all(library.is_byte(i) for i in self.bytes):
             raise ValueError("the vocabulary has no fallback to bytes")
@@ -49,34 +66,31 @@ class Codec:
             else " ⁇ ".encode() if library.is_unknown(i) else names[i].replace(MARK, " ").encode()
             for i in every
         ]
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered(self._checked)
 
     def merge(self, run: str) -> list[int]:
         """The ids of one run by the agenda."""
-        scores, symbols, n = self.scores, list(run), len(run)
+        order, symbols, n = self.order.get, list(run), len(run)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda: list[tuple[float, int, int, str]] = []
-
-        def propose(left: int, right: int) -> None:
-            if left >= 0 and right < n:
-                joined = symbols[left] + symbols[right]
-                score = scores.get(joined)
-                if score is not None:
-                    heapq.heappush(agenda, (-score, left, right, joined))
-
-        for left in range(n - 1):
-            propose(left, left + 1)
+        agenda = [(key, left, left + 1, run[left:left + 2]) for left in range(n - 1) if (key := order(run[left:left + 2])) is not None]
+        heapq.heapify(agenda)
         while agenda:
             _, left, right, joined = heapq.heappop(agenda)
             # a pair whose sides have changed since is out of date
-            if not symbols[left] or not symbols[right] or after[left] != right or symbols[left] + symbols[right] != joined:
+            if after[left] != right or not symbols[left] or symbols[left] + symbols[right] != joined:
                 continue
             symbols[left], symbols[right] = joined, ""
-            after[left] = after[right]
-            if after[left] < n:
-                before[after[left]] = left
-            propose(before[left], left)
-            propose(left, after[left])
+            right = after[left] = after[right]
+            if right < n:
+                before[right] = left
+                pair = joined + symbols[right]
+                if (key := order(pair)) is not None:
+                    heapq.heappush(agenda, (key, left, right, pair))
+            first = before[left]
+            if first >= 0:
+                pair = symbols[first] + joined
+                if (key := order(pair)) is not None:
+                    heapq.heappush(agenda, (key, first, left, pair))
         out = []
         for symbol in filter(None, symbols):
             found = self.ids.get(symbol)
@@ -84,28 +98,17 @@ class Codec:
         return out
 
     def runs(self, text: str) -> list[str]:
-        return _RUNS.findall(MARK + text.replace(" ", MARK)) if text else []
+        return self.cut(MARK + text.replace(" ", MARK)) if text else []
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
-        known, out = self.known, []
-        for run in self.runs(text):
-            ids = known.get(run)
-            if ids is None:
-                ids = self._checked(run)
-                if len(run) <= LONGEST:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[run] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.known.__getitem__, self.runs(text)))
 
     def _checked(self, run: str) -> bytes:
         ids = self.merge(run)
-        # the library puts the first mark before a text itself; it leaves an empty text empty
-        if len(run) > 1 and ids != self.library.encode(run[1:].replace(MARK, " ")):
+        if ids != self.library.encode(_APART + run.replace(MARK, " "))[2:]:  # after a mark and the line end
             raise ValueError(f"other ids than the library's for {run[:100]!r}")
-        return np.array(ids, dtype="<i4").tobytes()
+        return array("i", ids).tobytes()
 
     def decode(self, ids: list[int]) -> str:
         spelt = self.spelt
