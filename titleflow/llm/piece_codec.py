@@ -66,6 +66,8 @@ class Codec:
             else " ⁇ ".encode() if library.is_unknown(i) else names[i].replace(MARK, " ").encode()
             for i in every
         ]
+        self.silent = {i for i in every if library.is_control(i)}
+        self.marked = {i for name, i in self.ids.items() if name.startswith(MARK)}
         self.known = Remembered(self._checked)
 
     def merge(self, run: str) -> list[int]:
@@ -113,7 +115,8 @@ class Codec:
     def decode(self, ids: list[int]) -> str:
         spelt = self.spelt
         text = b"".join([spelt[i] for i in ids]).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        first = next((i for i in ids if i not in self.silent), None)
+        return text[1:] if first in self.marked else text
 
     def check(self, text: str, ids: list[int], decoded: str) -> None:
         if ids != self.library.encode(text) or decoded != self.library.decode(ids):
