@@ -51,3 +51,14 @@ def per_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | Non
                 yield out
 
     return run
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where ``df`` has such a column already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

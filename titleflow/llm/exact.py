@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from titleflow.llm.common import ascii_lower, id_and_text, written
+from titleflow.llm.common import ascii_lower, fresh, id_and_text, written
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
@@ -49,12 +49,12 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: s
     Rows repeating id and text are one document: one of them stays, with the columns of any of them. Rows of a
     null id are kept, once, if no other row has their text.
     """
+    own, name, sha, rows = fresh(df, "own", "id", "sha", "rows")
     kept = classes(df, id_col, text_col, keep).where("kept")
-    decided = written(kept.groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.count("*").alias("__rows")), "exact")
+    decided = written(kept.groupBy(F.col("doc_id").alias(name), F.col("text_sha256").alias(sha)).agg(F.count("*").alias(rows)), "exact")
     lowered = ascii_lower(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    marked = df.withColumn("__own", F.sha2(lowered.cast("binary"), 256))
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha"))
-    stay = marked.join(decided, same, "left_semi")
-    if not decided.where("__rows > 1").isEmpty():
-        stay = stay.dropDuplicates([id_col, "__own"])
-    return stay.drop("__own")
+    marked = df.withColumn(own, F.sha2(lowered.cast("binary"), 256))
+    stay = marked.join(decided, F.col(f"`{id_col}`").eqNullSafe(F.col(name)) & (F.col(own) == F.col(sha)), "left_semi")
+    if not decided.where(F.col(rows) > 1).isEmpty():
+        stay = stay.dropDuplicates([id_col, own])
+    return stay.drop(own)

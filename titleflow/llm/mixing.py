@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from titleflow.llm.common import SPACE
+from titleflow.llm.common import SPACE, fresh
 
 #: Halvings of the exponent's range.
 STEPS = 50
@@ -154,6 +154,7 @@ def repeat(
     """
     units = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("tokens"))
     units = units.groupBy("doc_id").agg(F.min(F.coalesce("source", F.lit(""))).alias("source"), F.sum("tokens").alias("tokens"))
-    times = mix(units, max_epochs, target_entropy, budget, seed).groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").cast("int").alias("__times"))
-    taken = df.join(times, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")))
-    return taken.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*(F.col(f"`{c}`") for c in df.columns))
+    name, times, n = fresh(df, "id", "times", "n")
+    taken = mix(units, max_epochs, target_entropy, budget, seed).groupBy(F.col("doc_id").alias(name)).agg(F.count("*").cast("int").alias(times))
+    rows = df.join(taken, F.col(f"`{id_col}`").eqNullSafe(F.col(name)))
+    return rows.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*(F.col(f"`{c}`") for c in df.columns))

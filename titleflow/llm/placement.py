@@ -13,6 +13,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from titleflow.llm.common import fresh
+
 #: A table is broadcast, so its size is bounded.
 LARGEST_TABLE = 1_000_003
 TABLE_SIZE = 65_537
@@ -71,10 +73,11 @@ def place(df: DataFrame, key_col: str, table: list[int], slot_name: str = "slot"
     new names are replaced. Repeated rows stay, and an empty table gives an empty one.
     """
     keep = [c for c in df.columns if c.lower() not in (slot_name.lower(), shard_name.lower())]
-    lookup = table_frame(df.sparkSession, table).toDF("__slot", "__shard")
-    rows = df.select(slot_of(F.col(f"`{key_col}`"), len(table)).alias("__at"), *(F.col(f"`{c}`") for c in keep))
-    placed = rows.join(F.broadcast(lookup), F.col("__at") == F.col("__slot"))
-    return placed.select(*(F.col(f"`{c}`") for c in keep), F.col("__at").alias(slot_name), F.col("__shard").alias(shard_name))
+    at, slot, shard = fresh(df, "at", "of_slot", "of_shard")
+    lookup = table_frame(df.sparkSession, table).toDF(slot, shard)
+    rows = df.select(slot_of(F.col(f"`{key_col}`"), len(table)).alias(at), *(F.col(f"`{c}`") for c in keep))
+    placed = rows.join(F.broadcast(lookup), F.col(at) == F.col(slot))
+    return placed.select(*(F.col(f"`{c}`") for c in keep), F.col(at).alias(slot_name), F.col(shard).alias(shard_name))
 
 
 def write_shards(df: DataFrame, key_col: str, table: list[int], path: str) -> None:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from titleflow.llm.common import id_and_text, per_batch, small_batches, written
+from titleflow.llm.common import fresh, id_and_text, per_batch, small_batches, written
 from titleflow.llm.components import components
 
 #: Words of a shingle, seed of its hash, and bits in which linked fingerprints differ at most.
@@ -198,6 +198,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """The rows of ``df`` that stay: of each class those with the smallest id, with all their columns. Rows with a
     null id stay, as they belong to no class."""
-    lead = classes(df, id_col, text_col, words).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    (name,) = fresh(df, "id")
+    lead = classes(df, id_col, text_col, words).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
     own = F.col(f"`{id_col}`")
-    return df.join(lead, own == F.col("__id"), "left_semi").unionByName(df.where(own.isNull()))
+    return df.join(lead, own == F.col(name), "left_semi").unionByName(df.where(own.isNull()))

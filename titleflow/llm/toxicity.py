@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from titleflow.llm.common import id_and_text, per_batch, small_batches
+from titleflow.llm.common import fresh, id_and_text, per_batch, small_batches
 
 #: Documents that training looks at, at most.
 POSITIVES, UNLABELLED = 4_000, 12_000
@@ -212,4 +212,5 @@ def score(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_
 
 def reject(df: DataFrame, classifier: Classifier, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that score below the threshold, with all their columns."""
-    return with_score(df, classifier, "__score", text_col).where(F.col("__score") < threshold).drop("__score")
+    (name,) = fresh(df, "score")
+    return with_score(df, classifier, name, text_col).where(F.col(name) < threshold).drop(name)
