@@ -1,5 +1,7 @@
 """Browse, search, sort, page and document views."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from checks.bindings import (
@@ -50,8 +52,7 @@ def flat(docs):
 def whole_documents(spark, d):
     """Documents of every movie, as an export makes them."""
     t = all_tables(spark, d)
-    found = joins.summaries_with_lists(t["movie_summaries"], t["movie_points"], t["movie_themes"])
-    return browse.documents_of(joins.with_summaries(joins.with_genres(t["movies"], t["movie_genres"]), found))
+    return documents.export(t)
 
 
 @query("prj13_movie_documents", f"{ALL} {DOCUMENT_SQL.format(page='movies')}")
@@ -125,7 +126,7 @@ def flt11(spark, d):
         F.col("doc_id").alias("pos"),
         F.expr("CASE WHEN doc_id % 4 = 0 THEN '  ' ELSE lang || doc_id % 37 END").alias("movie_id"),
     )
-    return browse.requested_ids(asked)
+    return browse.requested_ids(asked, most=100)
 
 
 @query("jn4_titles_of_genre", f"""
@@ -171,6 +172,37 @@ def jn7(spark, d):
     return found.select("movie_id", *[joined(c).alias(c) for c in ("pros", "cons", "themes")])
 
 
+def sparse(binding):
+    """The child rows with ordinals far apart."""
+    return replace(binding, columns={**binding.columns, "ordinal": "CAST(l_linenumber AS BIGINT) * 100000"})
+
+
+SPARSE = f"""{ctes(MOVIES, sparse(POINTS), sparse(THEMES), GENRES, SUMMARIES)}, {LISTS}"""
+
+
+@query("jn7_sparse_ordinals", f"""{SPARSE.replace(SUMMARIES.cte, """movie_summaries AS (SELECT id AS movie_id, 1 AS overall_sentiment,
+    '' AS audience_consensus, '' AS recommendation, 0 AS review_count, last_updated FROM movies)""")}
+SELECT movie_id, {sql_joined('pros')} AS pros, {sql_joined('cons')} AS cons, {sql_joined('themes')} AS themes FROM sums""")
+def jn7_sparse(spark, d):
+    parents = MOVIES.frame(spark, d).select(F.col("id").alias("movie_id"))
+    found = joins.summaries_with_lists(parents, sparse(POINTS).frame(spark, d), sparse(THEMES).frame(spark, d))
+    return found.select("movie_id", *[joined(c).alias(c) for c in ("pros", "cons", "themes")])
+
+
+@query("snk9_sparse_documents", f"""{SPARSE} SELECT id, coalesce(len(s.pros), 0)::INT AS pros, coalesce(len(s.cons), 0)::INT AS cons,
+    coalesce(len(s.themes), 0)::INT AS themes FROM movies m LEFT JOIN sums s ON s.movie_id = m.id AND s.says""")
+def snk9_sparse(spark, d):
+    """One JSON document per movie, read back, whatever the ordinals of its lists."""
+    tables = {**all_tables(spark, d), "movie_points": sparse(POINTS).frame(spark, d), "movie_themes": sparse(THEMES).frame(spark, d)}
+    kept = "id string, summary struct<pros: array<string>, cons: array<string>, common_themes: array<string>>"
+    docs = json_documents(documents.export(tables), "id").select(F.from_json("json", kept).alias("doc"))
+
+    def length(column):
+        return F.coalesce(F.array_size(f"doc.summary.{column}"), F.lit(0))
+
+    return docs.select("doc.id", length("pros").alias("pros"), length("cons").alias("cons"), length("common_themes").alias("themes"))
+
+
 @query("agg1_count_matches", f"""
 {ctes(MOVIES, GENRES)} SELECT count(DISTINCT m.id) AS total FROM movies m JOIN movie_genres g ON g.movie_id = m.id
 WHERE g.genre = 'A' AND release_date IS NOT NULL AND release_date::DATE < {NOW_SQL}::DATE""")
@@ -259,7 +291,7 @@ def asked_ids(spark, d):
 
 
 @query("job8_documents", f"""
-{ALL}, {ASKED}, shown AS (SELECT * FROM movies SEMI JOIN asked USING (id)) {DOCUMENT_SQL.format(page='shown')}""")
+{ALL}, asked AS (SELECT DISTINCT 'tmdb_' || doc_id * 3 AS id FROM labels), shown AS (SELECT * FROM movies SEMI JOIN asked USING (id)) {DOCUMENT_SQL.format(page='shown')}""")
 def job8(spark, d):
     return flat(documents.documents(all_tables(spark, d), asked_ids(spark, d)))
 

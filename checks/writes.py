@@ -57,8 +57,10 @@ def batch_movies(spark, d):
 SELECT {MOVIE_SQL} FROM movies ANTI JOIN batch USING (id)
 UNION ALL SELECT id, tmdb_id, title, popularity, imdb_score, overview, {sql_time('release_date')}, {WRITTEN_SQL} FROM batch""")
 def snk1(spark, d):
-    new = merge.movie_rows(batch_movies(spark, d), WRITTEN)
-    return movie_columns(merge.upsert(MOVIES.frame(spark, d), new, "id"))
+    store = new_store(spark)
+    store.create("movies", MOVIES.frame(spark, d))
+    store.upsert("movies", merge.movie_rows(batch_movies(spark, d), WRITTEN))
+    return movie_columns(store.read("movies"))
 
 
 @query("snk1_keep_non_null", f"""

@@ -67,38 +67,16 @@ def test_point_lists_follow_the_ordinal(spark):
     assert got == {"m": (["z", "b"], ["c"]), "n": ([], [])}
 
 
-def segments(found, column):
-    return [r[column] for r in sorted(found, key=lambda r: r.segment)]
-
-
-def test_large_lists_are_split_and_nothing_is_lost(spark):
-    rows = [("hot", "pro", i, f"p{i:03d}") for i in range(95)] + [("cold", "pro", i, f"q{i}") for i in range(3)]
-    found = lists.point_lists(points(spark, rows), max_list=10).collect()
-    hot = segments([r for r in found if r.movie_id == "hot"], "pros")
-    assert max(len(s) for s in hot) <= 10
-    assert [p for s in hot for p in s] == [f"p{i:03d}" for i in range(95)]
-    assert [r.pros for r in found if r.movie_id == "cold"] == [["q0", "q1", "q2"]]
-
-
-def test_repeated_ordinals_are_split_by_hash(spark):
-    rows = [("hot", "pro", i % 2, f"p{i:04d}") for i in range(2000)] + [("cold", "pro", 1, "q")]
-    found = lists.point_lists(points(spark, rows), max_list=50).collect()
-    hot = segments([r for r in found if r.movie_id == "hot"], "pros")
-    assert len(hot) > 20 and max(len(s) for s in hot) < 150
-    together = [p for s in hot for p in s]
-    assert sorted(together) == [f"p{i:04d}" for i in range(2000)]
-    parity = [int(p[1:]) % 2 for p in together]
-    assert parity == sorted(parity)
-    assert [r.pros for r in found if r.movie_id == "cold"] == [["q"]]
-
-
-def test_many_crowded_titles_are_joined_not_collected(spark, monkeypatch):
-    monkeypatch.setattr(lists, "SMALL_CROWD", 2)
-    rows = [(f"m{m}", "pro", i, f"p{i:02d}") for m in range(5) for i in range(30)] * 2
-    found = lists.point_lists(points(spark, rows), max_list=20).collect()
-    for m in range(5):
-        values = [p for r in found if r.movie_id == f"m{m}" for p in r.pros]
-        assert sorted(values) == sorted([f"p{i:02d}" for i in range(30)] * 2)
+def test_a_title_has_one_row_whatever_its_ordinals(spark):
+    rows = [("far", "pro", 0, "a"), ("far", "con", 100_000, "b"), ("far", "pro", 5_000_000_000, "c")]
+    rows += [("hot", "pro", i % 2, f"p{i:04d}") for i in range(2000)] + [("cold", "pro", 1, "q")]
+    themes = spark.createDataFrame([("far", 300_000, "y"), ("far", 7, "x"), ("new", 0, "z")], "movie_id string, ordinal long, theme string")
+    found = lists.entry_lists(points(spark, rows), themes).collect()
+    assert len(found) == len({r.movie_id for r in found}) == 4
+    got = {r.movie_id: r for r in found}
+    assert (got["far"].pros, got["far"].cons, got["far"].themes) == (["a", "c"], ["b"], ["x", "y"])
+    assert got["hot"].pros == [f"p{i:04d}" for i in range(0, 2000, 2)] + [f"p{i:04d}" for i in range(1, 2000, 2)]
+    assert (got["new"].pros, got["new"].themes) == ([], ["z"])
 
 
 def test_genres_are_alphabetical_and_distinct(spark):

@@ -130,6 +130,19 @@ def test_stored_rows(spark):
     assert (summary.overall_sentiment, summary.review_count, summary.audience_consensus) == (92, 24, None)
 
 
+def test_a_source_that_breaks_while_it_is_read(spark, tmp_path):
+    (tmp_path / "part-0.parquet").write_text("not parquet")
+    good = spark.createDataFrame([("m", "1", "s", "a", "text", 1, "u", None, 0)], schemas.REVIEWS)
+
+    def silent(_):
+        raise OSError()
+
+    sources = registry.Sources().add_reviews("torn", lambda s: s.read.schema(schemas.REVIEWS).parquet(str(tmp_path)))
+    found, errors = sources.add_reviews("silent", silent).add_reviews("good", lambda s: good).collect(spark)
+    assert [(r.movie_id, r.source_rank) for r in found.collect()] == [("m", 2)]
+    assert [(r.source, bool(r.error)) for r in errors.collect()] == [("torn", True), ("silent", True)]
+
+
 def test_failing_source_contributes_nothing(spark):
     good = spark.createDataFrame([("m", "1", "s", "a", "text", 1, "u", None, 0)], schemas.REVIEWS)
     sources = (

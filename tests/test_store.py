@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from titleflow import schemas
@@ -9,6 +10,7 @@ from titleflow.plans import migrate
 from titleflow.sinks import constraints, merge
 from titleflow.sinks.export import json_documents, write_documents
 from titleflow.session import work_path
+from titleflow.sinks.store import TableStore
 
 NOW = dt.datetime(2026, 8, 9, 10)
 LATER = dt.datetime(2026, 8, 10, 10)
@@ -96,15 +98,41 @@ def test_merges_touch_only_their_buckets(spark, store):
 
     store.buckets = 8
     store.save_movies(batch(spark, *[(i, f"T{i}", 1.0, None, ["G"]) for i in range(100)]), NOW)
-    before = set(glob.glob(store.path("movies") + "/bucket=*/*.parquet"))
+    before = set(glob.glob(store.path("movies") + "/data/version=*/bucket=*"))
     store.save_movies(batch(spark, (7, "changed", 1.0, None, [])), LATER)
-    after = set(glob.glob(store.path("movies") + "/bucket=*/*.parquet"))
-    changed = {f.split("bucket=")[1][0] for f in before ^ after}
-    assert len(changed) == 1
+    after = set(glob.glob(store.path("movies") + "/data/version=*/bucket=*"))
+    assert before < after and len(after - before) == 1
     assert len(titles(store)) == 100 and titles(store)["tmdb_7"].title == "changed"
     assert len(genres(store)) == 99
 
 
+def test_another_number_of_buckets_is_refused(spark, store):
+    store.save_movies(batch(spark, (1, "T", 1.0, None, [])), NOW)
+    other = TableStore(spark, store.root, buckets=64)
+    with pytest.raises(ValueError, match="2 buckets"):
+        other.read("movies")
+    with pytest.raises(ValueError, match="2 buckets"):
+        other.save_movies(batch(spark, (2, "U", 1.0, None, [])), LATER)
+    assert set(titles(store)) == {"tmdb_1"}
+
+
+def test_a_failed_write_leaves_the_table_whole(spark, store):
+    store.save_movies(batch(spark, *[(i, f"T{i}", 1.0, None, []) for i in range(10)]), NOW)
+    broken = store.read("movies").withColumn("title", F.expr("IF(id = 'tmdb_3', raise_error('broken'), 'new')"))
+    with pytest.raises(Exception, match="broken"):
+        store._overwrite("movies", broken, [0, 1])
+    assert sorted(r.title for r in titles(store).values()) == sorted(f"T{i}" for i in range(10))
+    store.save_movies(batch(spark, (3, "after", 1.0, None, [])), LATER)
+    assert titles(store)["tmdb_3"].title == "after" and len(titles(store)) == 10
+
+
+def test_a_bucket_can_lose_its_last_row(spark, store):
+    store.create("movie_points", spark.createDataFrame([("m", "pro", 1, "x")], schemas.MOVIE_POINTS))
+    none = store.read("movie_points").where("false")
+    store.replace_children("movie_points", spark.createDataFrame([("m",)], "movie_id string"), none)
+    assert store.read("movie_points").count() == 0
+
+
 def test_constraints(spark):
     movies = spark.createDataFrame([("a", 1, "t"), ("a", 2, None), ("b", 2, "t")], "id string, tmdb_id long, title string")
     summaries = spark.createDataFrame([("a",), ("b",), ("b",)], "movie_id string")
@@ -147,5 +175,5 @@ def test_json_documents_leave_absent_fields_out(spark, store):
     }
     assert json.loads(json_documents(docs, "id").first().json) == expected
     path = work_path(spark, "export")
-    write_documents(docs.drop("segment"), path)
+    write_documents(docs, path)
     assert json.loads(spark.read.text(path).first().value) == expected

@@ -133,6 +133,7 @@ def test_unwritten_summaries_are_a_warning(spark, store, monkeypatch):
 
 def test_pool_sizes():
     assert [candidates.pool_size(n) for n in (0, 1, 8, 10, 15, 20, 50)] == [50, 40, 40, 50, 75, 100, 100]
+    assert [candidates.pool_size(500, most) for most in (100, 300, None)] == [100, 300, 2500]
 
 
 def test_a_call_happens_once_per_title(spark, tmp_path):

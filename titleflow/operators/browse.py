@@ -19,7 +19,8 @@ SENTIMENT_SORT = "overall_sentiment"
 DEFAULT_LIMIT, MAX_LIMIT = 20, 100
 SEARCH_LIMIT, MAX_SEARCH = 10, 50
 UI_PAGE = 24
-MAX_IDS = 100
+# ids that one call for summaries looks at
+MAX_SUMMARY_IDS = 100
 
 
 @dataclass
@@ -124,8 +125,6 @@ def documents_of(movies: DataFrame) -> DataFrame:
         F.when(F.size("genres") > 0, F.col("genres")).alias("genres"),
         "summary",
     ]
-    if "segment" in movies.columns:
-        columns.append("segment")
     return movies.select(*columns)
 
 
@@ -136,7 +135,6 @@ def summary_documents(summary_lists: DataFrame) -> DataFrame:
 
     return summary_lists.select(
         "movie_id",
-        "segment",
         F.col("overall_sentiment").cast("int").alias("overall_sentiment"),
         text.blank_to_null(F.col("audience_consensus")).alias("audience_consensus"),
         text.blank_to_null(F.col("recommendation")).alias("recommendation"),
@@ -146,18 +144,12 @@ def summary_documents(summary_lists: DataFrame) -> DataFrame:
     )
 
 
-def requested_ids(ids: DataFrame, order: str = "pos", column: str = "movie_id") -> DataFrame:
-    """The first hundred ids asked for, then without blank ones, then each once."""
-    return (
-        ids.orderBy(order).limit(MAX_IDS).select(column)
-        .filter(text.trim_ws(F.col(column)) != "")
-        .distinct()
-    )
-
-
-def id_list(ids: DataFrame, column: str = "movie_id") -> list[str]:
-    """The ids of :func:`requested_ids`, for a filter that reaches the scan."""
-    return [row[column] for row in requested_ids(ids, column=column).collect()]
+def requested_ids(
+    ids: DataFrame, order: str = "pos", column: str = "movie_id", most: int | None = None
+) -> DataFrame:
+    """The ids asked for, without blank ones, each once; with ``most`` only the first so many are looked at."""
+    asked = ids if most is None else ids.orderBy(order).limit(most)
+    return asked.select(column).filter(text.trim_ws(F.col(column)) != "").distinct()
 
 
 def cards(docs: DataFrame) -> DataFrame:

@@ -15,7 +15,6 @@ MIN_POPULARITY = 20.0
 RECENT_MONTHS = 6
 DEFAULT_FEED_ORDER = "popularity.desc"
 POOL_DEFAULT_LIMIT, POOL_FACTOR, POOL_LEAST, POOL_MOST = 10, 5, 40, 100
-FEED_PAGE, FEED_PAGES = 20, 5
 
 SKIP, METADATA_ONLY, FULL = "skip", "metadata_only", "full"
 
@@ -51,15 +50,16 @@ def feed_order(sort_by: str | None) -> list[Column]:
     return [F.col(column).asc() if direction == "asc" else F.col(column).desc(), F.col("id")]
 
 
-def pool_size(limit: int) -> int:
+def pool_size(limit: int, most: int | None = POOL_MOST) -> int:
+    """Several times ``limit``, ``most`` at most; None has no bound."""
     limit = limit if limit > 0 else POOL_DEFAULT_LIMIT
-    wanted = min(max(limit * POOL_FACTOR, POOL_LEAST), POOL_MOST)
-    return min(wanted, FEED_PAGE * FEED_PAGES)
+    wanted = max(limit * POOL_FACTOR, POOL_LEAST)
+    return wanted if most is None else min(wanted, most)
 
 
-def candidate_pool(titles: DataFrame, limit: int) -> DataFrame:
+def candidate_pool(titles: DataFrame, limit: int, most: int | None = POOL_MOST) -> DataFrame:
     """The most popular titles, several times the number that will be worked on."""
-    return titles.orderBy(*feed_order(DEFAULT_FEED_ORDER)).limit(pool_size(limit))
+    return titles.orderBy(*feed_order(DEFAULT_FEED_ORDER)).limit(pool_size(limit, most))
 
 
 def candidate_state(

@@ -71,23 +71,14 @@ def with_genres(movies: DataFrame, genres: DataFrame) -> DataFrame:
     return movies.join(found, "id", "left").withColumn("genres", F.coalesce("genres", empty))
 
 
-def summaries_with_lists(
-    summaries: DataFrame, points: DataFrame, themes: DataFrame, max_list: int = lists.MAX_LIST
-) -> DataFrame:
-    """Summary rows with ``pros``, ``cons`` and ``themes``.
+def summaries_with_lists(summaries: DataFrame, points: DataFrame, themes: DataFrame) -> DataFrame:
+    """Summary rows with ``pros``, ``cons`` and ``themes``: one row per summary.
 
-    Each child table is grouped on its own before it is joined, so the two do not
-    multiply. Lists beyond ``max_list`` continue in further rows of the title.
+    Both child tables are grouped in one pass before the join, so they do not multiply.
     """
-    found = lists.point_lists(points, max_list).join(
-        lists.theme_lists(themes, max_list), ["movie_id", "segment"], "full"
-    )
     empty = F.array().cast("array<string>")
-    return (
-        summaries.join(found, "movie_id", "left")
-        .withColumn("segment", F.coalesce("segment", F.array(F.lit(0).cast("bigint"))))
-        .withColumns({c: F.coalesce(c, empty) for c in ("pros", "cons", "themes")})
-    )
+    return summaries.join(lists.entry_lists(points, themes), "movie_id", "left").withColumns(
+        {c: F.coalesce(c, empty) for c in ("pros", "cons", "themes")})
 
 
 def summary_state(summaries: DataFrame, points: DataFrame, themes: DataFrame) -> DataFrame:
@@ -122,7 +113,6 @@ def with_summaries(movies: DataFrame, summary_lists: DataFrame | None) -> DataFr
         "overall_sentiment", "audience_consensus", "recommendation", "pros", "cons", "themes")])
     found = summary_lists.select(
         F.col("movie_id").alias("id"),
-        "segment",
         F.coalesce("review_count", F.lit(0)).alias("__count"),
         F.when(says, _summary_struct()).alias("summary"),
     )

@@ -1,9 +1,8 @@
 """Child rows of a title as lists.
 
-A list of a title is one array as long as it has at most ``MAX_LIST`` entries. The
-child rows of a larger title are split over several groups, so its lists come back in
-segments: rows with the same ``movie_id`` and rising ``segment``. Nothing is dropped
-and no group grows with the data.
+A title has one row, however many child rows it has and whatever their ordinals are. An array of a title is as long
+as its list, as the document is that holds it; where lists may outgrow a document, take the child rows themselves
+(:func:`entries`), which no title gathers.
 """
 
 from __future__ import annotations
@@ -11,10 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from titleflow.session import rows_up_to
-
-MAX_LIST = 100_000
-SMALL_CROWD = 1_000
+PRO, CON, THEME = "pro", "con", "theme"
 
 
 def genre_lists(genres: DataFrame) -> DataFrame:
@@ -26,35 +22,11 @@ def genre_lists(genres: DataFrame) -> DataFrame:
     return genres.groupBy("movie_id").agg(F.sort_array(F.collect_set("genre")).alias("genres"))
 
 
-def segmented(children: DataFrame, max_list: int = MAX_LIST) -> DataFrame:
-    """Adds ``segment``, an array that orders the groups of a title.
-
-    Ordinals are cut into ranges of ``max_list``: with unique ordinals that bounds each
-    group. A range that still holds too many rows, because ordinals repeat, is cut by
-    ordinal and by a hash of the row; which ranges those are is counted first, and in
-    the usual case of none the children are not joined with anything.
-    """
-    span = F.floor(F.coalesce("ordinal", F.lit(0)) / max_list)
-    ranged = children.withColumn("__range", span)
-    crowded = (
-        ranged.groupBy("movie_id", "__range").agg(F.count(F.lit(1)).alias("__rows"))
-        .filter(F.col("__rows") > max_list)
-    )
-    few = rows_up_to(crowded, SMALL_CROWD)
-    if few == []:
-        return ranged.withColumn("segment", F.array("__range")).drop("__range")
-    if few is not None:
-        crowded = F.broadcast(children.sparkSession.createDataFrame(few, crowded.schema))
-    salt = F.pmod(F.xxhash64(*children.columns), F.ceil(F.col("__rows") / max_list))
-    return (
-        ranged.join(crowded, ["movie_id", "__range"], "left")
-        .withColumn(
-            "segment",
-            F.when(F.col("__rows").isNull(), F.array("__range"))
-            .otherwise(F.array("__range", F.col("ordinal").cast("bigint"), salt)),
-        )
-        .drop("__range", "__rows")
-    )
+def entries(points: DataFrame, themes: DataFrame) -> DataFrame:
+    """Points and themes as one table ``(movie_id, type, ordinal, content)``; other types are left out."""
+    shown = points.filter(F.col("type").isin(PRO, CON)).select("movie_id", "type", "ordinal", "content")
+    return shown.unionByName(
+        themes.select("movie_id", F.lit(THEME).alias("type"), "ordinal", F.col("theme").alias("content")))
 
 
 def _ordered(value: str, condition: Column | None = None) -> Column:
@@ -63,25 +35,23 @@ def _ordered(value: str, condition: Column | None = None) -> Column:
     return F.transform(F.sort_array(F.collect_list(entry)), lambda row: row["value"])
 
 
-def point_lists(points: DataFrame, max_list: int = MAX_LIST) -> DataFrame:
-    """``(movie_id, segment, pros, cons)`` in ordinal order; other types are ignored."""
-    return (
-        segmented(points, max_list)
-        .groupBy("movie_id", "segment")
-        .agg(
-            _ordered("content", F.col("type") == "pro").alias("pros"),
-            _ordered("content", F.col("type") == "con").alias("cons"),
-        )
+def point_lists(points: DataFrame) -> DataFrame:
+    """``(movie_id, pros, cons)`` in ordinal order; other types are ignored."""
+    return points.groupBy("movie_id").agg(
+        _ordered("content", F.col("type") == PRO).alias("pros"),
+        _ordered("content", F.col("type") == CON).alias("cons"),
     )
 
 
-def theme_lists(themes: DataFrame, max_list: int = MAX_LIST) -> DataFrame:
-    """``(movie_id, segment, themes)`` in ordinal order."""
-    return (
-        segmented(themes, max_list)
-        .groupBy("movie_id", "segment")
-        .agg(_ordered("theme").alias("themes"))
-    )
+def theme_lists(themes: DataFrame) -> DataFrame:
+    """``(movie_id, themes)`` in ordinal order."""
+    return themes.groupBy("movie_id").agg(_ordered("theme").alias("themes"))
+
+
+def entry_lists(points: DataFrame, themes: DataFrame) -> DataFrame:
+    """``(movie_id, pros, cons, themes)`` from one aggregation over both child tables."""
+    return entries(points, themes).groupBy("movie_id").agg(
+        *(_ordered("content", F.col("type") == kind).alias(name) for kind, name in ((PRO, "pros"), (CON, "cons"), (THEME, "themes"))))
 
 
 def nonblank(children: DataFrame, column: str) -> DataFrame:

@@ -37,7 +37,7 @@ def catalog_sync(
     Known titles are left alone, so a page that is delivered twice changes nothing.
     """
     batch = written(catalogue_batch(pages, genre_payloads), "catalogue-batch")
-    before = store.read("movies").select("id")
+    before = store.rows_of("movies", batch, "id").select("id")
     errors = listings.malformed(pages, "listing").agg(F.count(F.lit(1))).scalar()
     counters = counts.catalogue_counters(batch, before).withColumn("errors", errors)
     counters = written(counters, "catalogue-counters")

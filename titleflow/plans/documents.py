@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from titleflow.functions.dates import Moment
 from titleflow.operators import browse as b
-from titleflow.operators import joins
+from titleflow.operators import joins, lists
 
 
 def browse(
@@ -37,20 +37,48 @@ def search(tables: dict[str, DataFrame], query: str, limit: int | None = None) -
 
 
 def documents(tables: dict[str, DataFrame], ids: DataFrame) -> DataFrame:
-    """Documents of the asked ids (``movie_id``, ``pos``): at most a hundred per call."""
-    return _documents(tables["movies"].filter(F.col("id").isin(b.id_list(ids))), tables)
+    """Documents of the asked ids (``movie_id``), as many as are asked for; unknown ids are absent."""
+    return export(_of(tables, b.requested_ids(ids)))
 
 
-def summaries(tables: dict[str, DataFrame], ids: DataFrame) -> DataFrame:
-    """Summary documents of the asked ids; unknown ids are absent."""
-    wanted = b.id_list(ids)
+def summaries(
+    tables: dict[str, DataFrame], ids: DataFrame, most: int | None = b.MAX_SUMMARY_IDS
+) -> DataFrame:
+    """Summary documents of the asked ids (``movie_id``, ``pos``); unknown ids are absent.
 
-    def of(table: str) -> DataFrame:
-        return tables[table].filter(F.col("movie_id").isin(wanted))
+    A batch looks at the first ``most`` ids; None looks at all.
+    """
+    return export_summaries(_of(tables, b.requested_ids(ids, most=most)))
 
-    return b.summary_documents(
-        joins.summaries_with_lists(of("movie_summaries"), of("movie_points"), of("movie_themes"))
-    )
+
+def export(tables: dict[str, DataFrame]) -> DataFrame:
+    """Documents of all movies, one row each; without a summary table none has a summary."""
+    found = None
+    if tables.get("movie_summaries") is not None:
+        found = joins.summaries_with_lists(
+            tables["movie_summaries"], tables["movie_points"], tables["movie_themes"])
+    movies = joins.with_genres(tables["movies"], tables["movie_genres"])
+    return b.documents_of(joins.with_summaries(movies, found))
+
+
+def export_summaries(tables: dict[str, DataFrame]) -> DataFrame:
+    """Summary documents of all summaries, one row each."""
+    return b.summary_documents(joins.summaries_with_lists(
+        tables["movie_summaries"], tables["movie_points"], tables["movie_themes"]))
+
+
+def export_entries(tables: dict[str, DataFrame]) -> DataFrame:
+    """Points and themes as rows ``(movie_id, type, position, content)``, for lists too long for a document."""
+    return lists.entries(tables["movie_points"], tables["movie_themes"]).withColumnRenamed("ordinal", "position")
+
+
+def _of(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
+    """The rows of the asked titles in every table."""
+    def kept(name: str, frame: DataFrame) -> DataFrame:
+        key = "id" if name == "movies" else "movie_id"
+        return frame.join(ids.select(F.col("movie_id").alias(key)), key, "left_semi")
+
+    return {name: kept(name, frame) for name, frame in tables.items() if frame is not None}
 
 
 def _documents(page: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:

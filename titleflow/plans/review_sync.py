@@ -13,6 +13,7 @@ from titleflow.functions.dates import Moment
 from titleflow.operators import candidates as c
 from titleflow.operators import counts, joins, reviews
 from titleflow.plans import seam
+from titleflow.plans.state import plan_stored
 from titleflow.session import written
 from titleflow.sinks.store import TableStore
 
@@ -38,6 +39,10 @@ class Settings:
     months: int = c.RECENT_MONTHS
     min_words: int = reviews.MIN_WORDS
     max_reviews: int = reviews.MAX_REVIEWS
+    # titles that a run looks at, at most; a run that is to work on more titles needs more
+    max_pool: int = c.POOL_MOST
+    # summariser calls at the same time
+    parallel_calls: int = seam.PARALLEL_CALLS
 
 
 @dataclass
@@ -55,10 +60,10 @@ ERRORS = "id string, error string"
 def discover(inputs: Inputs, now: Moment, limit: int, settings: Settings) -> DataFrame:
     """The ranked candidate pool, with details.
 
-    The pool is a top-k of at most a hundred rows, so it is numbered as it arrives.
+    The pool is a top-k of at most ``settings.max_pool`` rows, so it is numbered as it arrives.
     """
     feed = c.popular_recent(inputs.titles, now, settings.min_popularity, settings.months)
-    top = c.candidate_pool(feed, limit)
+    top = c.candidate_pool(feed, limit, settings.max_pool)
     rows = [(*row, rank) for rank, row in enumerate(top.collect())]
     schema = T.StructType([*top.schema.fields, T.StructField("rank", T.IntegerType())])
     pool = top.sparkSession.createDataFrame(rows, schema)
@@ -125,7 +130,7 @@ def process(
         F.lit(None).cast("string").alias("error"),
     )
     if inputs.summarise is not None:
-        replies = seam.call_summariser(prompts.filter("asks"), inputs.summarise)
+        replies = seam.call_summariser(prompts.filter("asks"), inputs.summarise, settings.parallel_calls)
         summaries = summaries.unionByName(seam.summaries_of(replies))
 
     outcomes = work.join(
@@ -139,13 +144,6 @@ def process(
     return outcomes.select("id", "title", "error")
 
 
-def _plan(store: TableStore, pool: DataFrame, now: Moment) -> DataFrame:
-    state = joins.summary_state(
-        store.read("movie_summaries"), store.read("movie_points"), store.read("movie_themes")
-    )
-    return c.plan_actions(pool, store.read("movies"), state, now)
-
-
 def _failures(outcomes: DataFrame) -> DataFrame:
     return outcomes.filter(F.col("error").isNotNull()).select("id", "error")
 
@@ -155,7 +153,7 @@ def review_sync(
 ) -> Outcome:
     """Work on the next ``limit`` titles of the pool that need it."""
     warnings: list[str] = []
-    planned = written(_plan(store, discover(inputs, now, limit, settings), now), "plan")
+    planned = written(plan_stored(store, discover(inputs, now, limit, settings), now), "plan")
     batch = c.fill_batch(planned, limit)
     outcomes = process(store, _work_columns(batch.work), inputs, now, settings, warnings)
     return Outcome(counts.run_counters(outcomes, batch.counts), _failures(outcomes), warnings)
@@ -170,13 +168,14 @@ def targeted_sync(
     An unknown target is one error; the other slots are filled all the same.
     """
     spark, warnings = store.spark, []
-    stored = store.read("movies").filter(F.col("id") == target)
+    asked = spark.createDataFrame([(target,)], "id string")
+    stored = store.rows_of("movies", asked, "id")
     known = not stored.isEmpty()
     errors = spark.createDataFrame([], ERRORS)
     counters = spark.range(1).select(F.lit(0).alias("discovered"), F.lit(0).alias("skipped"))
     outcomes = spark.createDataFrame([], "id string, title string, error string")
     if known:
-        genres = store.read("movie_genres").filter(F.col("movie_id") == target)
+        genres = store.rows_of("movie_genres", asked, "id")
         forced = _as_candidates(stored, genres).withColumn("action", F.lit(c.FULL))
         outcomes = process(store, _work_columns(forced), inputs, now, settings, warnings)
     else:
@@ -184,7 +183,7 @@ def targeted_sync(
         errors = spark.createDataFrame([(target, message)], ERRORS)
     if limit - 1 > 0:
         pool = discover(inputs, now, limit - 1, settings)
-        planned = written(_plan(store, pool, now), "plan")
+        planned = written(plan_stored(store, pool, now), "plan")
         others = planned.filter(F.col("id") != target)
         batch = c.fill_batch(others, limit - 1 if known else limit)
         filled = process(store, _work_columns(batch.work), inputs, now, settings, warnings)

@@ -15,11 +15,8 @@ Summarise = Callable[[str], str]
 
 REPLIES = "movie_id string, review_count bigint, title string, reply string, call_error string"
 
-# fixed value: the role text sent along with every prompt
-SYSTEM_MESSAGE = (
-    "You are a professional film critic and audience sentiment analyst. Analyze movie reviews "
-    "and output structured JSON strictly matching the requested schema."
-)
+# tasks that call the summariser side by side
+PARALLEL_CALLS = 8
 
 
 def stub_reply() -> Summarise:
@@ -39,8 +36,10 @@ def stub_reply() -> Summarise:
     return reply
 
 
-def call_summariser(prompts: DataFrame, summarise: Summarise) -> DataFrame:
-    """One call per prompt, batched by partition; an error stays with its title.
+def call_summariser(
+    prompts: DataFrame, summarise: Summarise, parallel: int = PARALLEL_CALLS
+) -> DataFrame:
+    """One call per prompt, in ``parallel`` tasks; an error stays with its title.
 
     The result is written once: retries of later steps must not call again.
     """
@@ -59,7 +58,7 @@ def call_summariser(prompts: DataFrame, summarise: Summarise) -> DataFrame:
             yield batch.assign(reply=replies, call_error=errors)
 
     columns = prompts.select("movie_id", "review_count", "title", "prompt")
-    return written(columns.mapInPandas(call, REPLIES), "replies")
+    return written(columns.repartition(parallel, "movie_id").mapInPandas(call, REPLIES), "replies")
 
 
 def summaries_of(replies: DataFrame) -> DataFrame:

@@ -31,13 +31,20 @@ def _finding(table: str, rule: str, rows: DataFrame, key, n) -> DataFrame:
     )
 
 
-def _grouped(table: str, rule: str, rows: DataFrame, key: str) -> DataFrame:
-    counts = rows.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    return _finding(table, rule, counts, F.col("k"), F.col("n"))
+def _broken(table: str, frame: DataFrame, rules: dict, key: str) -> DataFrame:
+    """Rows that break rules (conditions by name), all in one pass."""
+    hits = F.filter(
+        F.array(*(F.when(condition, F.lit(rule)) for rule, condition in rules.items())), lambda rule: rule.isNotNull())
+    counts = frame.select(F.col(key).alias("k"), F.explode(hits).alias("rule")).groupBy("k", "rule").agg(F.count("*").alias("n"))
+    return counts.select(
+        F.lit(table).alias("table_name"), "rule", F.col("k").cast("string").alias("row_key"), F.col("n").cast("bigint").alias("row_count"))
 
 
 def violations(tables: dict[str, DataFrame]) -> DataFrame:
-    """``(table_name, rule, row_key, row_count)``, counted per key before anything is shuffled."""
+    """``(table_name, rule, row_key, row_count)``, counted per key before anything is shuffled.
+
+    A table is scanned once for its null and value rules, and once for each key and reference.
+    """
     found = []
     for table, frame in tables.items():
         key = schemas.TABLE_KEYS[table]
@@ -47,17 +54,17 @@ def violations(tables: dict[str, DataFrame]) -> DataFrame:
             )
             label = F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
             found.append(_finding(table, f"unique({','.join(columns)})", repeated, label, F.col("n")))
-        for field in schemas.TABLES[table].fields:
-            if not field.nullable and field.name in frame.columns:
-                missing = frame.filter(F.col(field.name).isNull())
-                found.append(_grouped(table, f"not_null({field.name})", missing, key))
-        for column, allowed in VALUES.get(table, {}).items():
-            found.append(
-                _grouped(table, f"in_list({column})", frame.filter(~F.col(column).isin(allowed)), key)
-            )
+        rules = {
+            f"not_null({f.name})": F.col(f.name).isNull()
+            for f in schemas.TABLES[table].fields if not f.nullable and f.name in frame.columns
+        }
+        rules |= {f"in_list({column})": ~F.col(column).isin(allowed) for column, allowed in VALUES.get(table, {}).items()}
+        if rules:
+            found.append(_broken(table, frame, rules, key))
         parent = PARENTS.get(table)
         if parent and parent[0] in tables:
             parents = tables[parent[0]].select(F.col(parent[1]).alias(key))
             orphans = frame.join(parents, key, "left_anti")
-            found.append(_grouped(table, f"references({parent[0]})", orphans, key))
+            counts = orphans.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+            found.append(_finding(table, f"references({parent[0]})", counts, F.col("k"), F.col("n")))
     return reduce(DataFrame.unionByName, found)

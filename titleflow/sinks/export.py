@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 def json_documents(docs: DataFrame, key: str) -> DataFrame:
     """``(key, json)``; NULL fields do not appear in the text."""
-    shown = [c for c in docs.columns if c != "segment"]
-    return docs.select(key, F.to_json(F.struct(*shown)).alias("json"))
+    return docs.select(key, F.to_json(F.struct(*docs.columns)).alias("json"))
 
 
 def write_documents(docs: DataFrame, path: str) -> None:

@@ -1,19 +1,22 @@
 """The six tables as Parquet, hash-bucketed by key.
 
-Every table is partitioned by ``bucket``, a hash of its key. A merge reads and rewrites
-only the buckets that the batch touches, so its cost follows the batch and not the
-table. Each written bucket also holds one marker row without a key: a bucket that loses
-its last row is still overwritten. Reads leave marker rows out.
+A write goes to a version folder of its own and holds the buckets that it touches. A manifest then names the
+version of every bucket; it is one small file, written last, and the newest one is the table. So a merge reads and
+rewrites only the buckets that its batch touches, readers see a table before or after a write and never
+between, and a failed write leaves the table as it was. Two writers that start from the same manifest cannot both
+finish. The number of buckets is part of the manifest, and a store with another number is refused.
 
-Rows are rebalanced by bucket before the write: small buckets share a task and a bucket
-that one title fills is split over several.
+Cost of a merge: random keys touch all buckets once a batch has several times as many titles as there are
+buckets. Choose their number so that a bucket holds one or a few files of a usual size.
 
-A merge replaces whole buckets and can be repeated: after a failure between two tables,
-running the job again repairs both.
+Rows are rebalanced by bucket before the write: small buckets share a task and a bucket that one title fills is
+split over several. Older versions stay until the folder is cleaned by age.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +28,7 @@ from titleflow.session import written
 from titleflow.sinks import merge
 
 BUCKETS = 64
+MANIFEST = "bucket int, version string, buckets int, number int"
 
 
 class TableStore:
@@ -46,17 +50,30 @@ class TableStore:
         fields = [T.StructField(f.name, f.dataType, True) for f in schemas.TABLES[table].fields]
         return T.StructType([*fields, T.StructField("bucket", T.IntegerType())])
 
-    def _buckets(self, table: str, touched: list[int] | None) -> DataFrame:
-        schema = self._stored_schema(table)
+    def _manifest(self, table: str) -> tuple[int, dict[int, str]]:
+        """The number of the newest manifest, 0 for none, and the version of each bucket that holds rows."""
         try:
-            frame = self.spark.read.schema(schema).parquet(self.path(table))
+            found = self.spark.read.schema(MANIFEST).parquet(f"{self.path(table)}/manifest")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
+            return 0, {}
+        newest = found.filter(F.col("number") == found.agg(F.max("number")).first()[0]).collect()
+        if not newest:
+            return 0, {}
+        if newest[0].buckets != self.buckets:
+            raise ValueError(f"{table} has {newest[0].buckets} buckets, not {self.buckets}")
+        return newest[0].number, {row.bucket: row.version for row in newest if row.version is not None}
+
+    def _buckets(self, table: str, touched: list[int] | None) -> DataFrame:
+        schema = self._stored_schema(table)
+        versions = self._manifest(table)[1]
+        wanted = versions if touched is None else {b: versions[b] for b in touched if b in versions}
+        if not wanted:
             return self.spark.createDataFrame([], schema)
-        if touched is not None:
-            frame = frame.filter(F.col("bucket").isin(touched))
-        return frame.filter(F.col(schemas.TABLE_KEYS[table]).isNotNull())
+        places = [f"{self.path(table)}/data/version={version}/bucket={bucket}" for bucket, version in sorted(wanted.items())]
+        stored = T.StructType([*schema.fields, T.StructField("version", T.StringType())])
+        return self.spark.read.schema(stored).option("basePath", f"{self.path(table)}/data").parquet(*places).drop("version")
 
     def bucket_of(self, key: str | Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
@@ -67,31 +84,37 @@ class TableStore:
         return sorted(row.bucket for row in rows)
 
     def _overwrite(self, table: str, rows: DataFrame, touched: list[int]) -> None:
-        schema = self._stored_schema(table)
+        """Put ``rows`` in the place of the touched buckets."""
         key = schemas.TABLE_KEYS[table]
-        rows = rows.select(
-            *[F.col(f.name).cast(f.dataType) for f in schemas.TABLES[table].fields],
-            self.bucket_of(key).alias("bucket"),
-        )
-        nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields[:-1]]
-        bucket = F.col("id").cast("int")
-        markers = self.spark.range(self.buckets).filter(bucket.isin(touched)).select(
-            *nothing, bucket.alias("bucket")
-        )
+        number, versions = self._manifest(table)
+        version = uuid.uuid4().hex
+        data = f"{self.path(table)}/data/version={version}"
         (
-            rows.unionByName(markers)
+            rows.select(
+                *[F.col(f.name).cast(f.dataType) for f in schemas.TABLES[table].fields],
+                self.bucket_of(key).alias("bucket"),
+            )
             .hint("rebalance", "bucket")
             .sortWithinPartitions("bucket", key)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("bucket")
-            .parquet(self.path(table))
+            .write.partitionBy("bucket")
+            .parquet(data)
         )
+        filled = self.spark.read.schema(self._stored_schema(table)).parquet(data).select("bucket").distinct().collect()
+        versions = {b: v for b, v in versions.items() if b not in set(touched)} | {row.bucket: version for row in filled}
+        entries = [(b, versions.get(b), self.buckets) for b in range(self.buckets)]
+        manifest = self.spark.createDataFrame(entries, "bucket int, version string, buckets int").coalesce(1)
+        manifest.write.mode("error").parquet(f"{self.path(table)}/manifest/number={number + 1}")
 
     def create(self, table: str, rows: DataFrame) -> None:
         """Write a whole table."""
         self._overwrite(table, rows, list(range(self.buckets)))
 
+    def rows_of(self, table: str, keys: DataFrame, column: str) -> DataFrame:
+        """The table's rows of some titles, named by ``column`` of ``keys``; only their buckets are read."""
+        key = "id" if table == "movies" else "movie_id"
+        wanted = keys.select(F.col(column).alias(key)).distinct()
+        return self._buckets(table, self.touched(wanted, key)).drop("bucket").join(wanted, key, "left_semi")
+
     def upsert(
         self, table: str, new: DataFrame, keep_non_null: bool = False,
         touched: list[int] | None = None,

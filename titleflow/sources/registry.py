@@ -6,11 +6,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from titleflow import schemas
+from titleflow.session import written
 
 Fetch = Callable[[SparkSession], DataFrame]
 
@@ -40,15 +40,16 @@ class Sources:
     def collect(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
         """Reviews of all sources with their rank, and one error row per failing source.
 
-        A source that cannot be read contributes nothing and stops no other one.
+        Each source is written once as it is read, so one that breaks on the way contributes
+        nothing and stops no other one.
         """
         names = schemas.REVIEWS.fieldNames()
         frames, failed = [], []
         for rank, (name, fetch) in enumerate(self.review.items()):
             try:
-                frame = fetch(spark).select(*names).withColumn("source_rank", F.lit(rank))
-            except (PySparkException, OSError, ValueError) as error:
-                failed.append((name, str(error).splitlines()[0]))
+                frame = written(fetch(spark).select(*names), "source").withColumn("source_rank", F.lit(rank))
+            except Exception as error:  # whatever a source's reader raises belongs to that source
+                failed.append((name, str(error) or type(error).__name__))
                 continue
             frames.append(frame)
         if not frames:

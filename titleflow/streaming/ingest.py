@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from titleflow import schemas
 from titleflow.functions.dates import Moment
-from titleflow.operators import candidates, joins
 from titleflow.plans.catalog_sync import catalog_sync
+from titleflow.plans.state import plan_stored
 from titleflow.sinks.store import TableStore
 from titleflow.sources.listings import parse_payloads
 
@@ -80,10 +80,6 @@ def plan_stream(
     """
 
     def plan(batch: DataFrame, batch_id: int) -> None:
-        state = joins.summary_state(
-            store.read("movie_summaries"), store.read("movie_points"), store.read("movie_themes")
-        )
-        planned = candidates.plan_actions(batch, store.read("movies"), state, now)
-        planned.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+        plan_stored(store, batch, now).write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
 
     return run_available(arriving, checkpoint, plan)
