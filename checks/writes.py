@@ -413,10 +413,26 @@ def str3(spark, d):
 @query("str3_cooldown_gate_split", GATE_SQL)
 def str3_split(spark, d):
     """Every title on the path for titles with too many requests for one group."""
-    return accepted(gate.gate_requests(REQUESTS.frame(spark, d), None, None, hot_requests=10, column_requests=25))
+    return accepted(gate.gate_requests(REQUESTS.frame(spark, d), None, None, hot_requests=10, columns=25))
 
 
-TWO_HOURS = 2 * gate.HOUR
+# the events of a day within a second, seven hours after those of the day before
+BURST_TIMES = """SELECT 'tmdb_' || user_id AS movie_id, min(event_id) AS id,
+    make_timestamp(1704067200000000 + (s // 86400 - 19723) * 25200000000 + s % 86400 * 11) AS ts
+FROM (SELECT user_id % 20 AS user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events) GROUP BY ALL"""
+
+
+@query("str3_cooldown_gate_burst", f"""{chain(BURST_TIMES, FREE_START)}
+SELECT t.movie_id, t.id AS request_id FROM acc JOIN t USING (movie_id, ts)""")
+def str3_burst(spark, d):
+    """Few titles, whose requests come in bursts, on the path for titles with too many requests for one group."""
+    seconds = "CAST(floor(unix_micros(CAST(ts AS TIMESTAMP)) / 1000000) AS BIGINT)"
+    micros = f"1704067200000000 + ({seconds} DIV 86400 - 19723) * 25200000000 + {seconds} % 86400 * 11"
+    squeezed = table(spark, d, "events").select(
+        F.col("event_id").alias("request_id"), F.expr("'tmdb_' || user_id % 20").alias("movie_id"),
+        F.expr(f"timestamp_micros({micros})").alias("requested_at"))
+    return accepted(gate.gate_requests(squeezed, None, None, hot_requests=10))
+
 
 PRIOR = STORED_REQUESTS.replace("2024-01-02 17:00:00", "2024-01-05 00:00:00")
 KNOWN_TIMES = f"""SELECT movie_id, ts, id FROM ({EVENT_TIMES}) LEFT JOIN last USING (movie_id)

@@ -30,7 +30,7 @@ def connection():
 
 
 # the slow composed jobs run in ``python -m checks.run``; their parts are tested on their own
-SLOW = {n for n in QUERIES if n.startswith(("job3", "job4", "str1", "str4", "str5", "snk2", "str3_gate", "str3_cooldown_gate_split"))}
+SLOW = {n for n in QUERIES if n.startswith(("job3", "job4", "str1", "str4", "str5", "snk2", "str3_gate", "str3_cooldown_gate_split", "str3_cooldown_gate_burst"))}
 
 
 @needs_data

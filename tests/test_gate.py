@@ -40,17 +40,37 @@ def random_requests(seed, titles, count, days, step=dt.timedelta(seconds=1)):
     return [(i, f"m{rng.randrange(titles)}", START + step * rng.randrange(span)) for i in range(count)]
 
 
-@pytest.mark.parametrize("seed, titles, count, days, column", [
-    (1, 2, 1500, 9, 60), (3, 5, 400, 30, 9), (4, 1, 2500, 2, 77),
+@pytest.mark.parametrize("seed, titles, count, days, columns", [
+    (1, 2, 1500, 9, 25), (3, 5, 400, 30, 44), (4, 1, 2500, 2, 2),
 ])
-def test_split_chains_equal_the_walk(spark, seed, titles, count, days, column):
+def test_split_chains_equal_the_walk(spark, seed, titles, count, days, columns):
     requests = random_requests(seed, titles, count, days, dt.timedelta(seconds=61, microseconds=7))
     expected = by_hand(requests)
     asked = frame(spark, requests)
-    assert statuses(gate.gate_requests(asked, None, None, hot_requests=0, column_requests=column)) == expected
+    assert statuses(gate.gate_requests(asked, None, None, hot_requests=0, columns=columns)) == expected
     assert statuses(gate.gate_requests(asked, None, None)) == expected
 
 
+def test_a_burst_is_split(spark):
+    """Half of the requests of a title come within a fifth of a second."""
+    rng = random.Random(8)
+    burst = [(i, "m", START + dt.timedelta(hours=7, microseconds=rng.randrange(200_000))) for i in range(2000)]
+    requests = burst + [(5000 + n, t, at) for n, t, at in random_requests(9, 1, 800, 5)]
+    asked = frame(spark, [(n, "m", at) for n, _, at in requests])
+    assert statuses(gate.gate_requests(asked, None, None, hot_requests=0, columns=40)) == by_hand([(n, "m", at) for n, _, at in requests])
+    times = asked.select("movie_id", F.unix_micros("requested_at").alias("micros")).distinct()
+    sizes = []
+    split = gate._split_chain
+    try:
+        gate._split_chain = lambda placed, cooldown: sizes.extend(
+            r["count"] for r in placed.select(F.size(F.filter("edges", lambda e: e <= F.pmod("micros", F.lit(cooldown)))).alias("c")).groupBy("c").count().collect()
+        ) or split(placed, cooldown)
+        gate.accepted_times(times, hot_requests=0, columns=40)
+    finally:
+        gate._split_chain = split
+    assert len(sizes) >= 38 and max(sizes) <= 2 * times.count() / 40
+
+
 def test_only_hot_titles_are_split(spark):
     requests = random_requests(6, 1, 500, 4) + [(1000 + i, "cold", START + dt.timedelta(hours=2 * i)) for i in range(20)]
     assert statuses(gate.gate_requests(frame(spark, requests), None, None, hot_requests=100)) == by_hand(requests)

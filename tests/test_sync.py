@@ -154,3 +154,17 @@ def test_stub_is_deterministic():
     reply = seam.stub_reply()
     assert reply("a\n--- Review #1 ...") == reply("a\n--- Review #1 ...")
     assert json.loads(reply("nothing"))["overall_sentiment"] == 50
+
+
+def test_summariser_calls_are_spread_over_tasks(spark):
+    from titleflow.plans import seam
+
+    prompts = spark.range(40).selectExpr("concat('m', id) AS movie_id", "id AS review_count", "'t' AS title", "'p' AS prompt").coalesce(1)
+
+    def where(prompt):
+        from pyspark import TaskContext
+
+        return str(TaskContext.get().partitionId())
+
+    replies = [r.reply for r in seam.call_summariser(prompts, where).collect()]
+    assert len(replies) == 40 and len(set(replies)) > 2

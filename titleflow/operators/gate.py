@@ -5,9 +5,9 @@ Acceptance depends on the last accepted request, so one title is a chain in time
 with a bounded number of distinct request times are folded as one sorted array each.
 A title with more of them is split:
 
-* Cut time into windows as long as the cooldown, and every window into cells. Cells at
-  the same place of all windows form a column. The more requests a title has, the more
-  columns it gets.
+* Cut time into windows as long as the cooldown, and every window into cells, the same way in all windows. Cells at
+  the same place form a column. Cells are cut at quantiles of the requests' places in their windows, so a
+  burst is cut as finely as requests that are spread, and a column holds about the same part of a title.
 * After an accepted request the next one comes from the same column of the next window,
   or it is the first request of some later cell. So a chain can enter a column only at
   the first request of a cell, and every column can be followed on its own task from
@@ -28,9 +28,9 @@ from titleflow.session import written
 
 HOUR = 3_600_000_000
 COOLDOWN = dates.COOLDOWN_HOURS * HOUR
+# distinct times above which a title is split, and the columns it is split into
 HOT_REQUESTS = 100_000
-COLUMN_REQUESTS = 500_000
-MAX_COLUMNS = 21_600
+COLUMNS = 256
 
 QUEUED, ON_COOLDOWN, NOT_FOUND = "queued", "cooldown", "not_found"
 
@@ -43,18 +43,20 @@ def _window(micros: Column, length: int = COOLDOWN) -> Column:
 
 
 def accepted_times(
-    distinct_times: DataFrame, cooldown: int = COOLDOWN, hot_requests: int = HOT_REQUESTS,
-    column_requests: int = COLUMN_REQUESTS,
+    distinct_times: DataFrame, cooldown: int = COOLDOWN, hot_requests: int = HOT_REQUESTS, columns: int = COLUMNS
 ) -> DataFrame:
     """``(movie_id, micros)`` of the accepted ones among distinct request times."""
     sizes = distinct_times.groupBy("movie_id").agg(F.count(F.lit(1)).alias("n"))
-    hot = sizes.filter(F.col("n") > hot_requests)
+    hot = sizes.filter(F.col("n") > hot_requests).select("movie_id")
     if hot.isEmpty():
         return _fold(distinct_times, cooldown)
     folded = _fold(distinct_times.join(hot, "movie_id", "left_anti"), cooldown)
-    columns = F.least(F.ceil(F.col("n") / column_requests), F.lit(MAX_COLUMNS))
-    cells = hot.select("movie_id", F.ceil(F.lit(cooldown) / columns).cast("bigint").alias("cell"))
-    return folded.unionByName(_split_chain(distinct_times.join(cells, "movie_id"), cooldown))
+    large = distinct_times.join(hot, "movie_id")
+    shares = [k / columns for k in range(1, columns)]
+    cuts = large.groupBy("movie_id").agg(
+        F.percentile_approx(F.pmod("micros", F.lit(cooldown)), shares, 10 * columns).alias("cuts"))
+    edges = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0).cast("bigint")), "cuts", F.array(F.lit(cooldown).cast("bigint")))))
+    return folded.unionByName(_split_chain(large.join(cuts.select("movie_id", edges.alias("edges")), "movie_id"), cooldown))
 
 
 def _fold(times: DataFrame, cooldown: int) -> DataFrame:
@@ -78,12 +80,12 @@ def _fold(times: DataFrame, cooldown: int) -> DataFrame:
 def _split_chain(times: DataFrame, cooldown: int) -> DataFrame:
     """Accepted times of titles that are too large for one group."""
     offset = F.pmod("micros", F.lit(cooldown))
-    place = ((offset - F.pmod(offset, F.col("cell"))) / F.col("cell")).cast("bigint")
-    placed = times.withColumn("column", place)
+    column = F.size(F.filter("edges", lambda edge: edge <= offset))
+    placed = times.select("movie_id", "micros", column.alias("column"), F.element_at("edges", column + 1).alias("ends"))
     follow, walk, trace = _column_functions(cooldown)
     groups = ["movie_id", "column"]
     entries = placed.groupBy(*groups).applyInPandas(
-        follow, "movie_id string, cell bigint, entry bigint, leaves bigint"
+        follow, "movie_id string, entry bigint, leaves bigint, ends bigint"
     )
     used = entries.groupBy("movie_id").applyInPandas(walk, ACCEPTED)
     marked = placed.join(used.withColumn("used", F.lit(True)), ["movie_id", "micros"], "left")
@@ -94,7 +96,7 @@ def _column_functions(cooldown: int):
     """Functions over sorted request times; numpy arrays of one column or of one title."""
 
     def chain_links(pdf):
-        """Sorted times, their windows, and for each time the next one in its column."""
+        """Sorted times, their windows, and for each time the next one in its column, or their number."""
         import numpy as np
 
         t = np.sort(pdf["micros"].to_numpy())
@@ -103,22 +105,32 @@ def _column_functions(cooldown: int):
         inside = following < len(t)
         stays = np.zeros(len(t), dtype=bool)
         stays[inside] = window[following[inside]] == window[inside] + 1
-        return t, window, np.where(stays, following, -1)
+        return t, window, np.where(stays, following, len(t))
+
+    def reached(link, starts):
+        """All places that links lead to from the starts; the reach doubles with every round."""
+        import numpy as np
+
+        seen = np.zeros(len(link) + 1, dtype=bool)
+        seen[starts] = True
+        jump = np.append(link, len(link))
+        while (jump[:-1] < len(link)).any():
+            seen[jump[seen]] = True
+            jump = jump[jump]
+        return np.flatnonzero(seen[:-1])
 
     def follow(pdf):
-        """For the first request of every cell, the last request before the chain leaves."""
+        """For the first request of every cell, the last request before the chain leaves, and the cell's end."""
         import numpy as np
         import pandas as pd
 
         t, window, link = chain_links(pdf)
-        end = np.arange(len(t))
-        for i in range(len(t) - 1, -1, -1):
-            if link[i] >= 0:
-                end[i] = end[link[i]]
+        end = np.where(link < len(t), link, np.arange(len(t)))
+        while (end[end] != end).any():
+            end = end[end]
         first = np.flatnonzero(np.r_[True, window[1:] != window[:-1]])
         return pd.DataFrame({
-            "movie_id": pdf["movie_id"].iloc[0], "cell": pdf["cell"].iloc[0],
-            "entry": t[first], "leaves": t[end[first]],
+            "movie_id": pdf["movie_id"].iloc[0], "entry": t[first], "leaves": t[end[first]], "ends": pdf["ends"].iloc[0],
         })
 
     def walk(pdf):
@@ -131,14 +143,9 @@ def _column_functions(cooldown: int):
         import pandas as pd
 
         pdf = pdf.sort_values("entry")
-        entry, leaves, cell = pdf["entry"].to_numpy(), pdf["leaves"].to_numpy(), pdf["cell"].iloc[0]
-        offset = leaves % cooldown
-        cell_end = np.minimum((offset // cell + 1) * cell, cooldown)
-        following = np.searchsorted(entry, (leaves // cooldown + 1) * cooldown + cell_end)
-        used, i = [], 0
-        while i < len(entry):
-            used.append(entry[i])
-            i = following[i]
+        entry = pdf["entry"].to_numpy()
+        following = np.searchsorted(entry, (pdf["leaves"].to_numpy() // cooldown + 1) * cooldown + pdf["ends"].to_numpy())
+        used = entry[reached(following, [0])]
         return pd.DataFrame({"movie_id": pdf["movie_id"].iloc[0], "micros": used})
 
     def trace(pdf):
@@ -147,20 +154,15 @@ def _column_functions(cooldown: int):
         import pandas as pd
 
         t, _, link = chain_links(pdf)
-        starts = np.sort(pdf.loc[pdf["used"].notna(), "micros"].to_numpy())
-        kept = []
-        for i in np.searchsorted(t, starts):
-            while i >= 0:
-                kept.append(t[i])
-                i = link[i]
-        return pd.DataFrame({"movie_id": pdf["movie_id"].iloc[0], "micros": np.array(kept, dtype="int64")})
+        starts = np.searchsorted(t, pdf.loc[pdf["used"].notna(), "micros"].to_numpy())
+        return pd.DataFrame({"movie_id": pdf["movie_id"].iloc[0], "micros": t[reached(link, starts)].astype("int64")})
 
     return follow, walk, trace
 
 
 def gate_requests(
     requests: DataFrame, movies: DataFrame | None, last_requests: DataFrame | None,
-    hot_requests: int = HOT_REQUESTS, column_requests: int = COLUMN_REQUESTS,
+    hot_requests: int = HOT_REQUESTS, columns: int = COLUMNS,
 ) -> DataFrame:
     """Adds ``status``, ``retry_after_hours`` and ``accepted_at`` to every request.
 
@@ -191,7 +193,7 @@ def gate_requests(
         "gate-times",
     )
     accepted = accepted_times(
-        open_times.select("movie_id", "micros"), COOLDOWN, hot_requests, column_requests
+        open_times.select("movie_id", "micros"), COOLDOWN, hot_requests, columns
     )
     return _decisions(asked, accepted.join(open_times, ["movie_id", "micros"]))
 
