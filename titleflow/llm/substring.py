@@ -1,14 +1,14 @@
 """Substring dedup with an FM-index per shard.
 
 A word goes if a window of ``WINDOW`` words that covers it occurs earlier as well. Windows that are equal share their
-minimizer, the k-gram with the least hash, so the runs of windows around one minimizer are dealt into shards by it, and a
-shard sees all that could equal its windows. Only minimizers that occur twice matter. Runs that are equal as a
-whole collapse before they are dealt; only their first place stays, and the others go at once.
-
-A shard builds an FM-index over its runs: the Burrows-Wheeler transform in a wavelet matrix of packed bits. The runs
-are streamed against it by backward search. Each step adds the word to the left and falls back to the last
-``WINDOW`` words, as matching statistics cut off at that length do; the interval then holds every place of the
-window, and the earliest of them decides.
+minimizer, the k-gram with the least hash, so the runs of windows around one minimizer are dealt by it, under a hash of
+their words: a task sees all that could equal its windows, and no text moves yet. A run that is not the first of its
+equals goes as a whole, mostly before the shuffle. A run whose minimizer has no other run shares no window.
+
+Only runs that differ under one minimizer meet as text, in shards. A shard builds an FM-index over them: the
+Burrows-Wheeler transform in a wavelet matrix of packed bits. The runs are streamed against it by backward search. Each
+step adds the word to the left and falls back to the last ``WINDOW`` words, as matching statistics cut off
+at that length do; the interval then holds every place of the window, and the earliest of them decides.
 """
 
 from __future__ import annotations
@@ -26,8 +26,10 @@ from titleflow.llm.common import SPACE, id_and_text, per_batch, small_batches, w
 WINDOW = 20
 #: Words of a k-gram; a window holds ``WINDOW - GRAM + 1`` of them.
 GRAM = 8
-#: Words that a shard indexes, about; runs of a minimizer with more are cut into single windows and dealt by those.
+#: Words that a shard indexes, about; the windows of a minimizer with more are grouped one by one instead.
 SHARD_WORDS = 200_000
+#: Runs whose first place a task remembers, to tell later ones before the shuffle.
+REMEMBERED = 300_000
 
 _POSITION = np.uint64((1 << 30) - 1)
 
@@ -169,56 +171,153 @@ def earlier_windows(texts: list[list[bytes]], documents: np.ndarray, starts: np.
     return [np.array(f[::-1], dtype=np.int64) for f in found]
 
 
-def _anchors(texts: DataFrame, window: int) -> DataFrame:
-    """``minimizer, doc_id, places``: how many places of a document have the minimizer."""
+def _places(texts: DataFrame, window: int) -> DataFrame:
+    """``minimizer, name, doc_id, start, n, later`` of all runs of ``n`` words; ``name`` is a hash of the words.
+
+    ``later``: an equal run at an earlier place has been seen. Such a run has no group to go to, so its ``minimizer``
+    is a number that spreads.
+    """
 
     def make():
+        from xxhash import xxh64_intdigest
+
+        first_places: dict[tuple[int, int], tuple[int, int]] = {}
+
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found, of, counts = [], [], []
-            for doc, text in zip(batch["doc_id"].to_numpy(zero_copy_only=False), batch["text"].to_pylist()):
-                values, times = np.unique(runs(words_of(text), window)[0], return_counts=True)
-                found.append(values)
-                counts.append(times)
-                of.append(np.full(len(values), doc, dtype=np.int64))
-            arrays = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (found, of, counts)]
-            return pa.RecordBatch.from_arrays([pa.array(arrays[0]), pa.array(arrays[1]), pa.array(arrays[2].astype(np.int32))], ["minimizer", "doc_id", "places"])
+            out: tuple[list, list, list, list, list, list] = ([], [], [], [], [], [])
+            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+                words = words_of(text)
+                minimizers, firsts, windows = runs(words, window)
+                lengths = windows + (window - 1)
+                names, later = [], []
+                for key, a, n in zip(minimizers.tolist(), firsts.tolist(), lengths.tolist()):
+                    name = xxh64_intdigest(b" ".join(words[a:a + n]))
+                    names.append(name)
+                    known = first_places.get((key, name))
+                    is_later = known is not None and known < (doc, a)
+                    later.append(is_later)
+                    if not is_later:
+                        if len(first_places) >= REMEMBERED:
+                            first_places.clear()
+                        first_places[key, name] = (doc, a)
+                named = np.array(names, dtype=np.uint64).view(np.int64)
+                gone = np.array(later, dtype=bool)
+                for column, values in zip(out, (
+                        np.where(gone, named ^ firsts ^ doc, minimizers), named, np.full(len(names), doc, dtype=np.int64), firsts, lengths, gone)):
+                    column.append(values)
+            arrays = [np.concatenate(x) if x else np.empty(0, np.int64) for x in out]
+            return pa.RecordBatch.from_arrays([
+                *(pa.array(x.astype(np.int64)) for x in arrays[:3]), *(pa.array(x.astype(np.int32)) for x in arrays[3:5]),
+                pa.array(arrays[5].astype(bool))], ["minimizer", "name", "doc_id", "start", "n", "later"])
 
         return step
 
-    return texts.mapInArrow(per_batch(make), "minimizer bigint, doc_id bigint, places int")
+    return texts.mapInArrow(per_batch(make), "minimizer bigint, name bigint, doc_id bigint, start int, n int, later boolean")
+
 
+def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From places sorted by ``minimizer, name, doc_id, start``: runs that are not the first of their equals, and with
+    ``mixed`` the first ones of every minimizer that has several names. One row is held at a time."""
+    columns = ["minimizer", "doc_id", "start", "n"]
 
-def _repeated_runs(marked: DataFrame, window: int) -> DataFrame:
-    """``minimizer, doc_id, start, run`` of runs whose minimizer is in the document's list ``wanted``."""
+    def out(rows: list[np.ndarray], mixed: bool) -> pa.RecordBatch:
+        types = (np.int64, np.int64, np.int32, np.int32)
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array(x.astype(t)) for x, t in zip(rows, types)), pa.array(np.full(len(rows[0]), mixed))], [*columns, "mixed"])
+
+    last = None  # minimizer and name of the row before
+    held: list[np.ndarray] | None = None  # the one first place of the minimizer so far
+    many = False  # the minimizer has several names
+    for batch in batches:
+        later = batch["later"].to_numpy(zero_copy_only=False)
+        rows = [batch[c].to_numpy(zero_copy_only=False) for c in columns]
+        if later.any():
+            yield out([x[later] for x in rows], False)
+        rows, name = [x[~later] for x in rows], batch["name"].to_numpy(zero_copy_only=False)[~later]
+        key = rows[0]
+        if not len(key):
+            continue
+        new = np.r_[last != (key[0], name[0]), (key[1:] != key[:-1]) | (name[1:] != name[:-1])]
+        if not new.all():
+            yield out([x[~new] for x in rows], False)
+        if last is not None and last[0] != key[0]:
+            held, many = None, False
+        last = (key[-1], name[-1])
+        first = [x[new] for x in rows]
+        if held is not None:
+            first = [np.concatenate([h, x]) for h, x in zip(held, first)]
+            held = None
+        if not len(first[0]):
+            continue
+        starts = np.flatnonzero(np.r_[True, first[0][1:] != first[0][:-1]])
+        sizes = np.diff(np.r_[starts, len(first[0])])
+        several = sizes > 1
+        if many and first[0][0] == key[0]:
+            several[0] = True
+        keep = np.repeat(several, sizes)
+        if keep.any():
+            yield out([x[keep] for x in first], True)
+        many = bool(several[-1]) and first[0][-1] == key[-1]
+        if not several[-1]:
+            held = [x[-1:] for x in first]
+
+
+def _packed(texts: DataFrame) -> DataFrame:
+    """``doc_id, packed``: texts as they are shuffled."""
+
+    def make():
+        from zstandard import ZstdCompressor
+
+        pack = ZstdCompressor(level=1).compress
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([pack(t.encode()) for t in batch["text"].to_pylist()], pa.binary())], ["doc_id", "packed"])
+
+        return step
+
+    return texts.mapInArrow(per_batch(make), "doc_id bigint, packed binary")
+
+
+def _unpacked(column: pa.Array) -> list[list[bytes]]:
+    """The words of packed texts."""
+    from zstandard import ZstdDecompressor
+
+    unpack = ZstdDecompressor().decompress
+    return [unpack(p).split() for p in column.to_pylist()]
+
+
+def _run_texts(packed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``minimizer, run, doc_id, start`` of the wanted places ``minimizer, doc_id, start, n``."""
+    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("minimizer", "start", "n")).alias("wanted"))
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             out: tuple[list, list, list, list] = ([], [], [], [])
-            for doc, text, wanted in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["wanted"]):
-                words = words_of(text)
-                minimizer, first, windows = runs(words, window)
-                for k in np.flatnonzero(np.isin(minimizer, wanted.values.to_numpy(zero_copy_only=False))):
-                    a = int(first[k])
-                    out[0].append(int(minimizer[k]))
-                    out[1].append(doc)
-                    out[2].append(a)
-                    out[3].append(b" ".join(words[a:a + int(windows[k]) + window - 1]).decode())
+            for doc, words, wanted in zip(batch["doc_id"].to_pylist(), _unpacked(batch["packed"]), batch["wanted"].to_pylist()):
+                for place in wanted:
+                    out[0].append(place["minimizer"])
+                    out[1].append(b" ".join(words[place["start"]:place["start"] + place["n"]]).decode())
+                    out[2].append(doc)
+                    out[3].append(place["start"])
             return pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())],
-                ["minimizer", "doc_id", "start", "run"])
+                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32())],
+                ["minimizer", "run", "doc_id", "start"])
 
         return step
 
-    return marked.mapInArrow(per_batch(make), "minimizer bigint, doc_id bigint, start bigint, run string")
+    return packed.join(lists, "doc_id").mapInArrow(per_batch(make), "minimizer bigint, run string, doc_id bigint, start int")
 
 
-def _single_windows(found: DataFrame, window: int) -> DataFrame:
-    """Runs cut into their windows, dealt by the windows themselves."""
+def _repeated_windows(found: DataFrame, window: int) -> DataFrame:
+    """``doc_id, a, b`` of the windows of runs that are not the first of their equals, by grouping all windows."""
     words = F.split("run", " ")
     at = F.sequence(F.lit(1), F.size(words) - window + 1)
     each = found.select("doc_id", "start", F.explode(F.transform(at, lambda a: F.struct(
-        a.alias("a"), F.array_join(F.slice(words, a, F.lit(window)), " ").alias("run")))).alias("w"))
-    return each.select(F.xxhash64("w.run").alias("minimizer"), "doc_id", (F.col("start") + F.col("w.a") - 1).alias("start"), F.col("w.run").alias("run"))
+        a.alias("a"), F.array_join(F.slice(words, a, F.lit(window)), " ").alias("text")))).alias("w")).select(
+        "doc_id", (F.col("start") + F.col("w.a") - 1).cast("bigint").alias("a"), F.col("w.text").alias("text"))
+    first = each.groupBy("text").agg(F.min(F.struct("doc_id", "a")).alias("first"))
+    later = each.join(first, "text").where(F.struct("doc_id", "a") != F.col("first"))
+    return later.select("doc_id", "a", (F.col("a") + window).alias("b"))
 
 
 def _shard(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -242,35 +341,25 @@ def _shard(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "a", "b"])
 
 
-def repeats(texts: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+def repeats(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     """From ``doc_id, text`` without nulls or repeated ids: the intervals ``doc_id, a, b`` of words (``b`` excluded) that
-    windows with an earlier equal cover, and the rows of ``texts`` that may have any."""
-    anchors = _anchors(texts, window)
-    often = anchors.groupBy("minimizer").agg(F.sum("places").alias("places")).where("places > 1").select("minimizer")
-    wanted = anchors.select("minimizer", "doc_id").join(often, "minimizer").groupBy("doc_id").agg(F.collect_list("minimizer").alias("wanted"))
-    marked = written(texts.join(wanted, "doc_id"), "substring-texts")
-    found = written(_repeated_runs(marked, window).withColumn("name", F.unhex(F.md5(F.col("run").cast("binary")))), "substring-runs")
-
-    def collapse(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("minimizer", "name", "run").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.count("*").alias("places"))
-
-    whole = written(collapse(found), "substring-distinct")
-    size = F.size(F.split("run", " "))
-    crowded = whole.groupBy("minimizer").agg(F.sum(size).alias("words")).where(F.col("words") > SHARD_WORDS).select("minimizer")
+    windows with an earlier equal cover."""
+    dealt = _places(texts, window).repartition("minimizer").sortWithinPartitions("minimizer", "name", "doc_id", "start")
+    places = written(dealt.mapInArrow(_decided, "minimizer bigint, doc_id bigint, start int, n int, mixed boolean"), "substring-places")
+    later = places.where("NOT mixed").select("doc_id", F.col("start").cast("bigint").alias("a"), (F.col("start") + F.col("n")).cast("bigint").alias("b"))
+    mixed = places.where("mixed").drop("mixed")
+    words = mixed.agg(F.sum("n")).first()[0] or 0
+    crowded = written(mixed.groupBy("minimizer").agg(F.sum("n").alias("words")).where(F.col("words") > SHARD_WORDS).select("minimizer"), "substring-crowded")
+    found = _run_texts(_packed(texts), mixed)
+    gone = later
     if not crowded.isEmpty():
-        cut = _single_windows(found.join(crowded, "minimizer"), window).withColumn("name", F.unhex(F.md5(F.col("run").cast("binary"))))
-        found = written(found.join(crowded, "minimizer", "left_anti").unionByName(cut.select(*found.columns)), "substring-runs")
-        whole = written(collapse(found), "substring-distinct")
-    words = whole.agg(F.sum(size)).first()[0] or 0
+        found = written(found, "substring-runs")
+        gone = gone.unionByName(_repeated_windows(found.join(crowded, "minimizer", "left_semi"), window))
+        found = found.join(crowded, "minimizer", "left_anti")
     shards = max(1, -(-words // SHARD_WORDS))
-    dealt = whole.select("minimizer", "run", "at.doc_id", "at.start").repartition(int(shards), "minimizer").select("run", "doc_id", "start")
-    partly = dealt.mapInArrow(lambda batches: _shard(batches, window), "doc_id bigint, a bigint, b bigint")
-    # a run that is not the first of its equals goes as a whole
-    often = whole.where("places > 1").select("minimizer", "name", "at")
-    later = found.select("minimizer", "name", "doc_id", "start", size.alias("n")).join(often, ["minimizer", "name"])
-    later = later.where((F.col("doc_id") != F.col("at.doc_id")) | (F.col("start") != F.col("at.start")))
-    gone = partly.unionByName(later.select("doc_id", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b")))
-    return gone, marked.select("doc_id", "text")
+    partly = found.repartition(int(shards), "minimizer").select("run", "doc_id", "start").mapInArrow(
+        lambda batches: _shard(batches, window), "doc_id bigint, a bigint, b bigint")
+    return gone.unionByName(partly)
 
 
 def kept_words(words: list, intervals: list[tuple[int, int]]) -> list:
@@ -299,14 +388,12 @@ def dedup(
     texts = id_and_text(df, id_col, text_col).where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     if not texts.groupBy("doc_id").count().where("count > 1").isEmpty():
         texts = written(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "substring-ids")
-    gone, maybe = repeats(texts, window)
-    lists = written(gone.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("gone")), "substring-gone")
+    lists = written(repeats(texts, window).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("gone")), "substring-gone")
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, removed, kept = [], [], []
-            for text, gone in zip(batch["text"].to_pylist(), batch["gone"].to_pylist()):
-                words = words_of(text)
+            for words, gone in zip(_unpacked(batch["packed"]), batch["gone"].to_pylist()):
                 stay = kept_words(words, [(g["a"], g["b"]) for g in gone])
                 n.append(len(words))
                 removed.append(len(words) - len(stay))
@@ -319,7 +406,7 @@ def dedup(
     def shaped(rows: DataFrame) -> DataFrame:
         return rows.select("doc_id", "n_words", "n_removed", *(make_column(F.col("kept")).alias(name) for name, make_column in columns.items()))
 
-    changed = shaped(maybe.join(lists, "doc_id").select("doc_id", "text", "gone").mapInArrow(
+    changed = shaped(_packed(texts).join(lists, "doc_id").select("doc_id", "packed", "gone").mapInArrow(
         per_batch(make), "doc_id bigint, n_words bigint, n_removed bigint, kept string"))
     plain = F.trim(F.regexp_replace("text", f"[{SPACE}]+", " "))
     spaces = F.length("kept") - F.length(F.replace("kept", F.lit(" "), F.lit("")))
