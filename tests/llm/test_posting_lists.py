@@ -84,7 +84,7 @@ def test_parts_are_balanced_and_the_graph_finds_the_nearest():
     assert sum(sizes) == 4000 and max(sizes) - min(sizes) <= 8
     centroids = posting_lists.fit(points, 500)
     queries = random.normal(size=(200, 8))
-    ids, far = centroids.search(queries)
+    ids, far = centroids.search(queries, 64)
     exact = np.argsort(((centroids.points[None] - queries[:, None]) ** 2).sum(axis=2), axis=1)
     assert np.mean(ids[:, 0] == exact[:, 0]) > 0.97
     assert (np.diff(far, axis=1) >= 0).all()

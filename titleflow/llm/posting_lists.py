@@ -1,10 +1,10 @@
 """Nearest neighbours over balanced posting lists.
 
 A sample is halved again and again along the line between two centres, so all parts stay equally large; the means of the
-parts are the centroids of the lists. A graph of neighbouring centroids is searched in memory, best first. A vector
-is put on its nearest list, and near a boundary on those of other centroids too, unless these lie closer to
-one another than to the vector. A query reads the lists whose centroids are not much farther than the nearest one, and
-distances to their vectors are exact.
+parts, moved a few times to the means of their nearest vectors, are the centroids of the lists. A graph of neighbouring
+centroids is searched in memory, best first. A vector is put on its nearest list, and near a boundary on those of the
+next centroids too. A query reads the lists whose centroids are not much farther than the nearest one, and distances to
+their vectors are exact.
 
 Centroids and graph are of bounded size and are sent to every executor; vectors meet queries by a join on the list.
 Equal vectors are indexed once, with the few smallest ids that a result can name.
@@ -24,12 +24,15 @@ from titleflow.llm.common import per_batch, small_batches, written
 
 #: Vectors that centroids are fitted on, at most; vectors that a list is meant for; lists at most.
 SAMPLE, LIST, LISTS = 50_000, 150, 16_384
-#: Neighbours of a centroid in the graph, and the beam of its search.
-DEGREE, BEAM = 16, 96
-#: Lists of a vector at most, and how much farther than the nearest centroid theirs may be.
-REPLICAS, REPLICA_RATIO = 6, 1.15
-#: Lists that a query reads at least, and how much farther than the nearest centroid theirs may be.
-PROBES, PROBE_RATIO = 12, 1.35
+#: Neighbours of a centroid that the graph looks for, and those that it keeps.
+DEGREE, WIDTH = 16, 28
+#: Lists of a vector at most, how much farther than the nearest centroid theirs may be, and the beam that finds them.
+REPLICAS, REPLICA_RATIO, REPLICA_BEAM = 4, 1.2, 16
+#: How much farther than the nearest centroid those of the lists that a query reads may be; the least beam of a
+#: query's search, and its part of the root of the number of lists.
+PROBE_RATIO, LEAST_BEAM, ROOT_BEAM = 1.35, 64, 5
+#: Rounds that move the centroids.
+ROUNDS = 4
 #: Vectors of a list that are compared in one group; longer lists are cut.
 PART = 4_096
 
@@ -40,7 +43,7 @@ class Centroids:
     neighbours: np.ndarray
     entries: np.ndarray
 
-    def search(self, vectors: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, vectors: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """The nearest centroids found for each vector, nearest first, and their distances; -1 and inf where
         there are fewer than the beam."""
         n, count = len(vectors), len(self.points)
@@ -49,6 +52,8 @@ class Centroids:
         seen[:, count] = True
         row = np.arange(n)[:, None]
 
+        vectors = vectors.astype(np.float32)
+
         def measured(ids: np.ndarray) -> np.ndarray:
             gap = self.points[np.minimum(ids, count - 1)] - vectors[:, None, :]
             return np.where(ids < count, np.sqrt(np.einsum("ijk,ijk->ij", gap, gap)), np.inf)
@@ -74,23 +79,19 @@ class Centroids:
 
     def lists_of(self, vectors: np.ndarray) -> list[np.ndarray]:
         """The lists that hold each vector."""
-        ids, far = self.search(vectors, min(BEAM, 32))
-        out = []
-        for own, gaps in zip(ids, far):
-            chosen = [own[0]]
-            for c, gap in zip(own[1:], gaps[1:]):
-                if len(chosen) == REPLICAS or gap > REPLICA_RATIO * gaps[0]:
-                    break
-                if np.all(np.linalg.norm(self.points[chosen] - self.points[c], axis=1) > gap):
-                    chosen.append(c)
-            out.append(np.array(chosen, dtype=np.int32))
-        return out
+        ids, far = self.search(vectors, REPLICA_BEAM)
+        near = (far <= REPLICA_RATIO * far[:, :1]) & (np.arange(ids.shape[1]) < REPLICAS) & (ids >= 0)
+        near[:, 0] = True
+        return [own[keep].astype(np.int32) for own, keep in zip(ids, near)]
 
     def probes(self, vectors: np.ndarray) -> list[np.ndarray]:
         """The lists that each query reads."""
-        ids, far = self.search(vectors)
-        near = (far <= PROBE_RATIO * far[:, :1]) | (np.arange(ids.shape[1]) < PROBES)
-        return [own[keep & (own >= 0)].astype(np.int32) for own, keep in zip(ids, near)]
+        ids, far = self.search(vectors, max(LEAST_BEAM, int(ROOT_BEAM * len(self.points) ** 0.5)))
+        near = (far <= PROBE_RATIO * far[:, :1]) & (ids >= 0)
+        near[:, 0] = True
+        if len(self.points) <= LEAST_BEAM:
+            near = ids >= 0
+        return [own[keep].astype(np.int32) for own, keep in zip(ids, near)]
 
 
 def balanced_parts(vectors: np.ndarray, parts: int) -> list[np.ndarray]:
@@ -116,6 +117,15 @@ def balanced_parts(vectors: np.ndarray, parts: int) -> list[np.ndarray]:
 def fit(sample: np.ndarray, lists: int) -> Centroids:
     """Centroids and their graph; each is linked with its nearest ones and a few by chance, both ways."""
     points = np.stack([sample[rows].mean(axis=0) for rows in balanced_parts(sample, max(1, min(lists, len(sample))))])
+    for _ in range(ROUNDS if len(points) > 1 else 0):
+        sums, sizes = np.zeros_like(points), np.zeros(len(points))
+        square = (points**2).sum(axis=1)
+        for a in range(0, len(sample), 1024):
+            own = sample[a:a + 1024]
+            nearest = (square - 2 * own @ points.T).argmin(axis=1)
+            np.add.at(sums, nearest, own)
+            sizes += np.bincount(nearest, minlength=len(points))
+        points = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], points)
     count = len(points)
     random = np.random.default_rng(11)
     square = (points**2).sum(axis=1)
@@ -129,14 +139,15 @@ def fit(sample: np.ndarray, lists: int) -> Centroids:
                 if c != k:
                     links[k].add(c)
                     links[c].add(k)
-    width = min(4 * DEGREE, max(map(len, links), default=0)) or 1
+    width = min(WIDTH, max(map(len, links), default=0)) or 1
     table = np.full((count, width), count, dtype=np.int64)
     for k, own in enumerate(links):
         ranked = sorted(own, key=lambda c: float(((points[c] - points[k]) ** 2).sum()))
         # the farthest few stay, as they lead across the graph
         kept = ranked if len(ranked) <= width else ranked[:width - 2] + ranked[-2:]
         table[k, :len(kept)] = kept
-    return Centroids(points, table, np.unique(np.linspace(0, count - 1, min(count, 16)).astype(np.int64)))
+    entries = np.unique(np.linspace(0, count - 1, min(count, 32)).astype(np.int64))
+    return Centroids(points.astype(np.float32), table, entries)
 
 
 def _usable(vector: Column) -> Column:
@@ -158,7 +169,7 @@ def search(df: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id",
     with the smallest vector. An empty table gives an empty result; other columns are not read.
     """
     spark = df.sparkSession
-    small_batches(spark)
+    small_batches(spark, 1024)
     rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
     rows = rows.where(F.col("vec_id").isNotNull() & _usable(F.col("vector")))
     lengths = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
