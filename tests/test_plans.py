@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 
 from titleflow import schemas
-from titleflow.operators import candidates, gate, lists, reviews
+from titleflow.operators import browse, candidates, gate, lists, reviews
 from titleflow.session import rows_up_to, work_path
 
 NOW = dt.datetime(2026, 8, 9)
@@ -64,6 +64,14 @@ def test_merges_read_only_touched_buckets(spark, store, plan):
     assert places and all("/bucket=1/" in place for place in places)
 
 
+def test_a_page_is_cut_on_narrow_rows(spark, store, plan):
+    rows = [(f"m{i}", i, None, f"T{i}", NOW, None, "long", 1.0 * i, None, None, NOW) for i in range(30)]
+    store.create("movies", spark.createDataFrame(rows, schemas.MOVIES))
+    for keys in (browse.page_keys(store.read("movies"), "popularity", "desc", 24, 0), browse.titles_like(store.read("movies"), "T")):
+        text = plan(keys)
+        assert "TakeOrderedAndProject" in text and "overview" not in text.split("ReadSchema")[1]
+
+
 def test_rows_are_only_fetched_up_to_a_bound(spark):
     assert len(rows_up_to(spark.range(5), 5)) == 5
     assert rows_up_to(spark.range(6), 5) is None

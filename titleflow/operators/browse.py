@@ -73,15 +73,28 @@ def sorted_page(matches: DataFrame, sort: str, order: str | None, limit: int, of
     return matches.orderBy(*sort_order(sort, order)).offset(offset).limit(limit)
 
 
+def page_keys(matches: DataFrame, sort: str, order: str | None, limit: int, offset: int) -> DataFrame:
+    """Ids of one page: the top-k reads and keeps nothing but ids and the sort column."""
+    return sorted_page(matches.select("id", sort), sort, order, limit, offset).select("id")
+
+
+def rows_of_page(movies: DataFrame, keys: DataFrame) -> DataFrame:
+    """The movies of a page, read by id; a page has at most :data:`MAX_LIMIT`."""
+    rows = rows_up_to(keys, MAX_LIMIT)
+    if rows is None:
+        raise ValueError(f"a page has at most {MAX_LIMIT} movies")
+    return movies.filter(F.col("id").isin([row["id"] for row in rows]))
+
+
 def titles_like(movies: DataFrame, query: str, limit: int | None = None) -> DataFrame:
-    """Movies whose title contains the query, most recently updated first."""
+    """Ids of movies whose title contains the query, most recently updated first."""
     query = query.strip()
     if not query:
         raise ValueError("query parameter is required")
     return (
-        movies.filter(text.contains_like(F.col("title"), query))
+        movies.filter(text.contains_like(F.col("title"), query)).select("id", "last_updated")
         .orderBy(F.col("last_updated").desc(), "id")
-        .limit(search_bound(limit))
+        .limit(search_bound(limit)).select("id")
     )
 
 

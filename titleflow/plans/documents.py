@@ -27,13 +27,14 @@ def browse(
     sortable = matches
     if column == b.SENTIMENT_SORT:
         scored = tables["movie_summaries"].select(F.col("movie_id").alias("id"), column)
-        sortable = matches.join(scored, "id", "left")
-    page = b.sorted_page(sortable, column, order, limit, offset).drop(b.SENTIMENT_SORT)
-    return b.Page(total, _documents(page, tables), limit, offset)
+        sortable = matches.select("id").join(scored, "id", "left")
+    keys = b.page_keys(sortable, column, order, limit, offset)
+    return b.Page(total, _documents(b.rows_of_page(tables["movies"], keys), tables), limit, offset)
 
 
 def search(tables: dict[str, DataFrame], query: str, limit: int | None = None) -> DataFrame:
-    return _documents(b.titles_like(tables["movies"], query, limit), tables)
+    found = b.titles_like(tables["movies"], query, limit)
+    return _documents(b.rows_of_page(tables["movies"], found), tables)
 
 
 def documents(tables: dict[str, DataFrame], ids: DataFrame) -> DataFrame:
