@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from titleflow.llm.common import id_and_text, per_batch, small_batches
+from titleflow.llm.common import id_and_text, per_batch, small_batches, written
 
 #: Bytes of a stripe, and rows that share an entry of the row index and a Bloom filter.
 STRIPE_BYTES = 16 << 20
@@ -49,12 +49,12 @@ class Remembered(dict):
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, remembered for chunks and words met before.
+    """Ids of whole texts by the tokenizers library, remembered for words met before.
 
-    A text is cut at single spaces and line ends, where the vocabulary's normaliser and splitter cut it anyway. A
-    chunk of plain characters, which normalisation keeps once they are lower-case, is cut into letters, digits
-    and signs as the splitter does, and these go to the library's merge model at once; any other chunk passes
-    through the library's whole ``encode``.
+    A text of plain characters, which normalisation keeps once they are lower-case, is cut into runs of letters,
+    digits and runs of signs as the vocabulary's splitter does, and these go to the library's merge model at once.
+    Any other text is cut at spaces and line ends, where the splitter cuts it anyway, and its chunks that
+    are not plain pass through the library's whole ``encode``.
     """
 
     def __init__(self, path: str):
@@ -63,15 +63,15 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         spelt = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         letters = [chr(c) for c in (*range(0x61, 0x7B), *range(0xDF, 0x100)) if c != 0xF7]
+        capitals = [c.upper() for c in letters if len(c.upper()) == 1 and ord(c.upper()) < 0xE0]
         # an apostrophe may begin a suffix that the splitter knows, and a bracket a special token
         others = [chr(c) for c in range(0x21, 0x7F) if not chr(c).isalpha() and chr(c) not in "'<"]
-        self.plain = set(letters + others)
         self.spelling = {ord(c): spelt.pre_tokenize_str(c)[0][0] for c in letters + others}
-        self.lower = {ord(c.upper()): c for c in letters if len(c.upper()) == 1 and ord(c.upper()) < 0xE0}
         alphabet = "".join(letters)
-        self.cut = re.compile(f"[{alphabet}]+|[0-9]|[^{alphabet}0-9]+").findall
+        self.odd = re.compile("[^ \n" + re.escape("".join(letters + capitals + others)) + "]").search
+        self.cut = re.compile(f"[{alphabet}]+|[0-9]|[^ \n{alphabet}0-9]+").findall
         self.words = Remembered(self._word)
-        self.known = Remembered(self._chunk)
+        self.chunks = Remembered(self._chunk)
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
@@ -80,15 +80,19 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         return self._packed([token.id for token in self.tokenizer.model.tokenize(word.translate(self.spelling))])
 
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, self.cut(text.lower())))
+
     def _chunk(self, chunk: str) -> bytes:
-        lowered = chunk.translate(self.lower)
-        if self.plain.issuperset(lowered):
-            return b"".join(map(self.words.__getitem__, self.cut(lowered)))
-        return self._packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+        if self.odd(chunk):
+            return self._packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+        return self._plain(chunk)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
-        return b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" ")))
+        if self.odd(text):
+            return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
+        return self._plain(text)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -167,6 +171,7 @@ def summary(spark: SparkSession, path: str) -> DataFrame:
         return step
 
     rows = read(spark, path).mapInArrow(per_batch(checksums), "part int, ordinal bigint, doc_id bigint, n_tokens bigint, ids_crc32 bigint")
+    rows = written(rows, "token-files")
     files = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     files = files.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))
     in_file = Window.partitionBy("part").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
