@@ -88,3 +88,10 @@ def test_parts_are_balanced_and_the_graph_finds_the_nearest():
     exact = np.argsort(((centroids.points[None] - queries[:, None]) ** 2).sum(axis=2), axis=1)
     assert np.mean(ids[:, 0] == exact[:, 0]) > 0.97
     assert (np.diff(far, axis=1) >= 0).all()
+
+
+def test_a_query_that_is_a_centroid_reads_other_lists():
+    points = np.random.default_rng(2).normal(size=(400, 8))
+    centroids = posting_lists.fit(points, 200)
+    probes = centroids.probes(centroids.points[:20].astype(float))
+    assert min(map(len, probes)) >= posting_lists.PROBES

@@ -28,9 +28,9 @@ SAMPLE, LIST, LISTS = 50_000, 150, 16_384
 DEGREE, WIDTH = 16, 28
 #: Lists of a vector at most, how much farther than the nearest centroid theirs may be, and the beam that finds them.
 REPLICAS, REPLICA_RATIO, REPLICA_BEAM = 4, 1.2, 16
-#: How much farther than the nearest centroid those of the lists that a query reads may be; the least beam of a
-#: query's search, and its part of the root of the number of lists.
-PROBE_RATIO, LEAST_BEAM, ROOT_BEAM = 1.35, 64, 5
+#: How much farther than the nearest centroid those of the lists that a query reads may be, and the lists that it reads
+#: anyway, as where it is a centroid itself; the least beam of its search, and its part of the root of all lists.
+PROBE_RATIO, PROBES, LEAST_BEAM, ROOT_BEAM = 1.35, 48, 64, 5
 #: Rounds that move the centroids.
 ROUNDS = 4
 #: Vectors of a list that are compared in one group; longer lists are cut.
@@ -87,8 +87,7 @@ class Centroids:
     def probes(self, vectors: np.ndarray) -> list[np.ndarray]:
         """The lists that each query reads."""
         ids, far = self.search(vectors, max(LEAST_BEAM, int(ROOT_BEAM * len(self.points) ** 0.5)))
-        near = (far <= PROBE_RATIO * far[:, :1]) & (ids >= 0)
-        near[:, 0] = True
+        near = ((far <= PROBE_RATIO * far[:, :1]) | (np.arange(ids.shape[1]) < PROBES)) & (ids >= 0)
         if len(self.points) <= LEAST_BEAM:
             near = ids >= 0
         return [own[keep].astype(np.int32) for own, keep in zip(ids, near)]
