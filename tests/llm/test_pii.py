@@ -35,6 +35,21 @@ def test_base_spans(spark, trees, odd_with_nulls):
             assert set(base) <= set(spans) and spans == sorted(spans)
 
 
+APART = [
+    "41 11 11 11 11 11 11 11", "411 111 111 111 111 1", "4 1 1 1-1-1-1 1 1 1 1 1 1 1 1 1", "1 2 3 4 5 6 7 8 9 0 1 2 3 7", "x 41-11-11-11-11-11-11-11.",
+    "41 11 11 11 11 11 11 11 " + "1 " * 20_000, "1 " * 20_000 + ", 41 11 11 11 11 11 11 11", "4111.1111.1111.1111", "41 11 11 11 11 11 11 12",
+]
+
+
+def test_cards_without_four_digits_in_a_row(spark, trees):
+    df = spark.createDataFrame(list(enumerate(APART)), "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.find(df, trees).collect()}
+    assert {i: listed([tuple(s) for s in r.base]) for i, r in found.items()} == {i: listed(private_base(t)) for i, t in enumerate(APART)}
+    assert [len(found[i].base) for i in range(len(APART))] == [1, 1, 1, 1, 1, 0, 1, 0, 0]
+    assert all({tuple(s) for s in r.base} <= {tuple(s) for s in r.spans} for r in found.values())
+    assert {r.doc_id: r.text for r in pii.redact(df.where("doc_id IN (0, 4)"), trees).collect()} == {0: "[card]", 4: "x [card]."}
+
+
 def test_further_spans_do_not_overlap(spark, trees):
     text = "call +1 (269) 555-3296 4524132264652876 now"
     row = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string"), trees).first()

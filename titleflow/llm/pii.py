@@ -96,13 +96,15 @@ def _valid(kind: int, match: Column) -> Column:
     return F.lit(True)
 
 
-def _guard(kind: int, text: Column) -> Column:
-    """What a text needs for any candidate of a kind."""
+def _guard(kind: int, generator: int, text: Column) -> Column:
+    """What a text needs for any candidate of a kind; for base cards a match itself, as their digits may all stand apart."""
     if kind == EMAIL:
         return text.contains("@") | text.contains("(at)") | text.contains("[at]")
     if kind == IP:
         return text.rlike(r"[0-9][.\[]")
-    return text.contains("+") | text.contains("00") if kind == PHONE else text.rlike("[0-9]{4}")
+    if kind == PHONE:
+        return text.contains("+") | text.contains("00")
+    return text.rlike("[0-9]{4}") if generator else text.rlike(BASE[CARD])
 
 
 def _candidates(text: Column) -> Column:
@@ -114,7 +116,7 @@ def _candidates(text: Column) -> Column:
     patterns += [(kind, pattern, number) for number, (kind, pattern) in enumerate(GENERATORS, start=1)]
 
     def of(kind: int, pattern: str, generator: int) -> Column:
-        found = F.when(_guard(kind, text), _positions(text, pattern)).otherwise(F.array().cast(_SPAN))
+        found = F.when(_guard(kind, generator, text), _positions(text, pattern)).otherwise(F.array().cast(_SPAN))
         return F.transform(found, lambda s: F.struct(
             s.start.alias("start"), s.end.alias("end"), F.lit(kind).alias("kind"), F.lit(generator).alias("generator"),
             s.match.alias("match"), _valid(kind, s.match).alias("valid"),
