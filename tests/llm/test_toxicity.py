@@ -37,6 +37,37 @@ def test_held_out_documents(corpus):
     assert set(toxicity.reject(docs, classifier).columns) == {"doc_id", "text"}
 
 
+@pytest.mark.parametrize("hot_is_toxic", [False, True])
+def test_copies_of_one_text_move_no_other(spark, corpus, hot_is_toxic):
+    """One text a third of all rows: different documents are told apart as without it."""
+    docs, labels, truth = corpus
+    hot = text(random.Random(4), hot_is_toxic)
+    copies = spark.range(5000, 5600).withColumnRenamed("id", "doc_id")
+    more = docs.unionByName(copies.withColumn("text", F.lit(hot)))
+    marked = labels.unionByName(copies.withColumn("toxic", F.lit(int(hot_is_toxic))))
+    scores = {r.doc_id: r.score for r in toxicity.score(more, toxicity.train(more, marked)).collect()}
+    right = {bad: np.mean([(scores[i] >= 0.5) == bad for i, own in truth.items() if own == bad]) for bad in (False, True)}
+    assert min(right.values()) > 0.98, right
+    assert (scores[5000] >= 0.5) == hot_is_toxic
+    assert np.mean([scores[i] for i, own in truth.items() if not own]) < 0.1
+
+
+def test_the_prior_counts_different_texts(spark):
+    docs = spark.createDataFrame([(k, "hot") for k in range(60)] + [(100 + k, f"text {k}") for k in range(40)], "doc_id long, text string")
+    every = docs.select("doc_id", F.when(F.col("text") == "hot", 1).when(F.col("doc_id") < 104, 1).otherwise(0).alias("toxic"))
+    assert toxicity._share(docs, every) == pytest.approx(5 / 41)
+    assert toxicity._share(docs, every.where("doc_id % 2 = 0")) == pytest.approx(2.5 / 20.5)
+    assert toxicity._share(docs, every.where("doc_id > 999")) == 0.0
+
+
+def test_the_bias_is_set_on_all_texts(corpus, monkeypatch):
+    """The mean score of all different texts is the prior, however small the sample."""
+    docs, labels, _ = corpus
+    monkeypatch.setattr(toxicity, "UNLABELLED", 200)
+    rows = toxicity.score(docs, toxicity.train(docs, labels, prior=0.2)).collect()
+    assert np.mean([r.score for r in rows]) == pytest.approx(0.2, abs=1e-3)
+
+
 def test_the_risk_does_not_go_negative():
     """Where the clean part's estimate is below zero, a step raises it."""
     x_p, x_u = np.ones((20, 1), np.float32), np.zeros((80, 1), np.float32)

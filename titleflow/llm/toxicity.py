@@ -8,7 +8,9 @@ class prior) is toxic. The classifiers minimise the non-negative estimate of the
 The second term estimates the risk on clean text and is kept from going below zero, where the
 classifier would learn the unlabelled sample by heart; such a step goes back instead.
 
-Training sees samples of bounded size, drawn by hash from the whole tables. Scoring sees every whole text.
+Different texts are the population, however many copies they have: the samples of bounded size that training sees, drawn
+by hash from the whole tables, the class prior, and the histogram of all texts' log-odds that sets the bias. Scoring sees
+every whole text.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ CLASSIFIERS = 3
 #: Beginnings of words, in characters, that count as features beside the words themselves.
 BEGINNINGS = (4, 5)
 REMEMBERED = 200_000
+#: Bins of the histogram in a unit of log-odds, and the log-odds that it ends at.
+BINS, ENDS = 256, 50
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -78,7 +82,6 @@ def _risk_step(x_p: np.ndarray, x_u: np.ndarray, w: np.ndarray, b: float, prior:
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, decay: float = 1e-5) -> Classifier:
     """From the feature hashes of the sampled documents. Without positive or unlabelled documents, or features
     that tell them apart, every text scores the prior."""
-    prior = min(max(prior, 1e-4), 0.9)
     start = float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled:
         return Classifier(start, {})
@@ -117,68 +120,89 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
             move = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
             w, b = (w - move[:-1]).astype(np.float32), b - float(move[-1])
         weights, bias = weights + w / CLASSIFIERS, bias + b / CLASSIFIERS
-    bias += _shift(x_u @ weights + bias, prior)
     return Classifier(bias, {int(i): float(x) for i, x in zip(chosen, weights) if x})
 
 
-def _shift(log_odds: np.ndarray, prior: float) -> float:
-    """What to add to the log-odds of the unlabelled documents so that their mean score is the prior."""
-    low, high = -50.0, 50.0
+def _shift(log_odds: np.ndarray, counts: np.ndarray, prior: float) -> float:
+    """What to add to the log-odds of the unlabelled texts, given with their numbers, so that their mean score is the prior."""
+    low, high = -2.0 * ENDS, 2.0 * ENDS
     for _ in range(60):
         middle = (low + high) / 2
-        if np.mean(1 / (1 + np.exp(-np.clip(log_odds + middle, -500, 500)))) > prior:
+        if np.average(1 / (1 + np.exp(-np.clip(log_odds + middle, -500, 500))), weights=counts) > prior:
             high = middle
         else:
             low = middle
     return (low + high) / 2
 
 
-def _sampled(df: DataFrame, most: int) -> list[np.ndarray]:
-    """Feature hashes of ``most`` documents at most, each different set once."""
-    ids = df.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(most)
-    texts = df.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows that have an id, with the ``key`` of their text."""
+    return docs.where("doc_id IS NOT NULL").withColumn("key", F.md5(F.col("text").cast("binary")))
+
+
+def _sampled(df: DataFrame, most: int, wanted: DataFrame | None = None) -> list[np.ndarray]:
+    """Feature hashes of ``most`` different texts at most, of the ``wanted`` ids where these are given, each once."""
+    keyed = _keyed(df)
+    narrow = keyed.select("doc_id", "key")  # an inner join, as a semi-join would be moved to the texts and shuffle them
+    drawn = (narrow if wanted is None else narrow.join(wanted, "doc_id")).groupBy("key").agg(F.min("doc_id").alias("doc_id")).orderBy("key").limit(most)
+    texts = keyed.join(F.broadcast(drawn), ["doc_id", "key"]).dropDuplicates(["key"])
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [np.array(sorted(features_of_text(t)), dtype=np.uint32).view(np.int32) for t in batch["text"].to_pylist()]
-            return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.list_(pa.int32()))], ["doc_id", "features"])
+            return pa.RecordBatch.from_arrays([batch["key"], pa.array(found, pa.list_(pa.int32()))], ["key", "features"])
 
         return step
 
-    rows = texts.select("doc_id", "text").mapInArrow(per_batch(make), f"doc_id {dict(df.dtypes)['doc_id']}, features array<int>")
-    table = rows.toArrow().sort_by("doc_id")["features"].combine_chunks()
-    seen: dict[bytes, np.ndarray] = {}
-    for row in table:
-        features = np.array(row.values.to_numpy(), dtype=np.int32).view(np.uint32)
-        seen.setdefault(features.tobytes(), features)
-    return list(seen.values())
+    rows = texts.select("key", "text").mapInArrow(per_batch(make), "key string, features array<int>")
+    table = rows.toArrow().sort_by("key")["features"].combine_chunks()
+    return [np.array(row.values.to_numpy(), dtype=np.int32).view(np.uint32) for row in table]
+
+
+def _share(docs: DataFrame, labels: DataFrame) -> float:
+    """The share of toxic texts among different texts. A text counts by the part of its copies that is labelled, so that
+    one with many copies, which is likelier to have a label at all, counts no more than others."""
+    rows = _keyed(docs).select("doc_id", "key").join(labels, "doc_id", "left")
+    texts = rows.groupBy("key").agg(F.count("*").alias("copies"), F.count("toxic").alias("labelled"), F.max("toxic").alias("toxic"))
+    weight = (F.col("labelled") / F.col("copies")).cast("decimal(20,12)")  # sums do not depend on the order
+    of_all, of_toxic = texts.where("labelled > 0").agg(F.sum(weight), F.sum(F.when(F.col("toxic") == 1, weight))).first()
+    return float((of_toxic or 0) / of_all) if of_all else 0.0
+
+
+def _histogram(docs: DataFrame, classifier: Classifier) -> tuple[np.ndarray, np.ndarray]:
+    """The log-odds of all different texts, rounded and bounded, and how many texts have them."""
+    scored = _with_log_odds(_keyed(docs).select("key", "text"), classifier, "odds", "text", drop_text=True)
+    place = F.round(F.greatest(F.least("odds", F.lit(float(ENDS))), F.lit(-float(ENDS))) * BINS).cast("int")
+    texts = scored.groupBy("key").agg(F.min(place).alias("place"))
+    rows = texts.groupBy("place").agg(F.count("*").alias("n")).orderBy("place").collect()
+    return np.array([r.place for r in rows]) / BINS, np.array([r.n for r in rows], dtype=float)
 
 
 def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
     """From documents and their ``toxic`` labels; the caller leaves out rows that are held out.
 
-    Confirmed examples are documents labelled 1; all documents are the unlabelled text. Labels of 0 serve only
-    to estimate the class prior, where none is given: the share of 1 among all labels. Ids labelled twice count
-    as toxic if any label says so; null ids and labels take no part.
+    Confirmed examples are texts labelled 1; all different texts are the unlabelled text. Labels of 0 serve only
+    to estimate the class prior, where none is given: the share of toxic ones among different texts. Ids and texts labelled
+    twice count as toxic if any label says so; null ids and labels, and labels of ids that have no document, take no part.
     """
     small_batches(docs.sparkSession)
     docs = id_and_text(docs, id_col, text_col)
     labels = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if prior is None:
-        prior = labels.agg(F.avg("toxic")).first()[0] or 0.0
-    positive = _sampled(docs.join(labels.where("toxic = 1").select("doc_id"), "doc_id", "left_semi"), POSITIVES)
-    return fit(positive, _sampled(docs, UNLABELLED), float(prior))
+        prior = _share(docs, labels)
+    positive = _sampled(docs, POSITIVES, labels.where("toxic = 1").select("doc_id"))
+    prior = min(max(float(prior), 1e-4), 0.9)
+    found = fit(positive, _sampled(docs, UNLABELLED), prior)
+    if not found.weights:
+        return found
+    return Classifier(found.bias + _shift(*_histogram(docs, found), prior), found.weights)
 
 
-def with_score(df: DataFrame, classifier: Classifier, name: str = "score", text_col: str = "text") -> DataFrame:
-    """``df`` with the score of every row, from its whole text alone; a null text is an empty one.
-
-    Null and repeated ids stay as they are, row by row; an empty table gives an empty one. A column that bears
-    the new name is replaced.
-    """
+def _with_log_odds(df: DataFrame, classifier: Classifier, name: str, text_col: str, scores: bool = False, drop_text: bool = False) -> DataFrame:
+    """``df`` with the log-odds of every row's text, or their scores."""
     small_batches(df.sparkSession)
-    df = df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() != name.lower()))
     at = df.columns.index(text_col)
+    kept = [k for k in range(len(df.columns)) if not drop_text or k != at]
     bias, weights = classifier.bias, classifier.weights
 
     def make():
@@ -194,15 +218,27 @@ def with_score(df: DataFrame, classifier: Classifier, name: str = "score", text_
                     own = known[word] = tuple(f for f in features_of_word(word) if f in weights)
                 if own:
                     present.update(own)
-            return classifier.score(bias + sum(weights[f] for f in sorted(present)))
+            odds = bias + sum(weights[f] for f in sorted(present))
+            return classifier.score(odds) if scores else float(odds)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            scores = pa.array([one(t) for t in batch.column(at).to_pylist()], pa.float64())
-            return pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, name])
+            found = pa.array([one(t) for t in batch.column(at).to_pylist()], pa.float64())
+            return pa.RecordBatch.from_arrays(
+                [*(batch.column(k) for k in kept), found], [*(batch.schema.names[k] for k in kept), name])
 
         return step
 
-    return df.mapInArrow(per_batch(make), StructType([*df.schema.fields, StructField(name, DoubleType())]))
+    return df.mapInArrow(per_batch(make), StructType([*(df.schema.fields[k] for k in kept), StructField(name, DoubleType())]))
+
+
+def with_score(df: DataFrame, classifier: Classifier, name: str = "score", text_col: str = "text") -> DataFrame:
+    """``df`` with the score of every row, from its whole text alone; a null text is an empty one.
+
+    Null and repeated ids stay as they are, row by row; an empty table gives an empty one. A column that bears
+    the new name is replaced.
+    """
+    df = df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() != name.lower()))
+    return _with_log_odds(df, classifier, name, text_col, scores=True)
 
 
 def score(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
