@@ -95,3 +95,21 @@ def test_a_query_that_is_a_centroid_reads_other_lists():
     centroids = posting_lists.fit(points, 200)
     probes = centroids.probes(centroids.points[:20].astype(float))
     assert min(map(len, probes)) >= posting_lists.PROBES
+
+
+@pytest.mark.parametrize("n", [3000, 6000])
+def test_recall_with_pruned_lists(spark, monkeypatch, n):
+    """Several hundred lists, of which a query reads a part."""
+    monkeypatch.setattr(posting_lists, "LIST", 10)
+    random = np.random.default_rng(3)
+    vectors = (random.normal(size=(12, 16))[np.arange(n) % 12] + 0.5 * random.normal(size=(n, 16))).astype(np.float32)
+    read = [len(own) for own in posting_lists.fit(vectors.astype(float), n // 10).probes(vectors[::100].astype(float))]
+    assert np.mean(read) < 0.75 * n // 10
+    got = found(spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(vectors)], SCHEMA))
+    hits = 0
+    for q in range(0, n, 100):
+        far = ((vectors.astype(float) - vectors[q].astype(float)) ** 2).sum(axis=1)
+        far[q] = np.inf
+        hits += len(set(np.argsort(far)[:10].tolist()) & {i for _, i in got[q]})
+    print("recall", n, hits / (n / 10), "lists read", np.mean(read))
+    assert hits >= 0.9 * 10 * len(range(0, n, 100))
