@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titleflow.llm import exact, mixing, pii, piece_codec, placement, posting_lists, simhash, substring, token_files, toxicity
+from titleflow.llm import exact, mixing, pii, piece_codec, placement, posting_lists, sign_hash, simhash, substring, token_files, toxicity
 from titleflow.llm.common import documents, work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +174,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     scored = toxicity.score(docs, toxicity_classifier(spark, docs, sf_dir))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op11_sign_hash", """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND list_bool_and(list_transform(embedding, x -> coalesce(isfinite(x), false)))
+        AND list_bool_or(list_transform(embedding, x -> x <> 0))),
+link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v AS a JOIN v AS b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+         WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT x, x AS y FROM link UNION SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x),
+least AS (SELECT x, min(y) AS c FROM reach GROUP BY x),
+n AS (SELECT x, count(*) AS n FROM link GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id, vec_id = coalesce(c, vec_id) AS kept
+FROM embeddings LEFT JOIN least ON vec_id = least.x LEFT JOIN n ON vec_id = n.x
+""")
+def op11_sign_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sign_hash.classes(documents(spark, sf_dir, "embeddings"))
