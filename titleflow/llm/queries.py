@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titleflow.llm import exact, mixing, pii, piece_codec, placement, posting_lists, sign_hash, simhash, substring, token_files, toxicity
+from titleflow.llm import conversation_repair, exact, mixing, pii, piece_codec, placement, posting_lists, sign_hash, simhash, substring, token_files, toxicity
 from titleflow.llm.common import documents, work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,3 +191,9 @@ FROM embeddings LEFT JOIN least ON vec_id = least.x LEFT JOIN n ON vec_id = n.x
 """)
 def op11_sign_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sign_hash.classes(documents(spark, sf_dir, "embeddings"))
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, there = conversation_repair.damaged(documents(spark, sf_dir, "conversations"))
+    return conversation_repair.repair(rows, present=there)
