@@ -19,11 +19,11 @@ def test_names():
 
     names = set(__spark_entry__.queries())
     assert "pipeline" in names
-    for n in (*range(1, 12), 13):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
 
 
-@pytest.mark.parametrize("name", ["op3_substring", "op5_exact_dedup", "op7_mixing"])
+@pytest.mark.parametrize("name", ["op3_substring", "op5_exact_dedup", "op7_mixing", "op11_sign_hash", "op12_collocations"])
 def test_query_equals_its_sql(spark, name):
     from titleflow.llm.queries import ORACLE, QUERIES
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titleflow.llm import conversation_repair, exact, mixing, pii, piece_codec, placement, posting_lists, sign_hash, simhash, substring, token_files, toxicity
+from titleflow.llm import collocations, conversation_repair, exact, mixing, pii, piece_codec, placement, posting_lists, sign_hash, simhash, substring, token_files, toxicity
 from titleflow.llm.common import documents, work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,6 +193,41 @@ def op11_sign_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sign_hash.classes(documents(spark, sf_dir, "embeddings"))
 
 
+def collocation_sql(least: int, report: int) -> str:
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, {LOWERED} AS t FROM documents),
+piece AS (SELECT row_number() OVER () AS p, lang, t FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS t FROM d)),
+word AS (SELECT p, lang, w, i FROM (SELECT p, lang, unnest(ws) AS w, unnest(range(len(ws))) AS i
+         FROM (SELECT p, lang, regexp_extract_all(t, '[^\x20\x09]+') AS ws FROM piece))),
+run AS (SELECT lang, w AS a, lead(w, 1) OVER o AS b, lead(w, 2) OVER o AS c FROM word WINDOW o AS (PARTITION BY p ORDER BY i)),
+one AS (SELECT lang, a, count(*) AS f FROM run GROUP BY ALL),
+n AS (SELECT lang, count(*) AS n FROM run GROUP BY ALL),
+two AS (SELECT lang, a, b, count(*) AS f FROM run WHERE b IS NOT NULL GROUP BY ALL HAVING count(*) >= {least}),
+three AS (SELECT lang, a, b, c, count(*) AS f FROM run WHERE c IS NOT NULL GROUP BY ALL HAVING count(*) >= {least}),
+longer AS (SELECT lang, a, b, max(f) AS f FROM (SELECT lang, a, b, f FROM three UNION ALL SELECT lang, b, c, f FROM three) GROUP BY ALL),
+cut AS (
+  SELECT two.lang, two.a || ' ' || two.b AS phrase, two.f AS a, x.f AS l, y.f AS r, 1 AS k
+  FROM two JOIN one AS x ON x.lang = two.lang AND x.a = two.a JOIN one AS y ON y.lang = two.lang AND y.a = two.b
+       LEFT JOIN longer ON longer.lang = two.lang AND longer.a = two.a AND longer.b = two.b
+  WHERE longer.f IS NULL OR 100 * longer.f < 50 * two.f
+  UNION ALL
+  SELECT t.lang, t.a || ' ' || t.b || ' ' || t.c, t.f, x.f, y.f, 1
+  FROM three AS t JOIN one AS x ON x.lang = t.lang AND x.a = t.a JOIN two AS y ON y.lang = t.lang AND y.a = t.b AND y.b = t.c
+  UNION ALL
+  SELECT t.lang, t.a || ' ' || t.b || ' ' || t.c, t.f, x.f, y.f, 2
+  FROM three AS t JOIN two AS x ON x.lang = t.lang AND x.a = t.a AND x.b = t.b JOIN one AS y ON y.lang = t.lang AND y.a = t.c),
+scored AS (SELECT *, (1000000 * a::HUGEINT * a // (l::HUGEINT * r))::BIGINT AS score FROM cut),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= {report}
+"""
+
+
+@query("op12_collocations", collocation_sql(collocations.LEAST, collocations.REPORT))
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(documents(spark, sf_dir))
+
+
 @query("op13_conversation_repair")
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, there = conversation_repair.damaged(documents(spark, sf_dir, "conversations"))
