@@ -67,5 +67,5 @@ def str3_stream(spark, d):
         day = F.datediff("requested_at", F.lit("2023-12-31"))
         rows.filter((day >= start) & (day < end)).coalesce(1).write.mode("append").parquet(path)
     arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    gate_streaming.gate_stream(spark, arriving, None, folder)
+    gate_streaming.gate_stream(arriving, folder)
     return accepted(gate_streaming.decisions(spark, folder))

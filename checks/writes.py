@@ -413,7 +413,7 @@ def str3(spark, d):
 @query("str3_cooldown_gate_split", GATE_SQL)
 def str3_split(spark, d):
     """Every title on the path for titles with too many requests for one group."""
-    return accepted(gate.gate_requests(REQUESTS.frame(spark, d), None, None, hot_requests=10, columns=25))
+    return accepted(gate.gate_requests(REQUESTS.frame(spark, d), None, None, hot_requests=10, column=20))
 
 
 # the events of a day within a second, seven hours after those of the day before

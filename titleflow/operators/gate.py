@@ -28,9 +28,10 @@ from titleflow.session import written
 
 HOUR = 3_600_000_000
 COOLDOWN = dates.COOLDOWN_HOURS * HOUR
-# distinct times above which a title is split, and the columns it is split into
+# distinct times above which a title is split, the times a column is meant for, and the finest cut into columns
 HOT_REQUESTS = 100_000
-COLUMNS = 256
+COLUMN = 25_000
+FINEST = 4096
 
 QUEUED, ON_COOLDOWN, NOT_FOUND = "queued", "cooldown", "not_found"
 
@@ -43,18 +44,26 @@ def _window(micros: Column, length: int = COOLDOWN) -> Column:
 
 
 def accepted_times(
-    distinct_times: DataFrame, cooldown: int = COOLDOWN, hot_requests: int = HOT_REQUESTS, columns: int = COLUMNS
+    distinct_times: DataFrame, cooldown: int = COOLDOWN, hot_requests: int = HOT_REQUESTS, column: int = COLUMN
 ) -> DataFrame:
-    """``(movie_id, micros)`` of the accepted ones among distinct request times."""
+    """``(movie_id, micros)`` of the accepted ones among distinct request times.
+
+    A large title has a column per ``column`` times, by its own count, up to ``FINEST`` columns.
+    """
     sizes = distinct_times.groupBy("movie_id").agg(F.count(F.lit(1)).alias("n"))
-    hot = sizes.filter(F.col("n") > hot_requests).select("movie_id")
+    hot = sizes.filter(F.col("n") > hot_requests)
     if hot.isEmpty():
         return _fold(distinct_times, cooldown)
-    folded = _fold(distinct_times.join(hot, "movie_id", "left_anti"), cooldown)
+    folded = _fold(distinct_times.join(hot.select("movie_id"), "movie_id", "left_anti"), cooldown)
     large = distinct_times.join(hot, "movie_id")
-    shares = [k / columns for k in range(1, columns)]
+    # every title is cut as finely as the largest one needs, and takes as many of the cuts as it needs itself
+    finest = min(FINEST, -(-hot.agg(F.max("n")).first()[0] // column))
+    shares = [k / finest for k in range(1, finest)] or [1.0]
     cuts = large.groupBy("movie_id").agg(
-        F.percentile_approx(F.pmod("micros", F.lit(cooldown)), shares, 10 * columns).alias("cuts"))
+        F.percentile_approx(F.pmod("micros", F.lit(cooldown)), shares, 10 * finest).alias("all"), F.first("n").alias("n"))
+    wanted = F.least(F.lit(finest), F.ceil(F.col("n") / column)).cast("int")
+    nth = F.transform(F.sequence(F.lit(1), wanted - 1), lambda k: F.element_at("all", F.floor(k * finest / wanted).cast("int")))
+    cuts = cuts.withColumn("cuts", F.when(wanted > 1, nth).otherwise(F.array().cast("array<bigint>")))
     edges = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0).cast("bigint")), "cuts", F.array(F.lit(cooldown).cast("bigint")))))
     return folded.unionByName(_split_chain(large.join(cuts.select("movie_id", edges.alias("edges")), "movie_id"), cooldown))
 
@@ -162,7 +171,7 @@ def _column_functions(cooldown: int):
 
 def gate_requests(
     requests: DataFrame, movies: DataFrame | None, last_requests: DataFrame | None,
-    hot_requests: int = HOT_REQUESTS, columns: int = COLUMNS,
+    hot_requests: int = HOT_REQUESTS, column: int = COLUMN,
 ) -> DataFrame:
     """Adds ``status``, ``retry_after_hours`` and ``accepted_at`` to every request.
 
@@ -193,7 +202,7 @@ def gate_requests(
         "gate-times",
     )
     accepted = accepted_times(
-        open_times.select("movie_id", "micros"), COOLDOWN, hot_requests, columns
+        open_times.select("movie_id", "micros"), COOLDOWN, hot_requests, column
     )
     return _decisions(asked, accepted.join(open_times, ["movie_id", "micros"]))
 

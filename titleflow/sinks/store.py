@@ -109,11 +109,13 @@ class TableStore:
         """Write a whole table."""
         self._overwrite(table, rows, list(range(self.buckets)))
 
-    def rows_of(self, table: str, keys: DataFrame, column: str) -> DataFrame:
-        """The table's rows of some titles, named by ``column`` of ``keys``; only their buckets are read."""
+    def rows_of(self, table: str, keys: DataFrame, column: str, touched: list[int] | None = None) -> DataFrame:
+        """The table's rows of some titles, named by ``column`` of ``keys``; only their buckets are read. ``touched``: these
+        buckets, where known."""
         key = "id" if table == "movies" else "movie_id"
+        touched = self.touched(keys, column) if touched is None else touched
         wanted = keys.select(F.col(column).alias(key)).distinct()
-        return self._buckets(table, self.touched(wanted, key)).drop("bucket").join(wanted, key, "left_semi")
+        return self._buckets(table, touched).drop("bucket").join(wanted, key, "left_semi")
 
     def upsert(
         self, table: str, new: DataFrame, keep_non_null: bool = False,

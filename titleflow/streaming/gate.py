@@ -1,55 +1,138 @@
-"""Cooldown gate over a stream of requests.
+"""Cooldown gate over a stream of requests, with keyed state.
 
-The state is one row per title, the last accepted request, kept as a table per batch.
-Each batch is decided by the batch operator against the state of the batch before it, so
-a title with very many requests is split as it is there, and a batch that is repeated
-after a failure reads the same state and writes the same rows.
+The state store holds the last accepted request of each title and gives it up once the cooldown, and a time that
+requests may be late, has passed in event time. So it holds the titles of the last hours, however long the stream runs, and a
+micro-batch touches the state of its own titles only. Decisions go to a file sink, which commits a micro-batch once.
+
+Spark drops rows behind the watermark of a stateful operator. No request may be dropped, so the watermark is taken on a
+clock that runs a hundred years ahead of the requests, with a delay of as much: it stands at the newest request, and no
+request is behind it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from titleflow import schemas
-from titleflow.operators import gate
-from titleflow.session import written
-from titleflow.streaming.ingest import run_available
+from titleflow.functions import dates
+from titleflow.operators.gate import COOLDOWN, NOT_FOUND, ON_COOLDOWN, QUEUED
 
+#: How far ahead the clock of the watermark runs.
+AHEAD = "36500 days"
+#: Hours by which a request may come after newer ones and still find its title's last request.
+LATENESS_HOURS = 1.0
 
-def _state(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
-    if batch_id < 0:
-        return spark.createDataFrame([], schemas.REVIEW_REQUESTS)
-    return spark.read.schema(schemas.REVIEW_REQUESTS).parquet(f"{folder}/state/batch={batch_id}")
 
+def _decider(lateness: int, cooldown: int = COOLDOWN):
+    """Decides the requests of one title in a micro-batch, in time order."""
 
-def gate_stream(
-    spark: SparkSession, requests: DataFrame, movies: DataFrame | None, folder: str,
-    hot_requests: int = gate.HOT_REQUESTS,
-) -> int:
-    """Gate a request stream; decisions land in ``folder/decisions``, one folder per batch.
+    def decide(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
+        import numpy as np
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        # two narrow columns of one title, of one micro-batch
+        ids, times, known, prior = [], [], False, None
+        for frame in frames:
+            ids.append(frame["request_id"].to_numpy())
+            times.append(frame["micros"].to_numpy(dtype="int64"))
+            known = bool(frame["known"].iloc[0])
+            first = frame["prior"].iloc[0]
+            prior = None if pd.isna(first) else int(first)
+        id_, t = np.concatenate(ids), np.concatenate(times)
+        order = np.lexsort((id_, t))
+        id_, t = id_[order], t[order]
+        out = pd.DataFrame({"request_id": id_, "movie_id": key[0], "micros": t, "status": NOT_FOUND})
+        out["last"] = pd.array([None] * len(t), dtype="Int64")
+        if known:
+            last = state.get[0] if state.exists else None
+            last = prior if last is None else last if prior is None else max(last, prior)
+            at = 0 if last is None else int(np.searchsorted(t, last + cooldown))
+            accepted = []
+            while at < len(t):
+                accepted.append(at)
+                at = int(np.searchsorted(t, t[at] + cooldown))
+            taken = np.array(accepted, dtype=np.int64)
+            governing = np.searchsorted(t[taken], t, side="right") - 1
+            if len(taken):
+                own = pd.array(t[taken][governing], dtype="Int64")
+                own[governing < 0] = last if last is not None else pd.NA
+                out["last"] = own
+                last = int(t[taken[-1]])
+            elif last is not None:
+                out["last"] = pd.array([last] * len(t), dtype="Int64")
+            out["status"] = ON_COOLDOWN
+            out.loc[taken, "status"] = QUEUED
+            ends = None if last is None else (last + cooldown + lateness) // 1000 + 1
+            if ends is not None and ends > state.getCurrentWatermarkMs():
+                state.update((last,))
+                state.setTimeoutTimestamp(ends)
+            elif state.exists:
+                state.remove()
+        yield out
 
-    ``requests``: ``request_id``, ``movie_id``, ``requested_at``, in batches that follow
-    each other in time. Within a batch requests are taken by time.
+    return decide
+
+
+def gated(
+    requests: DataFrame, movies: DataFrame | None = None, stored: DataFrame | None = None, lateness_hours: float = LATENESS_HOURS
+) -> DataFrame:
+    """A stream of decisions: ``request_id, movie_id, requested_at, status, retry_after_hours, accepted_at``.
+
+    ``requests``: a stream of ``request_id, movie_id, requested_at``, in micro-batches that follow each other in time, but for
+    requests that are late by ``lateness_hours`` at most. ``movies``: the catalogue (None: every title exists);
+    ``stored``: the request table before the stream. Within a micro-batch requests go by time, then by id; one older than its
+    title's last accepted request is on cooldown. A request that is later than that is decided too, but may find its title
+    free again. A task holds the times and ids of one title of one micro-batch; the source's ``maxFilesPerTrigger`` or
+    ``maxBytesPerTrigger`` bounds them.
     """
+    rows = requests.select("request_id", "movie_id", F.unix_micros("requested_at").alias("micros"),
+                           (F.col("requested_at") + F.expr(f"interval {AHEAD}")).alias("clock")).withWatermark("clock", AHEAD)
+    if movies is None:
+        rows = rows.withColumn("known", F.lit(True))
+    else:
+        ids = movies.select(F.col("id").alias("movie_id"), F.lit(True).alias("known"))
+        rows = rows.join(ids, "movie_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    if stored is None:
+        rows = rows.withColumn("prior", F.lit(None).cast("bigint"))
+    else:
+        rows = rows.join(stored.select("movie_id", F.unix_micros("requested_at").alias("prior")), "movie_id", "left")
+    id_type = dict(requests.dtypes)["request_id"]
+    decided = rows.groupBy("movie_id").applyInPandasWithState(
+        _decider(int(lateness_hours * 3_600_000_000)),
+        f"request_id {id_type}, movie_id string, micros bigint, status string, last bigint", "last bigint",
+        "append", GroupStateTimeout.EventTimeTimeout)
+    at, last = F.timestamp_micros("micros"), F.timestamp_micros("last")
+    return decided.select(
+        "request_id", "movie_id", at.alias("requested_at"), "status",
+        F.when(F.col("status") == ON_COOLDOWN, dates.cooldown_remaining(last, at)).alias("retry_after_hours"), last.alias("accepted_at"))
 
-    def decide(batch: DataFrame, batch_id: int) -> None:
-        before = _state(spark, folder, batch_id - 1)
-        decisions = written(
-            gate.gate_requests(batch, movies, before, hot_requests), "stream-decisions"
-        )
-        gate.request_table(decisions, before).write.mode("overwrite").parquet(
-            f"{folder}/state/batch={batch_id}"
-        )
-        decisions.write.mode("overwrite").parquet(f"{folder}/decisions/batch={batch_id}")
 
-    return run_available(requests, f"{folder}/checkpoint", decide)
+def gate_stream(
+    requests: DataFrame, folder: str, movies: DataFrame | None = None, stored: DataFrame | None = None,
+    lateness_hours: float = LATENESS_HOURS,
+) -> int:
+    """Gate what has arrived; decisions land in ``folder/decisions``. Returns how many micro-batches had requests, of the last
+    ones that Spark reports on (100 by default)."""
+    query = (
+        gated(requests, movies, stored, lateness_hours).writeStream.format("parquet")
+        .option("path", f"{folder}/decisions").option("checkpointLocation", f"{folder}/checkpoint")
+        .outputMode("append").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return sum(progress.numInputRows > 0 for progress in query.recentProgress)
 
 
 def decisions(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/decisions").drop("batch")
+    return spark.read.parquet(f"{folder}/decisions")
 
 
-def last_accepted(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
-    """The request table after a batch."""
-    return _state(spark, folder, batch_id).select("movie_id", F.col("requested_at"))
+def open_state(spark: SparkSession, folder: str) -> DataFrame:
+    """``movie_id, requested_at``: what the state store holds, the titles that may still be on cooldown."""
+    rows = spark.read.format("statestore").load(f"{folder}/checkpoint")
+    return rows.select("key.movie_id", F.timestamp_micros("value.groupState.last").alias("requested_at"))
