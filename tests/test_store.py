@@ -177,3 +177,39 @@ def test_json_documents_leave_absent_fields_out(spark, store):
     path = work_path(spark, "export")
     write_documents(docs, path)
     assert json.loads(spark.read.text(path).first().value) == expected
+
+
+def test_only_folders_without_a_pointer_may_go(spark, store):
+    """A bucket that no write touches stays in its old folder."""
+    import os
+    import shutil
+
+    store.buckets = 8
+    store.save_movies(batch(spark, *[(i, f"T{i}", 1.0, None, []) for i in range(60)]), NOW)
+    for n in range(3):
+        store.save_movies(batch(spark, (7, f"changed {n}", 1.0, None, [])), LATER)
+    live, folder = store.live_versions("movies"), store.path("movies") + "/data"
+    assert len(live) == 2
+    for name in os.listdir(folder):
+        if name.startswith("version=") and name.removeprefix("version=") not in live:
+            shutil.rmtree(f"{folder}/{name}")
+    assert len(titles(store)) == 60 and titles(store)["tmdb_7"].title == "changed 2"
+
+
+def test_of_two_writers_one_fails(spark, store):
+    store.save_movies(batch(spark, (1, "T", 1.0, None, [])), NOW)
+    number, versions = store._pointer("movies")
+    store._point("movies", number + 1, versions)
+    with pytest.raises(Exception, match="exist"):
+        store._point("movies", number + 1, {})
+    assert set(titles(store)) == {"tmdb_1"}
+
+
+def test_a_broken_pointer_is_passed_over(spark, store):
+    store.save_movies(batch(spark, (1, "T", 1.0, None, [])), NOW)
+    number = store._pointer("movies")[0]
+    with open(f"{store.path('movies')}/pointer/{number + 1}.json", "w") as out:
+        out.write('{"buckets": 2, "ver')
+    assert set(titles(store)) == {"tmdb_1"}
+    store.save_movies(batch(spark, (2, "U", 1.0, None, [])), NOW)
+    assert set(titles(store)) == {"tmdb_1", "tmdb_2"}

@@ -1,23 +1,25 @@
 """The six tables as Parquet, hash-bucketed by key.
 
-A write goes to a version folder of its own and holds the buckets that it touches. A manifest then names the
-version of every bucket; it is one small file, written last, and the newest one is the table. So a merge reads and
-rewrites only the buckets that its batch touches, readers see a table before or after a write and never
-between, and a failed write leaves the table as it was. Two writers that start from the same manifest cannot both
-finish. The number of buckets is part of the manifest, and a store with another number is refused.
+A write goes to a version folder of its own and holds the buckets that it touches. A pointer then names the version of every
+bucket; it is one small file, created last, and the newest one is the table. So a merge reads and rewrites only the
+buckets that its batch touches, readers see a table before or after a write and never between, and a failed write leaves
+the table as it was. A pointer is created only where none of its number exists, so of two writers that start from the
+same one the second fails. The number of buckets is part of the pointer, and a store with another number is refused.
 
 Cost of a merge: random keys touch all buckets once a batch has several times as many titles as there are
 buckets. Choose their number so that a bucket holds one or a few files of a usual size.
 
 Rows are rebalanced by bucket before the write: small buckets share a task and a bucket that one title fills is
-split over several. Older versions stay until the folder is cleaned by age.
+split over several. A bucket that no write touches stays in the folder of its last write, however old, so age tells nothing
+about a folder: only folders that the newest pointer does not name (``live_versions``) may be removed, once nobody reads
+an older table.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +30,6 @@ from titleflow.session import written
 from titleflow.sinks import merge
 
 BUCKETS = 64
-MANIFEST = "bucket int, version string, buckets int, number int"
 
 
 class TableStore:
@@ -50,24 +51,52 @@ class TableStore:
         fields = [T.StructField(f.name, f.dataType, True) for f in schemas.TABLES[table].fields]
         return T.StructType([*fields, T.StructField("bucket", T.IntegerType())])
 
-    def _manifest(self, table: str) -> tuple[int, dict[int, str]]:
-        """The number of the newest manifest, 0 for none, and the version of each bucket that holds rows."""
-        try:
-            found = self.spark.read.schema(MANIFEST).parquet(f"{self.path(table)}/manifest")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return 0, {}
-        newest = found.filter(F.col("number") == found.agg(F.max("number")).first()[0]).collect()
-        if not newest:
-            return 0, {}
-        if newest[0].buckets != self.buckets:
-            raise ValueError(f"{table} has {newest[0].buckets} buckets, not {self.buckets}")
-        return newest[0].number, {row.bucket: row.version for row in newest if row.version is not None}
+    def _folder(self, path: str) -> tuple:
+        """The file system of a folder and its path there."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
+
+    def _names(self, path: str) -> list[str]:
+        system, place = self._folder(path)
+        return [entry.getPath().getName() for entry in system.listStatus(place)] if system.exists(place) else []
+
+    def _pointer(self, table: str) -> tuple[int, dict[int, str]]:
+        """The number of the newest pointer, 0 for none, and the version of each bucket that holds rows.
+
+        One listing and one small file, however many writes there were. A pointer whose writer died on the way is passed over.
+        """
+        folder = f"{self.path(table)}/pointer"
+        numbers = sorted((int(name[:-5]) for name in self._names(folder) if name.endswith(".json")), reverse=True)
+        for number in numbers:
+            system, place = self._folder(f"{folder}/{number}.json")
+            stream = system.open(place)
+            try:
+                text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            try:
+                content = json.loads(text)
+            except ValueError:
+                continue
+            if content["buckets"] != self.buckets:
+                raise ValueError(f"{table} has {content['buckets']} buckets, not {self.buckets}")
+            return numbers[0], {int(bucket): version for bucket, version in content["versions"].items()}
+        return (numbers[0] if numbers else 0), {}
+
+    def _point(self, table: str, number: int, versions: dict[int, str]) -> None:
+        """Make the versions the table; fails where another writer has taken the number."""
+        system, place = self._folder(f"{self.path(table)}/pointer/{number}.json")
+        stream = system.create(place, False)
+        stream.write(bytearray(json.dumps({"buckets": self.buckets, "versions": versions}).encode()))
+        stream.close()
+
+    def live_versions(self, table: str) -> set[str]:
+        """The version folders that the table consists of."""
+        return set(self._pointer(table)[1].values())
 
     def _buckets(self, table: str, touched: list[int] | None) -> DataFrame:
         schema = self._stored_schema(table)
-        versions = self._manifest(table)[1]
+        versions = self._pointer(table)[1]
         wanted = versions if touched is None else {b: versions[b] for b in touched if b in versions}
         if not wanted:
             return self.spark.createDataFrame([], schema)
@@ -86,7 +115,7 @@ class TableStore:
     def _overwrite(self, table: str, rows: DataFrame, touched: list[int]) -> None:
         """Put ``rows`` in the place of the touched buckets."""
         key = schemas.TABLE_KEYS[table]
-        number, versions = self._manifest(table)
+        number, versions = self._pointer(table)
         version = uuid.uuid4().hex
         data = f"{self.path(table)}/data/version={version}"
         (
@@ -99,11 +128,9 @@ class TableStore:
             .write.partitionBy("bucket")
             .parquet(data)
         )
-        filled = self.spark.read.schema(self._stored_schema(table)).parquet(data).select("bucket").distinct().collect()
-        versions = {b: v for b, v in versions.items() if b not in set(touched)} | {row.bucket: version for row in filled}
-        entries = [(b, versions.get(b), self.buckets) for b in range(self.buckets)]
-        manifest = self.spark.createDataFrame(entries, "bucket int, version string, buckets int").coalesce(1)
-        manifest.write.mode("error").parquet(f"{self.path(table)}/manifest/number={number + 1}")
+        filled = [int(name.removeprefix("bucket=")) for name in self._names(data) if name.startswith("bucket=")]
+        kept = {bucket: old for bucket, old in versions.items() if bucket not in set(touched)}
+        self._point(table, number + 1, kept | dict.fromkeys(filled, version))
 
     def create(self, table: str, rows: DataFrame) -> None:
         """Write a whole table."""
