@@ -9,6 +9,7 @@ from checks.bindings import (
 from checks.functions import CONTENT_SQL
 from checks.inputs import GENRE_SQL, genre_payload, read_pages
 from titleflow.operators import browse, candidates, counts, coverage, gate, joins
+from titleflow.session import written
 from titleflow.sources import listings, registry
 
 
@@ -147,7 +148,10 @@ def agg8(spark, d):
     outcomes = batch.work.select(
         "id", F.when(F.col("tmdb_id") % 2 == 1, "summariser failed").alias("error")
     )
-    return counts.run_counters(outcomes, batch.counts)
+    outcomes, seen = counts.observed_outcomes(outcomes)
+    written(outcomes, "outcomes")
+    first = batch.counts.first()
+    return counts.counters_row(spark, first.discovered, first.skipped, seen)
 
 
 @query("agg9_catalogue_counters", """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,22 +23,27 @@ def points_by_type(points: DataFrame) -> DataFrame:
     return points.groupBy("type").agg(F.count(F.lit(1)).alias("points"))
 
 
-def run_counters(outcomes: DataFrame, discovered: DataFrame) -> DataFrame:
-    """One row: discovered, processed, skipped, failed.
+def observed_outcomes(outcomes: DataFrame) -> tuple[DataFrame, Observation]:
+    """The outcomes, and an observation of ``processed`` and ``failed`` that their one write fills.
 
-    ``outcomes`` has one row per worked title with ``error``, NULL where it went well;
-    ``discovered`` is the count row of a filled batch.
+    Observe in the stage that writes: a stage behind it may run again after a lost executor and would count twice.
     """
-    done = outcomes.agg(
-        F.count_if(F.col("error").isNull()).alias("processed"),
-        F.count_if(F.col("error").isNotNull()).alias("failed"),
-    )
-    return discovered.select(
-        "discovered",
-        done.select("processed").scalar().alias("processed"),
-        "skipped",
-        done.select("failed").scalar().alias("failed"),
-    )
+    seen = Observation()
+    error = F.col("error")
+    return outcomes.observe(seen, F.count_if(error.isNull()).alias("processed"), F.count_if(error.isNotNull()).alias("failed")), seen
+
+
+def observed_payloads(payloads: DataFrame) -> tuple[DataFrame, Observation]:
+    """Payloads, and an observation of ``errors``, the malformed ones, that their one pass into a write fills."""
+    seen = Observation()
+    return payloads.observe(seen, F.count_if(F.col("_corrupt_record").isNotNull()).alias("errors")), seen
+
+
+def counters_row(spark: SparkSession, discovered: int, skipped: int, *seen: Observation) -> DataFrame:
+    """One row: discovered, processed, skipped, failed, from observations of finished writes."""
+    processed, failed = (sum(one.get[name] for one in seen) for name in ("processed", "failed"))
+    return spark.createDataFrame(
+        [(discovered, processed, skipped, failed)], "discovered bigint, processed bigint, skipped bigint, failed bigint")
 
 
 def catalogue_counters(titles: DataFrame, movies: DataFrame) -> DataFrame:

@@ -34,13 +34,14 @@ def catalog_sync(
 ) -> DataFrame:
     """Save the titles that are new; returns one row of counters, with malformed pages as errors.
 
-    Known titles are left alone, so a page that is delivered twice changes nothing.
+    Known titles are left alone, so a page that is delivered twice changes nothing. Pages are parsed once, on the way
+    into the batch; that pass also counts the malformed ones.
     """
+    pages, seen = counts.observed_payloads(pages)
     batch = written(catalogue_batch(pages, genre_payloads), "catalogue-batch")
-    before = store.rows_of("movies", batch, "id").select("id")
-    errors = listings.malformed(pages, "listing").agg(F.count(F.lit(1))).scalar()
-    counters = counts.catalogue_counters(batch, before).withColumn("errors", errors)
-    counters = written(counters, "catalogue-counters")
+    touched = store.touched(batch, "id")
+    before = store.rows_of("movies", batch, "id", touched).select("id")
+    counted = counts.catalogue_counters(batch, before).withColumn("errors", F.lit(seen.get["errors"]).cast("bigint")).collect()
     fresh = merge.last_wins(joins.new_titles(batch, before), "id", "batch_order")
     store.save_movies(fresh, now)
-    return counters
+    return store.spark.createDataFrame(counted, "pages bigint, discovered bigint, saved bigint, skipped bigint, errors bigint")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from titleflow.functions.dates import Moment, moment
@@ -44,16 +44,12 @@ def migrate_summaries(
 ) -> DataFrame:
     """Writes the migrated rows; returns ``(migrated, errors)``."""
     rows = migrated_rows(wide_movies, points, themes, now)
-    summaries = written(rows.summaries, "migrated")
+    seen = Observation()
+    summaries = written(rows.summaries.observe(seen, F.count(F.lit(1)).alias("moved")), "migrated")
     touched = store.touched(summaries, "movie_id")
     store.replace_children("movie_points", summaries, rows.points, touched)
     store.replace_children("movie_themes", summaries, rows.themes, touched)
     store.upsert("movie_summaries", summaries, touched=touched)
-    arrived = store.read("movie_summaries").filter(F.col("last_updated") == moment(now))
-    state = summaries.select("movie_id").join(
-        arrived.select("movie_id").withColumn("arrived", F.lit(True)), "movie_id", "left"
-    )
-    return state.agg(
-        F.count_if("arrived").alias("migrated"),
-        F.count_if(F.col("arrived").isNull()).alias("errors"),
-    )
+    # of the table only the buckets that were written are read
+    arrived = store.rows_of("movie_summaries", summaries, "movie_id", touched).filter(F.col("last_updated") == moment(now)).count()
+    return store.spark.createDataFrame([(arrived, seen.get["moved"] - arrived)], "migrated bigint, errors bigint")

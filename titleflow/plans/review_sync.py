@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,8 +95,8 @@ def _work_columns(frame: DataFrame) -> DataFrame:
 def process(
     store: TableStore, work: DataFrame, inputs: Inputs, now: Moment, settings: Settings,
     warnings: list[str],
-) -> DataFrame:
-    """Work on planned titles and save them; returns ``(id, title, error)`` per title.
+) -> tuple[DataFrame, Observation]:
+    """Work on planned titles and save them; returns ``(id, title, error)`` per title, and how many went well and did not.
 
     A title whose summariser call fails is not saved at all. One that has neither reviews
     nor an overview gets an empty summary and comes up again in the next run. Where the
@@ -136,12 +136,14 @@ def process(
     outcomes = work.join(
         summaries.select(F.col("movie_id").alias("id"), "error"), "id", "left"
     )
+    outcomes, seen = counts.observed_outcomes(outcomes)
+    outcomes = written(outcomes, "outcomes")
     try:
         store.save_summaries(summaries.filter(F.col("error").isNull()).drop("error"), now)
     except (PySparkException, OSError) as error:
         warnings.append(f"Failed to save summaries: {error}")
     store.save_movies(outcomes.filter(F.col("error").isNull()), now)
-    return outcomes.select("id", "title", "error")
+    return outcomes.select("id", "title", "error"), seen
 
 
 def _failures(outcomes: DataFrame) -> DataFrame:
@@ -155,8 +157,9 @@ def review_sync(
     warnings: list[str] = []
     planned = written(plan_stored(store, discover(inputs, now, limit, settings), now), "plan")
     batch = c.fill_batch(planned, limit)
-    outcomes = process(store, _work_columns(batch.work), inputs, now, settings, warnings)
-    return Outcome(counts.run_counters(outcomes, batch.counts), _failures(outcomes), warnings)
+    outcomes, seen = process(store, _work_columns(batch.work), inputs, now, settings, warnings)
+    first = batch.counts.first()
+    return Outcome(counts.counters_row(store.spark, first.discovered, first.skipped, seen), _failures(outcomes), warnings)
 
 
 def targeted_sync(
@@ -172,12 +175,14 @@ def targeted_sync(
     stored = store.rows_of("movies", asked, "id")
     known = not stored.isEmpty()
     errors = spark.createDataFrame([], ERRORS)
-    counters = spark.range(1).select(F.lit(0).alias("discovered"), F.lit(0).alias("skipped"))
+    discovered = skipped = 0
+    seen: list[Observation] = []
     outcomes = spark.createDataFrame([], "id string, title string, error string")
     if known:
         genres = store.rows_of("movie_genres", asked, "id")
         forced = _as_candidates(stored, genres).withColumn("action", F.lit(c.FULL))
-        outcomes = process(store, _work_columns(forced), inputs, now, settings, warnings)
+        outcomes, done = process(store, _work_columns(forced), inputs, now, settings, warnings)
+        seen.append(done)
     else:
         message = f"Target movie '{target}' not found in catalog"
         errors = spark.createDataFrame([(target, message)], ERRORS)
@@ -186,11 +191,10 @@ def targeted_sync(
         planned = written(plan_stored(store, pool, now), "plan")
         others = planned.filter(F.col("id") != target)
         batch = c.fill_batch(others, limit - 1 if known else limit)
-        filled = process(store, _work_columns(batch.work), inputs, now, settings, warnings)
+        filled, done = process(store, _work_columns(batch.work), inputs, now, settings, warnings)
+        seen.append(done)
         outcomes = outcomes.unionByName(filled)
-        counters = batch.counts.select(
-            planned.agg(F.count(F.lit(1))).scalar().alias("discovered"), "skipped"
-        )
+        discovered, skipped = planned.count(), batch.counts.first().skipped
     return Outcome(
-        counts.run_counters(outcomes, counters), errors.unionByName(_failures(outcomes)), warnings
+        counts.counters_row(spark, discovered, skipped, *seen), errors.unionByName(_failures(outcomes)), warnings
     )
