@@ -246,6 +246,13 @@ def srt3(spark, d):
     return browse.sorted_page(MOVIES.frame(spark, d), "popularity", "desc", limit, offset).select("id")
 
 
+@query("srt3_deep_page", f"""
+{ctes(MOVIES)}, {_page('popularity', 'DESC', 100, 9000)} SELECT id FROM page""")
+def srt3_deep(spark, d):
+    """A page in the last third, of which no task sorts what comes before it."""
+    return browse.page_keys(MOVIES.frame(spark, d), "popularity", "desc", 100, 9000, deep=1000)
+
+
 @query("srt4_search_order", f"""
 {ctes(MOVIES)} SELECT id FROM movies WHERE title LIKE '%LOW%' ORDER BY last_updated DESC, id LIMIT 50""")
 def srt4(spark, d):

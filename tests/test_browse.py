@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 
 from titleflow import schemas
-from titleflow.operators import browse, joins
+from titleflow.operators import browse, deep_pages, joins
 from titleflow.plans import documents
 
 NOW = dt.datetime(2026, 8, 10, 12)
@@ -134,3 +134,22 @@ def test_summaries_have_one_row_each(spark, tables):
     rows = joins.summaries_with_lists(tables["movie_summaries"], points, tables["movie_themes"]).collect()
     assert sorted(r.movie_id for r in rows) == ["tmdb_1", "tmdb_3", "tmdb_5"]
     assert [r.pros for r in rows if r.movie_id == "tmdb_1"] == [[f"p{i}" for i in range(25)]]
+
+
+@pytest.mark.parametrize("sort", ["popularity", "last_updated", "rotten_tomatoes"])
+@pytest.mark.parametrize("order", ["asc", "desc"])
+def test_deep_pages_equal_a_full_sort(spark, sort, order):
+    """Nulls, ties, and a value that most rows share."""
+    rows = [(f"m{i}", None if i % 7 == 0 else float(i * 7919 % 500), NOW if i % 3 else None, 50 if i % 10 else i) for i in range(3000)]
+    movies = spark.createDataFrame(rows, "id string, popularity double, last_updated timestamp, rotten_tomatoes int").repartition(4)
+    whole = [r.id for r in movies.orderBy(*browse.sort_order(sort, order)).collect()]
+    for offset in (0, 1, 777, 1500, 2990, 5000):
+        got = [r.id for r in browse.page_keys(movies, sort, order, 20, offset, deep=100).collect()]
+        assert got == whole[offset:offset + 20]
+
+
+def test_a_deep_page_sorts_few_rows(spark):
+    movies = spark.range(20_000).selectExpr("concat('m', id) AS id", "id * 7919 % 20000 AS popularity")
+    left, offset = deep_pages.narrowed(movies, "popularity", True, 15_000, 10, few=300)
+    assert left.count() <= 300 and offset < 300
+    assert [r.popularity for r in browse.sorted_page(left, "popularity", "asc", 10, offset).collect()] == list(range(15_000, 15_010))

@@ -6,6 +6,7 @@ import pytest
 
 from titleflow import schemas
 from titleflow.operators import browse, candidates, gate, lists, reviews
+from titleflow.plans import documents
 from titleflow.session import rows_up_to, work_path
 
 NOW = dt.datetime(2026, 8, 9)
@@ -81,3 +82,22 @@ def test_requests_join_their_window_by_equality(spark, plan):
     asked = spark.createDataFrame([(1, "m", NOW)], "request_id long, movie_id string, requested_at timestamp")
     text = plan(gate.gate_requests(asked, None, None))
     assert "NestedLoop" not in text and "Cartesian" not in text
+
+
+def test_reads_of_a_page_open_its_buckets_only(spark, store):
+    """Also of asked documents and summaries, whatever is stored besides."""
+    store.buckets = 16
+    rows = [(f"m{i}", i, None, f"T{i}", NOW, None, "long", 1.0 * i, None, None, NOW) for i in range(200)]
+    store.create("movies", spark.createDataFrame(rows, schemas.MOVIES))
+    store.create("movie_genres", spark.createDataFrame([(f"m{i}", "G") for i in range(200)], schemas.MOVIE_GENRES))
+    store.create("movie_summaries", spark.createDataFrame([(f"m{i}", 40, "c", "", 4, NOW) for i in range(200)], schemas.MOVIE_SUMMARIES))
+    asked = spark.createDataFrame([("m7", 0), ("m11", 1)], "movie_id string, pos int")
+    own = {f"bucket={b}" for b in store.touched(asked, "movie_id")}
+    page = documents.browse(store, NOW, sort="popularity", limit=2).results
+    top = {f"bucket={b}" for b in store.touched(spark.createDataFrame([("m199",), ("m198",)], "id string"), "id")}
+    for frame, buckets in ((page, top), (documents.documents(store, asked), own), (documents.summaries(store, asked), own)):
+        opened = {part for place in frame.inputFiles() for part in place.split("/") if part.startswith("bucket=")}
+        assert opened and opened <= buckets
+    assert {r.id for r in page.collect()} == {"m199", "m198"}
+    assert {r.id for r in documents.documents(store, asked).collect()} == {"m7", "m11"}
+    assert {r.id for r in documents.search(store, "T15", 50).collect()} == {"m15", *(f"m{i}" for i in range(150, 160))}

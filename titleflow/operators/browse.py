@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from titleflow.functions import dates, movies as m, scores, text
 from titleflow.functions.dates import Moment
-from titleflow.operators import joins
+from titleflow.operators import deep_pages, joins
 from titleflow.session import rows_up_to
 
 # fixed values: sortable columns and page sizes
@@ -73,17 +73,25 @@ def sorted_page(matches: DataFrame, sort: str, order: str | None, limit: int, of
     return matches.orderBy(*sort_order(sort, order)).offset(offset).limit(limit)
 
 
-def page_keys(matches: DataFrame, sort: str, order: str | None, limit: int, offset: int) -> DataFrame:
-    """Ids of one page: the top-k reads and keeps nothing but ids and the sort column."""
-    return sorted_page(matches.select("id", sort), sort, order, limit, offset).select("id")
+def page_keys(
+    matches: DataFrame, sort: str, order: str | None, limit: int, offset: int, deep: int = deep_pages.FEW
+) -> DataFrame:
+    """Ids of one page: the top-k reads and keeps nothing but ids and the sort column.
+
+    A page more than ``deep`` rows behind the start is first narrowed down to a range of the sort column; the ids are the same.
+    """
+    rows = matches.select("id", sort)
+    if offset + limit > deep:
+        rows, offset = deep_pages.narrowed(rows, sort, (order or "desc").lower() == "asc", offset, limit, deep)
+    return sorted_page(rows, sort, order, limit, offset).select("id")
 
 
-def rows_of_page(movies: DataFrame, keys: DataFrame) -> DataFrame:
-    """The movies of a page, read by id; a page has at most :data:`MAX_LIMIT`."""
+def ids_of_page(keys: DataFrame) -> list[str]:
+    """The ids of a page; it has at most :data:`MAX_LIMIT`."""
     rows = rows_up_to(keys, MAX_LIMIT)
     if rows is None:
         raise ValueError(f"a page has at most {MAX_LIMIT} movies")
-    return movies.filter(F.col("id").isin([row["id"] for row in rows]))
+    return [row["id"] for row in rows]
 
 
 def titles_like(movies: DataFrame, query: str, limit: int | None = None) -> DataFrame:
@@ -107,19 +115,21 @@ def documents(
     The page is cut first and once; the child tables are then read with its ids as a
     filter on the scan, so nothing but the page's own children is grouped or joined.
     """
-    rows = rows_up_to(page, MAX_LIMIT)
-    if rows is None:
-        raise ValueError(f"a page has at most {MAX_LIMIT} movies")
-    page = page.sparkSession.createDataFrame(rows, page.schema)
-    ids = [row["id"] for row in rows]
+    ids = ids_of_page(page.select("id"))
 
-    def of_page(children: DataFrame) -> DataFrame:
-        return children.filter(F.col("movie_id").isin(ids))
+    def of_page(rows: DataFrame | None, key: str = "movie_id") -> DataFrame | None:
+        return None if rows is None else rows.filter(F.col(key).isin(ids))
 
-    found = None
-    if summaries is not None:
-        found = joins.summaries_with_lists(of_page(summaries), of_page(points), of_page(themes))
-    return documents_of(joins.with_summaries(joins.with_genres(page, of_page(genres)), found))
+    return documents_with(of_page(page, "id"), *map(of_page, (genres, summaries, points, themes)))
+
+
+def documents_with(
+    page: DataFrame, genres: DataFrame,
+    summaries: DataFrame | None, points: DataFrame | None, themes: DataFrame | None,
+) -> DataFrame:
+    """Documents of movies and of their own child rows."""
+    found = None if summaries is None else joins.summaries_with_lists(summaries, points, themes)
+    return documents_of(joins.with_summaries(joins.with_genres(page, genres), found))
 
 
 def documents_of(movies: DataFrame) -> DataFrame:

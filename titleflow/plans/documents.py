@@ -1,4 +1,7 @@
-"""Browse, search and document views over the stored tables."""
+"""Browse, search and document views over the stored tables.
+
+``tables`` is a store, of which reads of a page or of asked titles open no buckets but theirs, or frames by table name.
+"""
 
 from __future__ import annotations
 
@@ -8,10 +11,15 @@ from pyspark.sql import functions as F
 from titleflow.functions.dates import Moment
 from titleflow.operators import browse as b
 from titleflow.operators import joins, lists
+from titleflow.sinks.store import TableStore
+
+
+Tables = TableStore | dict[str, DataFrame]
+CHILDREN = ("movie_genres", "movie_summaries", "movie_points", "movie_themes")
 
 
 def browse(
-    tables: dict[str, DataFrame], now: Moment, genre: str | None = None, sort: str | None = None,
+    tables: Tables, now: Moment, genre: str | None = None, sort: str | None = None,
     order: str | None = None, limit: int | None = None, offset: int | None = None,
     sentiment_sort: bool = True,
 ) -> b.Page:
@@ -22,28 +30,27 @@ def browse(
     """
     column = b.sort_column(sort, sentiment_sort)
     limit, offset = b.page_bounds(limit, offset)
-    matches = b.matching(tables["movies"], tables["movie_genres"], genre, column, now)
+    matches = b.matching(_whole(tables, "movies"), _whole(tables, "movie_genres"), genre, column, now)
     total = matches.agg(F.count(F.lit(1)).alias("total"))
     sortable = matches
     if column == b.SENTIMENT_SORT:
-        scored = tables["movie_summaries"].select(F.col("movie_id").alias("id"), column)
+        scored = _whole(tables, "movie_summaries").select(F.col("movie_id").alias("id"), column)
         sortable = matches.select("id").join(scored, "id", "left")
     keys = b.page_keys(sortable, column, order, limit, offset)
-    return b.Page(total, _documents(b.rows_of_page(tables["movies"], keys), tables), limit, offset)
+    return b.Page(total, _documents(tables, keys), limit, offset)
 
 
-def search(tables: dict[str, DataFrame], query: str, limit: int | None = None) -> DataFrame:
-    found = b.titles_like(tables["movies"], query, limit)
-    return _documents(b.rows_of_page(tables["movies"], found), tables)
+def search(tables: Tables, query: str, limit: int | None = None) -> DataFrame:
+    return _documents(tables, b.titles_like(_whole(tables, "movies"), query, limit))
 
 
-def documents(tables: dict[str, DataFrame], ids: DataFrame) -> DataFrame:
+def documents(tables: Tables, ids: DataFrame) -> DataFrame:
     """Documents of the asked ids (``movie_id``), as many as are asked for; unknown ids are absent."""
     return export(_of(tables, b.requested_ids(ids)))
 
 
 def summaries(
-    tables: dict[str, DataFrame], ids: DataFrame, most: int | None = b.MAX_SUMMARY_IDS
+    tables: Tables, ids: DataFrame, most: int | None = b.MAX_SUMMARY_IDS
 ) -> DataFrame:
     """Summary documents of the asked ids (``movie_id``, ``pos``); unknown ids are absent.
 
@@ -73,8 +80,16 @@ def export_entries(tables: dict[str, DataFrame]) -> DataFrame:
     return lists.entries(tables["movie_points"], tables["movie_themes"]).withColumnRenamed("ordinal", "position")
 
 
-def _of(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
+def _whole(tables: Tables, name: str) -> DataFrame:
+    return tables.read(name) if isinstance(tables, TableStore) else tables[name]
+
+
+def _of(tables: Tables, ids: DataFrame) -> dict[str, DataFrame]:
     """The rows of the asked titles in every table."""
+    if isinstance(tables, TableStore):
+        touched = tables.touched(ids, "movie_id")
+        return {name: tables.rows_of(name, ids, "movie_id", touched) for name in ("movies", *CHILDREN)}
+
     def kept(name: str, frame: DataFrame) -> DataFrame:
         key = "id" if name == "movies" else "movie_id"
         return frame.join(ids.select(F.col("movie_id").alias(key)), key, "left_semi")
@@ -82,8 +97,14 @@ def _of(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
     return {name: kept(name, frame) for name, frame in tables.items() if frame is not None}
 
 
-def _documents(page: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    return b.documents(
-        page, tables["movie_genres"], tables.get("movie_summaries"),
-        tables.get("movie_points"), tables.get("movie_themes"),
-    )
+def _documents(tables: Tables, keys: DataFrame) -> DataFrame:
+    """Documents of a page. Its ids come to the driver once; every table is then read by them."""
+    ids = b.ids_of_page(keys)
+
+    def named(name: str) -> DataFrame | None:
+        if isinstance(tables, TableStore):
+            return tables.rows_by_id(name, ids)
+        key = "id" if name == "movies" else "movie_id"
+        return None if tables.get(name) is None else tables[name].filter(F.col(key).isin(ids))
+
+    return b.documents_with(named("movies"), *map(named, CHILDREN))

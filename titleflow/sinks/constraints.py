@@ -24,47 +24,44 @@ PARENTS = {
 }
 
 
-def _finding(table: str, rule: str, rows: DataFrame, key, n) -> DataFrame:
-    return rows.select(
-        F.lit(table).alias("table_name"), F.lit(rule).alias("rule"),
-        key.cast("string").alias("row_key"), n.cast("bigint").alias("row_count"),
-    )
+def violations(tables: dict[str, DataFrame]) -> DataFrame:
+    """``(table_name, rule, row_key, row_count)``.
 
+    A table is scanned once: every row gives the keys that must be unique, the reference it makes and the rules it breaks, all
+    counted in one aggregation before anything is shuffled. Keys of more than one column are counted as arrays, so no separator can
+    make two of them look alike. References meet their parents after that, one row per key, by the aggregation's own
+    partitioning; Spark puts a Bloom filter of the parents before that exchange where they are much smaller.
+    """
+    return reduce(DataFrame.unionByName, [_of_table(table, frame, tables) for table, frame in tables.items()])
 
-def _broken(table: str, frame: DataFrame, rules: dict, key: str) -> DataFrame:
-    """Rows that break rules (conditions by name), all in one pass."""
-    hits = F.filter(
-        F.array(*(F.when(condition, F.lit(rule)) for rule, condition in rules.items())), lambda rule: rule.isNotNull())
-    counts = frame.select(F.col(key).alias("k"), F.explode(hits).alias("rule")).groupBy("k", "rule").agg(F.count("*").alias("n"))
-    return counts.select(
-        F.lit(table).alias("table_name"), "rule", F.col("k").cast("string").alias("row_key"), F.col("n").cast("bigint").alias("row_count"))
 
+def _of_table(table: str, frame: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    key = schemas.TABLE_KEYS[table]
 
-def violations(tables: dict[str, DataFrame]) -> DataFrame:
-    """``(table_name, rule, row_key, row_count)``, counted per key before anything is shuffled.
+    def found(rule: str, *columns: str):
+        return F.struct(F.lit(rule).alias("rule"), F.array(*(F.col(c).cast("string") for c in columns)).alias("key"))
 
-    A table is scanned once for its null and value rules, and once for each key and reference.
-    """
-    found = []
-    for table, frame in tables.items():
-        key = schemas.TABLE_KEYS[table]
-        for columns in KEYS.get(table, []):
-            repeated = (
-                frame.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-            )
-            label = F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
-            found.append(_finding(table, f"unique({','.join(columns)})", repeated, label, F.col("n")))
-        rules = {
-            f"not_null({f.name})": F.col(f.name).isNull()
-            for f in schemas.TABLES[table].fields if not f.nullable and f.name in frame.columns
-        }
-        rules |= {f"in_list({column})": ~F.col(column).isin(allowed) for column, allowed in VALUES.get(table, {}).items()}
-        if rules:
-            found.append(_broken(table, frame, rules, key))
-        parent = PARENTS.get(table)
-        if parent and parent[0] in tables:
-            parents = tables[parent[0]].select(F.col(parent[1]).alias(key))
-            orphans = frame.join(parents, key, "left_anti")
-            counts = orphans.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-            found.append(_finding(table, f"references({parent[0]})", counts, F.col("k"), F.col("n")))
-    return reduce(DataFrame.unionByName, found)
+    unique = {f"unique({','.join(columns)})": columns for columns in KEYS.get(table, [])}
+    broken = {
+        f"not_null({f.name})": F.col(f.name).isNull()
+        for f in schemas.TABLES[table].fields if not f.nullable and f.name in frame.columns
+    }
+    broken |= {f"in_list({column})": ~F.col(column).isin(allowed) for column, allowed in VALUES.get(table, {}).items()}
+    parent = PARENTS.get(table)
+    reference = f"references({parent[0]})" if parent and parent[0] in tables else None
+    marks = [found(rule, *columns) for rule, columns in unique.items()]
+    marks += [F.when(condition, found(rule, key)) for rule, condition in broken.items()]
+    if reference:
+        marks.append(found(reference, key))
+    rows = frame.select(F.explode(F.filter(F.array(*marks), lambda mark: mark.isNotNull())).alias("mark"))
+    counts = rows.groupBy("mark.rule", "mark.key").agg(F.count(F.lit(1)).alias("n"))
+    fine = F.col("rule").isin(list(unique)) & (F.col("n") == 1)
+    if reference:
+        parents = tables[parent[0]].select(
+            F.lit(reference).alias("rule"), F.array(F.col(parent[1]).cast("string")).alias("key"), F.lit(True).alias("known"))
+        # a parent may be there more than once, where its own table is broken
+        counts = counts.join(parents.dropDuplicates(["rule", "key"]), ["rule", "key"], "left")
+        fine = fine | F.coalesce("known", F.lit(False))
+    label = F.when(F.col("rule").isin(list(unique)), F.concat_ws("|", "key")).otherwise(F.element_at("key", 1))
+    return counts.filter(~fine).select(
+        F.lit(table).alias("table_name"), "rule", label.alias("row_key"), F.col("n").cast("bigint").alias("row_count"))

@@ -144,6 +144,12 @@ class TableStore:
         wanted = keys.select(F.col(column).alias(key)).distinct()
         return self._buckets(table, touched).drop("bucket").join(wanted, key, "left_semi")
 
+    def rows_by_id(self, table: str, ids: list[str]) -> DataFrame:
+        """The table's rows of a few titles: the ids choose the buckets, and filter the scan inside them."""
+        key = "id" if table == "movies" else "movie_id"
+        asked = self.spark.createDataFrame([(i,) for i in ids], "id string")
+        return self._buckets(table, self.touched(asked, "id")).drop("bucket").filter(F.col(key).isin(ids))
+
     def upsert(
         self, table: str, new: DataFrame, keep_non_null: bool = False,
         touched: list[int] | None = None,

@@ -11,19 +11,20 @@ from titleflow.functions import dates, movies
 _NUMBER = r"\A(BIGINT|DOUBLE|FLOAT|DECIMAL\(.*\))\z"
 
 
-def _field(row: Column, name: str) -> tuple[Column, Column]:
-    value = F.try_variant_get(row, f"$.{name}", "variant")
-    return value, F.schema_of_variant(value)
-
-
 def _text(row: Column, name: str) -> Column:
-    value, kind = _field(row, name)
-    return F.when(kind == "STRING", value.cast("string"))
+    value = row[name]
+    return F.when(F.schema_of_variant(value) == "STRING", value.cast("string"))
 
 
 def _number(row: Column, name: str) -> Column:
-    value, kind = _field(row, name)
-    return F.when(kind.rlike(_NUMBER), F.try_variant_get(row, f"$.{name}", "double"))
+    value = row[name]
+    return F.when(F.schema_of_variant(value).rlike(_NUMBER), F.try_variant_get(value, "$", "double"))
+
+
+def _decoded(rows: DataFrame, column: str, names: list[str]) -> DataFrame:
+    """``__row``: the named fields of stored JSON objects as variants; one parse, and one pass over what it gives."""
+    fields = ", ".join(f"{name}: variant" for name in names)
+    return rows.select(F.try_variant_get(F.try_parse_json(column), "$", f"struct<{fields}>").alias("__row"))
 
 
 def _whole(row: Column, name: str, ddl: str = "int") -> Column:
@@ -36,7 +37,7 @@ def _whole(row: Column, name: str, ddl: str = "int") -> Column:
 def decode_movies(rows: DataFrame, column: str = "row") -> DataFrame:
     """Movie rows of stored JSON objects; a field of a wrong type is missing."""
     row = F.col("__row")
-    return rows.withColumn("__row", F.try_parse_json(column)).select(
+    return _decoded(rows, column, schemas.MOVIES.fieldNames()).select(
         _text(row, "id").alias("id"),
         _whole(row, "tmdb_id", "bigint").alias("tmdb_id"),
         _text(row, "imdb_id").alias("imdb_id"),
@@ -53,7 +54,7 @@ def decode_movies(rows: DataFrame, column: str = "row") -> DataFrame:
 
 def decode_summaries(rows: DataFrame, column: str = "row") -> DataFrame:
     row = F.col("__row")
-    return rows.withColumn("__row", F.try_parse_json(column)).select(
+    return _decoded(rows, column, schemas.MOVIE_SUMMARIES.fieldNames()).select(
         _text(row, "movie_id").alias("movie_id"),
         _whole(row, "overall_sentiment").alias("overall_sentiment"),
         _text(row, "audience_consensus").alias("audience_consensus"),
