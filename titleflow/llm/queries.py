@@ -179,8 +179,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_sign_hash", """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
-  WHERE label IS NOT NULL AND list_bool_and(list_transform(embedding, x -> coalesce(isfinite(x), false)))
-        AND list_bool_or(list_transform(embedding, x -> x <> 0))),
+  WHERE label IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))
+        AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
 link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v AS a JOIN v AS b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
          WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
 reach AS (SELECT x, x AS y FROM link UNION SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x),
