@@ -233,6 +233,16 @@ def src8(spark, d):
     ).drop("content")
 
 
+@query("src8_feed_files", FEED_SQL)
+def src8_files(spark, d):
+    """The same feeds as landed files, a folder per title."""
+    path = work_path(spark, "feeds")
+    feeds(spark, d).repartition("movie_id").write.partitionBy("movie_id").text(path)
+    return reviews.feed_reviews(reviews.read_feeds(spark, path)).withColumn("digest", F.md5("content")).withColumn(
+        "created_at", dates.rfc3339(F.col("created_at"))
+    ).drop("content")
+
+
 REPLY = """CASE event_type
     WHEN 'click' THEN '{"overall_sentiment": ' || event_id % 101 || ', "pros": ["p' || user_id || '", "q"], "cons": [], "common_themes": ["t"], "audience_consensus": "c", "recommendation": null, "extra": ' || props || '}'
     WHEN 'view' THEN '{"overall_sentiment": ' || event_id % 101 || '.5, "pros": ["x"]}'
@@ -340,6 +350,18 @@ def set1(spark, d):
     )
 
 
+@query("set1_asked_titles", f"""
+{ctes(REVIEWS, TURNS)}, every AS (SELECT 0 AS source_rank, movie_id, id, ordinal, md5(content) AS digest FROM reviews
+    UNION ALL SELECT 2, movie_id, id, ordinal, md5(content) FROM turns)
+SELECT every.* FROM every SEMI JOIN (SELECT 'tmdb_' || doc_id AS movie_id FROM labels WHERE quality = 0) USING (movie_id)
+""".replace("AS STRING", "AS VARCHAR"))
+def set1_asked(spark, d):
+    """The reviews of some titles, of which alone the sources are asked."""
+    asked = table(spark, d, "labels").filter("quality = 0").select(F.expr("'tmdb_' || doc_id").alias("movie_id"))
+    found, _ = sources_of(d).collect(spark, asked)
+    return found.select("source_rank", "movie_id", "id", "ordinal", F.md5("content").alias("digest"))
+
+
 @query("win3_feed_positions", """
 SELECT 'tmdb_' || page_id // 20 AS movie_id, count(*) AS items, max(page_id % 20) AS last_ordinal
 FROM pages WHERE page_id % 20 < 10 GROUP BY ALL""")

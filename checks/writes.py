@@ -17,7 +17,7 @@ from titleflow.plans import catalog_sync, migrate, requests, review_sync, seam
 from titleflow.session import work_path
 from titleflow.sinks import constraints, merge
 from titleflow.sinks.store import TableStore
-from titleflow.sources import listings
+from titleflow.sources import listings, registry
 
 WRITTEN = dt.datetime(2024, 5, 1)
 WRITTEN_SQL = "'2024-05-01T00:00:00Z'"
@@ -300,7 +300,7 @@ skips AS (SELECT count(*) AS n FROM walk WHERE action = 'skip'
 
 
 def sync_inputs(spark, d, summarise):
-    turns = TURNS.frame(spark, d).withColumn("source_rank", F.lit(0))
+    turns = registry.Sources().add_reviews("turns", lambda s: TURNS.frame(s, d))
     return review_sync.Inputs(DOC_TITLES.frame(spark, d), turns, summarise=summarise)
 
 

@@ -157,3 +157,54 @@ def test_failing_source_contributes_nothing(spark):
         sources.candidates(spark, "unknown")
     nothing, _ = registry.Sources().collect(spark)
     assert nothing.count() == 0
+
+
+def own_source():
+    """A source as a user would write it; defined here so that it travels by value."""
+    from titleflow.sources.per_title import TitleSource
+
+    class Archive(TitleSource):
+        @classmethod
+        def name(cls):
+            return "archive"
+
+        def fetch(self, movie_id):
+            if movie_id == self.options.get("breaks"):
+                raise OSError("archive is down")
+            for k in range(2):
+                yield (movie_id, f"archive_{movie_id}_{k}", "archive", "a", f"text {k}", k, None, None, k)
+
+    return Archive
+
+
+def test_a_title_source_is_asked_for_the_pool_only(spark):
+    asked = spark.createDataFrame([(f"m{i}",) for i in range(20)] + [("m1",)], "movie_id string")
+    found, errors = registry.Sources().add_title_source(own_source()).collect(spark, asked)
+    assert sorted({r.movie_id for r in found.collect()}) == sorted(f"m{i}" for i in range(20))
+    assert found.count() == 40 and errors.count() == 0
+    whole = registry.Sources().add_title_source(own_source())
+    assert "filter on movie_id" in whole.collect(spark)[1].first().error
+
+
+def test_a_title_source_that_breaks_is_one_error(spark):
+    good = spark.createDataFrame([("m1", "1", "s", "a", "text", 1, "u", None, 0), ("other", "1", "s", "a", "text", 1, "u", None, 0)], schemas.REVIEWS)
+    asked = spark.createDataFrame([("m1",), ("m2",)], "movie_id string")
+    sources = registry.Sources().add_title_source(own_source(), breaks="m2").add_reviews("good", lambda s: good)
+    found, errors = sources.collect(spark, asked)
+    assert [(r.movie_id, r.source_rank) for r in found.collect()] == [("m1", 1)]
+    (error,) = errors.collect()
+    assert error.source == "archive" and "archive is down" in error.error
+
+
+def test_of_a_stored_source_only_the_asked_titles_are_written(spark, monkeypatch, tmp_path):
+    rows = spark.createDataFrame([(f"m{i % 50}", str(i), "s", "a", "text", 1, "u", None, i) for i in range(500)], schemas.REVIEWS)
+    rows.write.parquet(f"{tmp_path}/reviews")
+    sizes = []
+    write = registry.written
+    monkeypatch.setattr(registry, "written", lambda frame, label: sizes.append(frame.count()) or write(frame, label))
+    sources = registry.Sources().add_reviews("stored", lambda s: s.read.schema(schemas.REVIEWS).parquet(f"{tmp_path}/reviews"))
+    asked = spark.createDataFrame([("m3",), ("m4",)], "movie_id string")
+    assert sources.collect(spark, asked)[0].count() == 20
+    monkeypatch.setattr(registry, "ASKED", 1)
+    assert sources.collect(spark, asked)[0].count() == 20
+    assert sizes == [20, 20]

@@ -16,18 +16,20 @@ from titleflow.plans import seam
 from titleflow.plans.state import plan_stored
 from titleflow.session import written
 from titleflow.sinks.store import TableStore
+from titleflow.sources.registry import Sources
 
 
 @dataclass
 class Inputs:
     """What a run reads besides the stored tables.
 
-    ``titles`` is the candidate feed, ``reviews`` the union of the review sources.
+    ``titles`` is the candidate feed, ``reviews`` the review sources, of which a run reads its own titles only, or the union
+    of what they hold with its ``source_rank``.
     ``details`` and ``ratings`` may be None: titles then stay as they come.
     """
 
     titles: DataFrame
-    reviews: DataFrame
+    reviews: Sources | DataFrame
     details: DataFrame | None = None
     ratings: DataFrame | None = None
     summarise: seam.Summarise | None = None
@@ -112,7 +114,11 @@ def process(
     work = written(work, "review-work")
 
     full = work.filter(F.col("action") == c.FULL).withColumnRenamed("id", "movie_id")
-    asked = inputs.reviews.join(full.select("movie_id"), "movie_id", "left_semi")
+    if isinstance(inputs.reviews, Sources):
+        asked, failed = inputs.reviews.collect(store.spark, full)
+        warnings += [f"Failed to fetch from {row.source}: {row.error}" for row in failed.collect()]
+    else:
+        asked = inputs.reviews.join(full.select("movie_id"), "movie_id", "left_semi")
     prepared = reviews.prepare_reviews(asked, settings.min_words, settings.max_reviews)
     prompts = reviews.prompt_texts(full, prepared).join(
         full.select("movie_id", "title", "overview"), "movie_id"
