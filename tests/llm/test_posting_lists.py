@@ -94,22 +94,62 @@ def test_a_query_that_is_a_centroid_reads_other_lists():
     points = np.random.default_rng(2).normal(size=(400, 8))
     centroids = posting_lists.fit(points, 200)
     probes = centroids.probes(centroids.points[:20].astype(float))
-    assert min(map(len, probes)) >= posting_lists.PROBES
+    assert min(map(len, probes)) >= centroids.probed()[0] == 14
 
 
-@pytest.mark.parametrize("n", [3000, 6000])
-def test_recall_with_pruned_lists(spark, monkeypatch, n):
-    """Several hundred lists, of which a query reads a part."""
-    monkeypatch.setattr(posting_lists, "LIST", 10)
-    random = np.random.default_rng(3)
-    vectors = (random.normal(size=(12, 16))[np.arange(n) % 12] + 0.5 * random.normal(size=(n, 16))).astype(np.float32)
-    read = [len(own) for own in posting_lists.fit(vectors.astype(float), n // 10).probes(vectors[::100].astype(float))]
-    assert np.mean(read) < 0.75 * n // 10
-    got = found(spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(vectors)], SCHEMA))
+def spread(kind, n, d=64, seed=3):
+    random = np.random.default_rng(seed)
+    if kind == "isotropic":
+        return random.normal(size=(n, d)).astype(np.float32)
+    return (random.normal(size=(n // 100, d))[random.integers(0, n // 100, n)] + 0.5 * random.normal(size=(n, d))).astype(np.float32)
+
+
+def recall_by_lists(vectors, sample, lists, asked, k=10):
+    """The share of the true nearest ones that lie on a list which their query reads, and the share of lists read."""
+    centroids = posting_lists.fit(vectors[:sample], lists)
+    hits, read = 0, []
+    near = [np.argsort(((vectors - vectors[q]) ** 2).sum(axis=1))[1:k + 1] for q in asked]
+    probes = centroids.probes(vectors[asked].astype(float))
+    for own, top in zip(probes, near):
+        read.append(len(own) / len(centroids.points))
+        hits += sum(bool(set(held.tolist()) & set(own.tolist())) for held in centroids.lists_of(vectors[top].astype(float)))
+    return hits / (k * len(asked)), float(np.mean(read))
+
+
+@pytest.mark.parametrize("kind", ["isotropic", "clustered"])
+@pytest.mark.parametrize("n,sample,lists,most", [(500, 500, 16, 0.5), (12_800, 12_800, 400, 0.25), (60_000, 50_000, 4000, 0.08)])
+def test_recall_by_number_of_lists(kind, n, sample, lists, most):
+    vectors = spread(kind, n)
+    recall, read = recall_by_lists(vectors, sample, lists, list(range(0, n, max(1, n // 60))))
+    print(kind, n, lists, "recall", recall, "read", read)
+    assert recall >= 0.9 and read < most
+
+
+def test_queries_over_pruned_lists(spark):
+    """The whole query, on vectors without any clusters, far more lists than a query reads."""
+    vectors = spread("isotropic", 4000, 32)
+    got = found(spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(vectors)], SCHEMA).repartition(4))
     hits = 0
-    for q in range(0, n, 100):
+    for q in range(0, 4000, 100):
         far = ((vectors.astype(float) - vectors[q].astype(float)) ** 2).sum(axis=1)
         far[q] = np.inf
         hits += len(set(np.argsort(far)[:10].tolist()) & {i for _, i in got[q]})
-    print("recall", n, hits / (n / 10), "lists read", np.mean(read))
-    assert hits >= 0.9 * 10 * len(range(0, n, 100))
+    assert hits >= 0.9 * 10 * 40
+
+
+def test_groups_are_bounded(spark, clustered, monkeypatch):
+    """Hot queries and long spans are dealt into several groups, with the same result."""
+    df = spark.createDataFrame(clustered[:1000], SCHEMA)
+    whole = found(df)
+    monkeypatch.setattr(posting_lists, "ASKED", 2)
+    monkeypatch.setattr(posting_lists, "PART", 50)
+    assert same(found(df), whole)
+
+
+def test_lists_that_hold_too_few(spark, monkeypatch):
+    """A query whose lists hold fewer than k vectors reads all lists."""
+    monkeypatch.setattr(posting_lists, "LIST", 2)
+    monkeypatch.setattr(posting_lists, "REPLICAS", 1)
+    vectors = spread("isotropic", 101, 8)
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(vectors)]
+    assert all(len(near) == 10 for near in found(spark.createDataFrame(rows, SCHEMA)).values())

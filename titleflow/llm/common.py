@@ -35,9 +35,13 @@ def ascii_lower(text: Column) -> Column:
     return F.when(other, F.translate(text, _UPPER, _UPPER.lower())).otherwise(F.lower(text))
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bounds the Arrow batches that tasks exchange with Python, as one text may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches that tasks exchange with Python, in rows and in bytes, as one text may be very long.
+
+    Every operator sets the same bounds, so none changes a frame of another that has not run yet.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def per_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]]):
