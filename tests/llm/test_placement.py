@@ -1,6 +1,8 @@
+import hashlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from titleflow.llm import placement
 
@@ -49,16 +51,27 @@ def test_placing_odd_rows(odd_with_nulls, empty):
     assert len(rows) == odd_with_nulls.count()
     for r in rows:
         key = "" if r.doc_id is None else str(r.doc_id)
-        import hashlib
-
         slot = int(hashlib.md5(key.encode()).hexdigest()[:15], 16) % 101
         assert (r.slot, r.shard) == (slot, table[slot])
     assert placement.place(empty, "doc_id", table).count() == 0
 
 
-def test_shards_are_written_whole(spark, odd):
+def test_shards_are_written_whole(spark, odd_with_nulls, empty):
+    """Every row with all its columns, also those named like the operator's own; each shard in its folder only."""
+    import os
+
     from titleflow.session import work_path
 
+    path, table = work_path(spark, "shards"), placement.fill(["a", "b", "c"], 11)
+    slot, shard = placement.write_shards(odd_with_nulls, "doc_id", table, path)
+    assert (slot, shard) == ("slot_", "shard_")
+    back = placement.read_shards(spark, path, odd_with_nulls)
+    assert Counter(map(repr, back.drop(slot, shard).collect())) == Counter(map(repr, odd_with_nulls.collect()))
+    for r in back.select("doc_id", F.col(slot).alias("s"), F.col(shard).alias("h")).collect():
+        assert r.s == int(hashlib.md5(("" if r.doc_id is None else str(r.doc_id)).encode()).hexdigest()[:15], 16) % 11 and r.h == table[r.s]
+    assert {f for f in os.listdir(path) if f.startswith(shard)} == {f"{shard}={k}" for k in {r[0] for r in back.select(shard).collect()}}
+    plan = back.where(F.col(shard) == 1)._jdf.queryExecution().executedPlan().toString()
+    assert f"({shard}#" in plan.split("PartitionFilters: ")[1].split("]")[0]
     path = work_path(spark, "shards")
-    placement.write_shards(odd.select("doc_id", "text"), "doc_id", placement.fill(["a", "b"], 11), path)
-    assert spark.read.parquet(path).count() == odd.count()
+    placement.write_shards(empty, "doc_id", table, path)
+    assert placement.read_shards(spark, path, empty).count() == 0

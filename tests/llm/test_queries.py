@@ -23,7 +23,7 @@ def test_names():
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
 
 
-@pytest.mark.parametrize("name", ["op3_substring", "op5_exact_dedup", "op7_mixing", "op11_sign_hash", "op12_collocations"])
+@pytest.mark.parametrize("name", ["op3_substring", "op5_exact_dedup", "op7_mixing", "op9_sharding", "op11_sign_hash", "op12_collocations"])
 def test_query_equals_its_sql(spark, name):
     from titleflow.llm.queries import ORACLE, QUERIES
 

@@ -12,6 +12,7 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from titleflow.llm.common import fresh
 
@@ -80,8 +81,23 @@ def place(df: DataFrame, key_col: str, table: list[int], slot_name: str = "slot"
     return placed.select(*(F.col(f"`{c}`") for c in keep), F.col(at).alias(slot_name), F.col(shard).alias(shard_name))
 
 
-def write_shards(df: DataFrame, key_col: str, table: list[int], path: str) -> None:
-    """Write ``df`` in one folder per shard. Shards are balanced by the hash; one that a hot key
-    fills is split over several files of its folder."""
-    placed = place(df, key_col, table)
-    placed.hint("rebalance", "shard").write.partitionBy("shard").parquet(path)
+def write_shards(df: DataFrame, key_col: str, table: list[int], path: str) -> tuple[str, str]:
+    """Write all rows and columns of ``df`` in one folder per shard; returns the names of the slot column and of the shard column,
+    which names the folders.
+
+    These are ``slot`` and ``shard``, or longer where ``df`` has such a column, which it keeps. Shards are balanced by the
+    hash; one that a hot key fills is split over several files of its folder. A null key has a fixed shard, repeated rows
+    stay, and an empty table gives an empty folder.
+    """
+    slot, shard = fresh(df, "slot", "shard")
+    placed = place(df, key_col, table, slot, shard)
+    placed.hint("rebalance", shard).write.partitionBy(shard).parquet(path)
+    return slot, shard
+
+
+def read_shards(spark: SparkSession, path: str, df: DataFrame) -> DataFrame:
+    """What ``write_shards`` wrote of ``df``, with its slot and shard; a filter on the shard opens its folder only."""
+    slot, shard = fresh(df, "slot", "shard")
+    columns = [T.StructField(f.name, f.dataType) for f in df.schema.fields]
+    schema = T.StructType([*columns, T.StructField(slot, T.LongType()), T.StructField(shard, T.IntegerType())])
+    return spark.read.schema(schema).parquet(path)
