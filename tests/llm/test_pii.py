@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.brute import BASE, listed, private_base
 from titleflow.llm import pii
@@ -84,3 +85,38 @@ def test_luhn_and_patterns_are_native(spark, trees, empty):
     plan = pii.find(empty, trees)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
     assert [k for k, _ in BASE] == list(pii.KINDS)
+
+
+def test_very_many_spans_in_one_text(spark, trees):
+    """A log of one line per address: spans are never compared with all others, so twice as many take little more than twice as long."""
+    import time
+
+    def log(n):
+        return "\n".join(f"user{k}@host{k}.example.org from 10.{k // 250 % 250}.{k % 250}.7 or u{k}(at)h{k}(dot)com" for k in range(n))
+
+    seconds = {}
+    for n in (200, 10_000, 20_000):
+        df = spark.createDataFrame([(1, log(n))], "doc_id long, text string")
+        start = time.perf_counter()
+        row = pii.find(df, pii.Trees(trees.start, trees.trees, [-99.0] * 4)).first()
+        seconds[n] = time.perf_counter() - start
+        assert listed([tuple(s) for s in row.base]) == listed(private_base(log(n)))
+        assert len(row.spans) >= 3 * n
+    assert seconds[20_000] < 3 * seconds[10_000]
+
+
+def test_context_reaches_over_earlier_matches(spark):
+    """What stands before and after a match, also where matches follow each other closely."""
+    text = "tel: 1.1.1.1,2.2.2.2 3.3.3.3;4.4.4.4" + "x" * 40 + "5.5.5.5"
+    row = spark.createDataFrame([(text,)], "text string").select(pii._positions(F.col("text"), pii.BASE[pii.IP]).alias("p")).first()
+    assert [(s.start, s.end, s.match) for s in row.p] == [(m.start(), m.end(), m[0]) for m in re.finditer(r"[0-9](\.[0-9]){3}", text)]
+    for s in row.p:
+        assert s.before == text[max(0, s.start - pii.CONTEXT):s.start] and s.after == text[s.end:s.end + 1]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 100, 1001])
+def test_sums_of_what_precedes(spark, n):
+    values = [k * 7919 % 101 for k in range(n)]
+    df = spark.createDataFrame([(values,)], "v array<int>")
+    got = df.select(pii._before(F.col("v"), F.lit(0), "int", lambda a, b: a + b).alias("s"), pii._before(F.col("v"), F.lit(0), "int", lambda a, b: F.greatest(a, b)).alias("m")).first()
+    assert got.s == [sum(values[:k]) for k in range(n)] and got.m == [max(values[:k], default=0) for k in range(n)]

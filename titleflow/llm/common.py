@@ -40,7 +40,7 @@ def small_batches(spark: SparkSession) -> None:
 
     Every operator sets the same bounds, so none changes a frame of another that has not run yet.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 

@@ -7,7 +7,9 @@ size. Trees are boosted on that table, on candidates that a base span confirms o
 SQL expressions; a threshold for each kind, calibrated to a precision, selects further spans. Everything stays in the
 row of its document, so no key or copy gathers anywhere.
 
-Positions come from splitting a text at a pattern: the pieces between matches and the matches add up to them.
+Positions come from splitting a text at a pattern: the pieces between matches and the matches add up to them. Nothing
+compares every span with every other: spans are sorted, and what precedes each is summed up by parts of about the root of their
+number, so a text of 100,000 addresses takes seconds.
 """
 
 from __future__ import annotations
@@ -49,23 +51,68 @@ FEATURES = ("generator", "digits", "check", "before", "after", "separators", "tr
 #: Boosting rounds, splits from root to leaf, step, and the precision that thresholds are calibrated to.
 ROUNDS, DEPTH, RATE, PRECISION = 30, 3, 0.3, 0.97
 
-_SPAN = "array<struct<start:int,end:int,match:string>>"
+#: Pieces before a match that its context may reach into; a match has four characters at least.
+REACH = CONTEXT // 4
+#: Further spans that can overlap one of them, on each side: the longest has some 700 characters, and the shortest of every
+#: generator follow each other in these.
+NEAR = 320
+
+_SPAN = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
+_SHIFT = 1 << 31
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _before(values: Column, zero: Column, kind: str, merge) -> Column:
+    """For every element, what ``merge``, an associative function, makes of ``zero`` and all elements before it.
+
+    An array is appended to in parts of about the root of its length only, each from the sum of the parts before it.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def parts(v: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(v))), F.lit(1)).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / width).cast("int")), lambda b: F.slice(v, b * width + 1, width))
+
+    def firsts(parts: Column) -> Column:
+        return _let(F.transform(parts, lambda part: F.aggregate(part, zero, merge)), lambda sums: F.transform(
+            F.sequence(F.lit(1), F.size(sums)), lambda b: F.aggregate(F.slice(sums, F.lit(1), b - 1), zero, merge)))
+
+    def step(state: Column, x: Column) -> Column:
+        return F.struct(merge(state.at, x).alias("at"), F.concat(state.out, F.array(state.at)).alias("out"))
+
+    def filled(parts: Column) -> Column:
+        return F.flatten(F.zip_with(parts, firsts(parts), lambda part, first: F.aggregate(
+            part, F.struct(first.alias("at"), none.alias("out")), step, lambda state: state.out)))
+
+    return F.when(F.size(values) == 0, none).otherwise(_let(values, lambda v: _let(parts(v), filled)))
 
 
 def _positions(text: Column, pattern: str) -> Column:
-    """All leftmost matches as ``start, end, match``, in code points."""
+    """All leftmost matches as ``start, end, match``, in code points, with ``CONTEXT`` characters before and one after them."""
     pairs = F.zip_with(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1),
-        lambda match, gap: F.struct(match.alias("match"), F.length(gap).alias("gap")))
-    none = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+        lambda match, gap: F.struct(match.alias("match"), gap.alias("gap"), F.length(gap).alias("skip"), F.coalesce(F.length(match), F.lit(0)).alias("length")))
+
+    def context(own: Column, pair: Column, k: Column) -> Column:
+        pieces = [F.coalesce(F.right(F.get(own, k - back)[name], F.lit(CONTEXT)), F.lit("")) for back in range(REACH, 0, -1) for name in ("gap", "match")]
+        return F.right(F.when(pair.skip >= CONTEXT, pair.gap).otherwise(F.concat(*pieces, pair.gap)), F.lit(CONTEXT))
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state.at + pair.gap
-        end = start + F.length(pair.match)
-        span = F.struct(start.alias("start"), end.alias("end"), pair.match.alias("match"))
-        return F.when(pair.match.isNull(), state).otherwise(F.struct(end.alias("at"), F.concat(state.out, F.array(span)).alias("out")))
+    def following(own: Column, k: Column) -> Column:
+        pieces = [F.coalesce(F.left(F.get(own, k + 1)[name], F.lit(1)), F.lit("")) for name in ("gap", "match")]
+        return F.left(F.concat(*pieces), F.lit(1))
 
-    return F.aggregate(pairs, none, step, lambda state: state.out)
+    def placed(own: Column) -> Column:
+        passed = _before(F.transform(own, lambda p: p.skip + p.length), F.lit(0), "int", lambda a, b: a + b)
+        spans = _let(passed, lambda at: F.transform(own, lambda p, k: F.struct(
+            (F.get(at, k) + p.skip).alias("start"), (F.get(at, k) + p.skip + p.length).alias("end"), p.match.alias("match"),
+            context(own, p, k).alias("before"), following(own, k).alias("after"))))
+        return F.filter(spans, lambda s: s.match.isNotNull())
+
+    return F.when(F.size(pairs) < 2, F.array().cast(_SPAN)).otherwise(_let(pairs, placed))
 
 
 def _digits(match: Column) -> Column:
@@ -119,9 +166,7 @@ def _candidates(text: Column) -> Column:
         found = F.when(_guard(kind, generator, text), _positions(text, pattern)).otherwise(F.array().cast(_SPAN))
         return F.transform(found, lambda s: F.struct(
             s.start.alias("start"), s.end.alias("end"), F.lit(kind).alias("kind"), F.lit(generator).alias("generator"),
-            s.match.alias("match"), _valid(kind, s.match).alias("valid"),
-            F.substring(text, F.greatest(s.start - CONTEXT + 1, F.lit(1)), F.least(s.start, F.lit(CONTEXT))).alias("before"),
-            F.substring(text, s.end + 1, F.lit(1)).alias("after")))
+            s.match.alias("match"), _valid(kind, s.match).alias("valid"), s.before.alias("before"), s.after.alias("after")))
 
     return F.concat(*(of(*p) for p in patterns))
 
@@ -146,15 +191,45 @@ def _features(c: Column) -> Column:
         F.least(separators, F.lit(3)).alias("separators"), c.before.rlike(TRIGGERS).cast("int").alias("trigger"))
 
 
-def _overlap(a: Column, b: Column) -> Column:
-    return (a.start < b.end) & (b.start < a.end)
-
-
 def _described(df: DataFrame) -> DataFrame:
-    """Adds ``candidates`` and ``base``, the valid spans of the base patterns in order, to rows with a ``text``."""
-    found = df.withColumn("candidates", _candidates(F.col("text")))
-    valid = F.filter("candidates", lambda c: (c.generator == 0) & c.valid)
-    return found.withColumn("base", F.array_sort(F.transform(valid, lambda c: F.struct(c.start, c.kind, c.end))))
+    """Adds ``candidates`` and ``base``, the valid spans of the base patterns in order, to rows with a ``text``.
+
+    Candidates come by place. Each has the ``last`` base span of every kind that starts no later than it, as start * 2 ** 31 + end, -1
+    for none, and the start of the ``next`` one of any kind behind it. Base spans of one kind do not overlap, so no other
+    ones can overlap or hold the candidate.
+    """
+    found = df.withColumn("found", _candidates(F.col("text")))
+    own = ("kind", "generator", "end", "match", "valid", "before", "after")
+    found = found.withColumn("found", F.array_sort(F.transform("found", lambda c: F.struct(
+        c.start.alias("start"), F.when((c.generator == 0) & c.valid, 0).otherwise(1).alias("rank"), *(c[n].alias(n) for n in own)))))
+    kinds = range(len(KINDS))
+    place = F.transform("found", lambda c: F.struct(*(
+        F.when((c.rank == 0) & (c.kind == k), c.start.cast("bigint") * _SHIFT + c.end).otherwise(F.lit(-1).cast("bigint")).alias(f"k{k}") for k in kinds)))
+    nothing = F.struct(*(F.lit(-1).cast("bigint").alias(f"k{k}") for k in kinds))
+    last = _before(place, nothing, "struct<" + ",".join(f"k{k}:bigint" for k in kinds) + ">",
+                   lambda a, b: F.struct(*(F.greatest(a[f"k{k}"], b[f"k{k}"]).alias(f"k{k}") for k in kinds)))
+    starts = F.reverse(F.transform("found", lambda c: F.when(c.rank == 0, c.start).otherwise(F.lit(_SHIFT - 1).cast("int"))))
+    following = F.reverse(_before(starts, F.lit(_SHIFT - 1).cast("int"), "int", lambda a, b: F.least(a, b)))
+    pairs = F.zip_with(last, following, lambda a, b: F.struct(a.alias("last"), b.alias("next")))
+    joined = F.zip_with("found", pairs, lambda c, p: F.struct(c.start.alias("start"), c.rank.alias("rank"), *(c[n].alias(n) for n in own), p.last.alias("last"), p.next.alias("next")))
+    found = found.withColumn("candidates", joined)
+    valid = F.filter("found", lambda c: c.rank == 0)
+    return found.withColumn("base", F.transform(valid, lambda c: F.struct(c.start.alias("start"), c.kind.alias("kind"), c.end.alias("end")))).drop("found")
+
+
+def _last_end(c: Column, kind: int) -> Column:
+    """The end of the last base span of a kind, 0 for none."""
+    key = c.last[f"k{kind}"]
+    return F.when(key >= 0, key % _SHIFT).otherwise(0)
+
+
+def _is_base(c: Column) -> Column:
+    """The candidate is a base span, or has the place and kind of one."""
+    key = c.start.cast("bigint") * _SHIFT + c.end
+    own = F.lit(False)
+    for kind in range(len(KINDS)):
+        own = own | ((c.kind == kind) & (c.last[f"k{kind}"] == key))
+    return (c.rank == 0) | own
 
 
 def cells(df: DataFrame) -> DataFrame:
@@ -164,14 +239,15 @@ def cells(df: DataFrame) -> DataFrame:
     base span of another kind. Others have no label. At most as many rows as there are descriptions.
     """
 
-    def label(c: Column, base: Column) -> Column:
-        same = F.exists(base, lambda b: (b.start == c.start) & (b.end == c.end) & (b.kind == c.kind))
-        inside = F.exists(base, lambda b: (b.kind != c.kind) & (b.start <= c.start) & (c.end <= b.end))
+    def label(c: Column) -> Column:
+        inside = F.lit(False)
+        for kind in range(len(KINDS)):
+            inside = inside | ((c.kind != kind) & (_last_end(c, kind) >= c.end))
         letter = F.substring(c.before, -1, 1).rlike(r"[\p{L}_]") | c.after.rlike(r"[\p{L}_]")
-        return F.when(same, 1).when(~c.valid | inside | letter, 0)
+        return F.when(_is_base(c), 1).when(~c.valid | inside | letter, 0)
 
     seen = _described(df).select(F.explode(F.transform(
-        "candidates", lambda c: F.struct(_features(c).alias("f"), label(c, F.col("base")).alias("y")))).alias("x"))
+        "candidates", lambda c: F.struct(_features(c).alias("f"), label(c).alias("y")))).alias("x"))
     return seen.where("x.y IS NOT NULL").groupBy("x.f.kind", *(f"x.f.{name}" for name in FEATURES)).agg(
         F.sum(F.col("x.y").cast("bigint")).alias("positive"), F.sum(1 - F.col("x.y").cast("bigint")).alias("negative"))
 
@@ -275,19 +351,42 @@ def find(df: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "t
 def _found(texts: DataFrame, trees: Trees) -> DataFrame:
     rows = _described(texts)
     limits = F.array(*(F.lit(float(t)) for t in trees.thresholds))
-    proposed = F.filter("candidates", lambda c: (c.generator > 0) & c.valid & ~F.exists("base", lambda b: _overlap(b, c)))
-    scored = F.transform(proposed, lambda c: F.struct(c.start, c.end, c.kind, trees.log_odds(_features(c)).alias("score")))
-    rows = rows.withColumn("scored", F.array_distinct(scored))
-    rows = rows.withColumn("chosen", F.filter("scored", lambda c: c.score >= F.get(limits, c.kind)))
+
+    def free(c: Column) -> Column:
+        """No base span overlaps the candidate."""
+        return (F.greatest(*(_last_end(c, kind) for kind in range(len(KINDS)))) <= c.start) & (c.next >= c.end)
+
+    proposed = F.filter("candidates", lambda c: (c.generator > 0) & c.valid & free(c))
+    scored = F.transform(proposed, lambda c: F.struct(
+        c.start.alias("start"), c.end.alias("end"), c.kind.alias("kind"), (-trees.log_odds(_features(c))).alias("odds")))
+    # in order of place; of equal spans the likeliest is the first
+    chosen = F.array_sort(F.filter(scored, lambda c: -c.odds >= F.get(limits, c.kind)))
+    rows = rows.withColumn("chosen", chosen)
+
+    def fresh_span(c: Column, k: Column) -> Column:
+        return (k == 0) | ~F.coalesce(_place(c) == _place(F.get("chosen", k - 1)), F.lit(False))
+
+    rows = rows.withColumn("chosen", F.filter("chosen", fresh_span))
+    ended = _before(F.transform("chosen", lambda c: c.end), F.lit(0), "int", lambda a, b: F.greatest(a, b))
+    # joined as an argument, so that it is computed once and not in a function over the spans
+    rows = rows.withColumn("chosen", F.zip_with("chosen", ended, lambda c, e: F.struct(*(c[n].alias(n) for n in ("start", "end", "kind", "odds")), e.alias("ended"))))
 
     def beats(d: Column, c: Column) -> Column:
         """Of two overlapping spans, the likelier, longer, earlier one, or the first kind stays."""
-        order = lambda x: F.struct(-x.score, x.start - x.end, x.start, x.kind)
-        return _overlap(d, c) & (order(d) < order(c))
+        order = lambda x: F.struct(x.odds, x.start - x.end, x.start, x.kind)
+        return (d.start < c.end) & (c.start < d.end) & (order(d) < order(c))
+
+    def stays(c: Column, k: Column) -> Column:
+        alone = (c.ended <= c.start) & (F.coalesce(F.get("chosen", k + 1)["start"], c.end) >= c.end)
+        first = F.greatest(k - NEAR, F.lit(0))
+        return alone | ~F.exists(F.slice("chosen", first + 1, F.lit(2 * NEAR + 1)), lambda d: beats(d, c))
+
+    added = F.transform(F.filter("chosen", stays), lambda c: F.struct(c.start.alias("start"), c.kind.alias("kind"), c.end.alias("end")))
+    return rows.withColumn("spans", F.array_sort(F.concat("base", added)))
+
 
-    own = F.filter("chosen", lambda c: ~F.exists("chosen", lambda d: beats(d, c)))
-    added = F.transform(own, lambda c: F.struct(c.start, c.kind, c.end))
-    return rows.withColumn("spans", F.array_sort(F.array_distinct(F.concat("base", added))))
+def _place(span: Column) -> Column:
+    return F.struct(span["start"].alias("start"), span["end"].alias("end"), span["kind"].alias("kind"))
 
 
 def listed(spans: Column) -> Column:
