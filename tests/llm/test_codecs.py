@@ -98,3 +98,11 @@ def test_empty(spark, empty):
     path = work_path(spark, "ids")
     token_files.write(empty, path, WORDS)
     assert token_files.summary(spark, path).count() == 0 and piece_codec.round_trip(empty, PIECES).count() == 0
+
+
+def test_decoding_unknown_and_null_ids(spark):
+    """They stand for nothing, also a negative one."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    rows = [(1, [400, None, 500]), (2, [400, -1, 500]), (3, [400, 10**6, 500]), (4, None), (5, []), (6, [400, 500])]
+    got = {r.doc_id: r.text for r in piece_codec.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>"), model).collect()}
+    assert got[1] == got[2] == got[3] == got[6] != "" and got[4] == got[5] == ""

@@ -67,3 +67,9 @@ def test_repeated_ids_count_once(spark):
 
 def test_empty(empty):
     assert substring.dedup(empty).count() == 0
+
+
+def test_a_window_shorter_than_a_gram_is_refused(spark):
+    df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="at least 8"):
+        substring.dedup(df, window=7)

@@ -158,7 +158,7 @@ def round_trip(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str
 
 
 def decode(df: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``doc_id, text`` of lists of ids; a null list is an empty one."""
+    """``doc_id, text`` of lists of ids. A null list is an empty one; null ids and ids that the vocabulary lacks stand for nothing."""
     from pyspark.sql import functions as F
 
     small_batches(df.sparkSession)
@@ -166,7 +166,9 @@ def decode(df: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "id
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [codec(model).decode(ids) for ids in batch["ids"].to_pylist()]
+            own = codec(model)
+            known = range(len(own.spelt))
+            texts = [own.decode([i for i in ids if i is not None and i in known]) for ids in batch["ids"].to_pylist()]
             return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string())], ["doc_id", "text"])
 
         return step

@@ -343,7 +343,9 @@ def _shard(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
 
 def repeats(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     """From ``doc_id, text`` without nulls or repeated ids: the intervals ``doc_id, a, b`` of words (``b`` excluded) that
-    windows with an earlier equal cover."""
+    windows with an earlier equal cover. A window has ``GRAM`` words at least."""
+    if window < GRAM:
+        raise ValueError(f"a window has at least {GRAM} words")
     dealt = _places(texts, window).repartition("minimizer").sortWithinPartitions("minimizer", "name", "doc_id", "start")
     places = written(dealt.mapInArrow(_decided, "minimizer bigint, doc_id bigint, start int, n int, mixed boolean"), "substring-places")
     later = places.where("NOT mixed").select("doc_id", F.col("start").cast("bigint").alias("a"), (F.col("start") + F.col("n")).cast("bigint").alias("b"))
