@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from titleflow.llm.common import small_batches, written
 
 #: Words of a block, bytes of text that are split at once, phrases that a filter is meant for.
-BLOCK, SLICE, SHARD = 1 << 20, 1 << 22, 1 << 21
+BLOCK, SLICE, SHARD = 1 << 20, 1 << 22, 1 << 20
+#: Parts that a language's report is first made of.
+PARTS = 32
 #: Bits of a word's id at most.
 WIDEST = 31
 #: Phrases of a report, least count of a candidate, share in percent of a phrase's count that a longer one must reach to replace it.
@@ -343,8 +345,14 @@ def mine(
     second = F.col("s2") < F.col("s1")
     three = three.select("lang", F.concat_ws(" ", "t1", "t2", "t3").alias("phrase"), "a", F.when(second, F.col("f12")).otherwise(F.col("f1")).alias("l"),
                          F.when(second, F.col("f3")).otherwise(F.col("f23")).alias("r"), F.least("s1", "s2").alias("score"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = two.unionByName(three).withColumn("rank", F.row_number().over(order))
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    ranked = two.unionByName(three)
+    if report is not None:
+        # the first ones of every part of a language hold those of the whole, and are few, however many tasks there are
+        ranked = ranked.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+        part = Window.partitionBy("lang", "part").orderBy(*order)
+        ranked = ranked.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= report).drop("part")
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
     if report is not None:
         ranked = ranked.where(F.col("rank") <= report)
     return ranked.join(langs, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("bigint").alias("score"))
