@@ -5,16 +5,19 @@ minimizer, the k-gram with the least hash, so the runs of windows around one min
 their words: a task sees all that could equal its windows, and no text moves yet. A run that is not the first of its
 equals goes as a whole, mostly before the shuffle. A run whose minimizer has no other run shares no window.
 
-Only runs that differ under one minimizer meet as text, in shards. A shard builds an FM-index over them: the
-Burrows-Wheeler transform in a wavelet matrix of packed bits. The runs are streamed against it by backward search. Each
-step adds the word to the left and falls back to the last ``WINDOW`` words, as matching statistics cut off
-at that length do; the interval then holds every place of the window, and the earliest of them decides.
+Only runs that differ under one minimizer meet as text, in shards. A crowded minimizer is cut: its runs are dealt again,
+by the least of longer grams, until what shares one fits a shard. A shard builds an FM-index: the Burrows-Wheeler
+transform in a wavelet matrix of packed bits, two bit vectors over its rows, and the earliest place of each window found
+more than once; the suffix array is not kept. The runs are streamed against it by backward search. Each step adds the
+word to the left and falls back to the last ``WINDOW`` words, as matching statistics cut off at that length do; the
+interval then holds every place of the window, and the earliest of them decides.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +29,12 @@ from titleflow.llm.common import SPACE, id_and_text, per_batch, small_batches, w
 WINDOW = 20
 #: Words of a k-gram; a window holds ``WINDOW - GRAM + 1`` of them.
 GRAM = 8
-#: Words that a shard indexes, about; the windows of a minimizer with more are grouped one by one instead.
+#: Words that a shard indexes, about.
 SHARD_WORDS = 200_000
+#: A minimizer whose runs have more words is cut by longer grams, as it would fill a shard by itself.
+CROWD_WORDS = 20_000
+#: Words by which grams grow from one cut to the next.
+GRAM_STEP = 4
 #: Runs whose first place a task remembers, to tell later ones before the shuffle.
 REMEMBERED = 300_000
 
@@ -38,14 +45,8 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().split()  # of bytes: at the six separators only
 
 
-def runs(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``minimizer, first, windows`` of the runs of consecutive windows that have their minimizer at one place.
-
-    A run has ``window - gram + 1`` windows at most. Of equal hashes in a window the leftmost counts.
-    """
-    n = len(words) - window + 1
-    if n < 1:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+def _minimizers(words: list[bytes], window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of the gram at each word, and for each window the place of its least; of equal ones the leftmost."""
     codes = np.fromiter(map(zlib.crc32, words), dtype=np.uint64, count=len(words))
     grams = np.zeros(len(words) - gram + 1, dtype=np.uint64)
     for k in range(gram):
@@ -59,11 +60,34 @@ def runs(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np
         step = min(width, wide - width)
         least = np.minimum(least[:-step], least[step:])
         width += step
-    place = (least & _POSITION).astype(np.int64)
+    return grams, (least & _POSITION).astype(np.int64)
+
+
+def runs(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``minimizer, first, windows`` of the runs of consecutive windows that have their minimizer at one place.
+
+    A run has ``window - gram + 1`` windows at most.
+    """
+    n = len(words) - window + 1
+    if n < 1:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    grams, place = _minimizers(words, window, gram)
     first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
     return grams[place[first]].view(np.int64), first, np.diff(np.r_[first, n])
 
 
+def _packed_bits(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A bit vector in words of 64, with the number of ones before each word."""
+    packed = np.packbits(np.r_[bits, np.zeros(-len(bits) % 64 + 64, bool)], bitorder="little").view(np.uint64)
+    return packed, np.r_[0, np.cumsum(np.bitwise_count(packed[:-1]), dtype=np.int64)]
+
+
+def _ones(packed: np.ndarray, before: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many ones a bit vector has before each place."""
+    word = at >> 6
+    return before[word] + np.bitwise_count(packed[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+
+
 class WaveletMatrix:
     """Ranks of symbols in a sequence, from one vector of packed bits per bit of a symbol."""
 
@@ -71,16 +95,13 @@ class WaveletMatrix:
         self.levels = []
         for level in reversed(range(max(1, int(symbols - 1).bit_length()))):
             bits = (sequence >> level & 1).astype(bool)
-            packed = np.packbits(np.r_[bits, np.zeros(-len(bits) % 64 + 64, bool)], bitorder="little").view(np.uint64)
-            before = np.r_[0, np.cumsum(np.bitwise_count(packed[:-1]), dtype=np.int64)]
-            self.levels.append((level, packed, before, int(len(bits) - bits.sum())))
+            self.levels.append((level, *_packed_bits(bits), int(len(bits) - bits.sum())))
             sequence = np.concatenate([sequence[~bits], sequence[bits]])
         self.first = self._down(np.arange(symbols), np.zeros(symbols, dtype=np.int64))
 
     def _down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for level, packed, before, zeros in self.levels:
-            word = at >> 6
-            ones = before[word] + np.bitwise_count(packed[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+            ones = _ones(packed, before, at)
             at = np.where(symbol >> level & 1, zeros + ones, at - ones)
         return at
 
@@ -90,9 +111,13 @@ class WaveletMatrix:
 
 
 class Index:
-    """FM-index of texts of words numbered from 1, each ended by a separator 0."""
+    """FM-index of texts of words numbered from 1, each ended by a separator 0; ``place`` orders their words.
 
-    def __init__(self, sequence: np.ndarray, window: int):
+    Beside the wavelet matrix it holds, of the rows of windows that occur more than once, two bits a row and one
+    entry a window.
+    """
+
+    def __init__(self, sequence: np.ndarray, place: np.ndarray, window: int):
         n = len(sequence)
         ends = sequence == 0
         # separators differ from one another, so no comparison of suffixes passes one
@@ -113,7 +138,6 @@ class Index:
             rank = np.empty(n, dtype=np.int64)
             rank[order] = np.cumsum(np.r_[0, ranked[1:] != ranked[:-1]])
             length *= 2
-        self.suffixes = order
         symbols = int(sequence.max()) + 1 if n else 1
         self.wavelet = WaveletMatrix(sequence[order - 1], symbols)
         self.before = np.r_[0, np.cumsum(np.bincount(sequence, minlength=symbols))][:symbols]
@@ -122,18 +146,37 @@ class Index:
         rest = np.full(n, -1, dtype=np.int64)
         rest[:n - (window - length)] = part[window - length:]
         a, b = part[order], rest[order]
-        self.group = np.cumsum(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) - 1
-        self.starts = np.flatnonzero(np.r_[True, self.group[1:] != self.group[:-1]])
-        self.stops = np.r_[self.starts[1:], n]
+        starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        stops = np.r_[starts[1:], n]
+        several = stops - starts > 1
+        earliest = np.minimum.reduceat(place[order], starts)
+        self.starts, self.stops, self.earliest = starts[several].astype(np.int32), stops[several].astype(np.int32), earliest[several]
+        self.repeated = _packed_bits(np.repeat(several, stops - starts))
+        heads = np.zeros(n, dtype=bool)
+        heads[self.starts] = True
+        self.heads = _packed_bits(heads)
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals with a symbol added to the left."""
         return self.before[symbol] + self.wavelet.rank(symbol, low), self.before[symbol] + self.wavelet.rank(symbol, high)
 
+    def _repeats(self, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether the windows at these rows occur more than once, and the numbers of those that do."""
+        several = self.repeated[0][low >> 6] >> (low & 63).astype(np.uint64) & np.uint64(1) > 0
+        return several, _ones(*self.heads, low[several] + 1) - 1
+
     def shorten(self, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of the first ``window`` words of matches that are longer by some."""
-        own = self.group[low]
-        return self.starts[own], self.stops[own]
+        several, own = self._repeats(low)
+        low, high = low.copy(), low + 1
+        low[several], high[several] = self.starts[own], self.stops[own]
+        return low, high
+
+    def known_before(self, low: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Whether the windows at these rows occur at a place before the given one."""
+        several, own = self._repeats(low)
+        several[several] = self.earliest[own] < place[several]
+        return several
 
 
 def earlier_windows(texts: list[list[bytes]], documents: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
@@ -148,12 +191,11 @@ def earlier_windows(texts: list[list[bytes]], documents: np.ndarray, starts: np.
     inside = np.ones(len(sequence), dtype=bool)
     inside[ends] = False
     sequence[inside] = numbered + 1
-    index = Index(sequence, window)
     first = ends - lengths
     _, document = np.unique(documents, return_inverse=True)
     place = np.repeat(document.astype(np.int64) << 32 | starts, lengths + 1)
     place += np.arange(len(sequence)) - np.repeat(first, lengths + 1)
-    earliest = np.minimum.reduceat(place[index.suffixes], index.starts)
+    index = Index(sequence, place, window)
     low, high = np.zeros(len(texts), dtype=np.int64), np.full(len(texts), len(sequence), dtype=np.int64)
     found: list[list[int]] = [[] for _ in texts]
     own = np.arange(len(texts))
@@ -165,7 +207,7 @@ def earlier_windows(texts: list[list[bytes]], documents: np.ndarray, starts: np.
             low_, high_ = index.shorten(low_)
         low[own], high[own] = low_, high_
         if step >= window - 1:
-            hit = (high_ - low_ > 1) & (earliest[index.group[low_]] < place[at])
+            hit = index.known_before(low_, place[at])
             for k, a in zip(own[hit], (at - first[own])[hit]):
                 found[k].append(int(a))
     return [np.array(f[::-1], dtype=np.int64) for f in found]
@@ -308,16 +350,29 @@ def _run_texts(packed: DataFrame, wanted: DataFrame) -> DataFrame:
     return packed.join(lists, "doc_id").mapInArrow(per_batch(make), "minimizer bigint, run string, doc_id bigint, start int")
 
 
-def _repeated_windows(found: DataFrame, window: int) -> DataFrame:
-    """``doc_id, a, b`` of the windows of runs that are not the first of their equals, by grouping all windows."""
-    words = F.split("run", " ")
-    at = F.sequence(F.lit(1), F.size(words) - window + 1)
-    each = found.select("doc_id", "start", F.explode(F.transform(at, lambda a: F.struct(
-        a.alias("a"), F.array_join(F.slice(words, a, F.lit(window)), " ").alias("text")))).alias("w")).select(
-        "doc_id", (F.col("start") + F.col("w.a") - 1).cast("bigint").alias("a"), F.col("w.text").alias("text"))
-    first = each.groupBy("text").agg(F.min(F.struct("doc_id", "a")).alias("first"))
-    later = each.join(first, "text").where(F.struct("doc_id", "a") != F.col("first"))
-    return later.select("doc_id", "a", (F.col("a") + window).alias("b"))
+def _cut(found: DataFrame, window: int, gram: int) -> DataFrame:
+    """``minimizer, run, doc_id, start`` of the parts of runs whose windows have their least longer gram at one place."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            split = [run.encode().split(b" ") for run in batch["run"].to_pylist()]
+            lengths = np.array([len(s) for s in split], dtype=np.int64)
+            words = [w for s in split for w in s]
+            row = np.repeat(np.arange(len(split)), lengths)
+            grams, place = _minimizers(words, window, gram)
+            at = np.flatnonzero(row[:len(place)] == row[window - 1:])
+            new = np.flatnonzero(np.r_[True, (place[at[1:]] != place[at[:-1]]) | (row[at[1:]] != row[at[:-1]])])
+            first, n = at[new], np.diff(np.r_[new, len(at)]) + window - 1
+            own = row[first]
+            start = batch["start"].to_numpy()[own] + first - (np.cumsum(lengths) - lengths)[own]
+            return pa.RecordBatch.from_arrays([
+                pa.array(grams[place[first]].view(np.int64)),
+                pa.array([b" ".join(words[a:a + k]).decode() for a, k in zip(first.tolist(), n.tolist())], pa.string()),
+                pa.array(batch["doc_id"].to_numpy()[own]), pa.array(start.astype(np.int32))], ["minimizer", "run", "doc_id", "start"])
+
+        return step
+
+    return found.mapInArrow(per_batch(make), "minimizer bigint, run string, doc_id bigint, start int")
 
 
 def _shard(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -343,25 +398,42 @@ def _shard(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
 
 def repeats(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     """From ``doc_id, text`` without nulls or repeated ids: the intervals ``doc_id, a, b`` of words (``b`` excluded) that
-    windows with an earlier equal cover. A window has ``GRAM`` words at least."""
+    windows with an earlier equal cover, and the ``step`` that found them: ``run`` and ``part`` by equal runs and parts of
+    runs, ``index`` by search. A window has ``GRAM`` words at least."""
     if window < GRAM:
         raise ValueError(f"a window has at least {GRAM} words")
     dealt = _places(texts, window).repartition("minimizer").sortWithinPartitions("minimizer", "name", "doc_id", "start")
     places = written(dealt.mapInArrow(_decided, "minimizer bigint, doc_id bigint, start int, n int, mixed boolean"), "substring-places")
-    later = places.where("NOT mixed").select("doc_id", F.col("start").cast("bigint").alias("a"), (F.col("start") + F.col("n")).cast("bigint").alias("b"))
-    mixed = places.where("mixed").drop("mixed")
-    words = mixed.agg(F.sum("n")).first()[0] or 0
-    crowded = written(mixed.groupBy("minimizer").agg(F.sum("n").alias("words")).where(F.col("words") > SHARD_WORDS).select("minimizer"), "substring-crowded")
-    found = _run_texts(_packed(texts), mixed)
-    gone = later
-    if not crowded.isEmpty():
-        found = written(found, "substring-runs")
-        gone = gone.unionByName(_repeated_windows(found.join(crowded, "minimizer", "left_semi"), window))
-        found = found.join(crowded, "minimizer", "left_anti")
+
+    def intervals(rows: DataFrame, step: str) -> DataFrame:
+        return rows.select("doc_id", F.col("start").cast("bigint").alias("a"), (F.col("start") + F.col("n")).cast("bigint").alias("b"), F.lit(step).alias("step"))
+
+    gone = intervals(places.where("NOT mixed"), "run")
+    sizes = places.where("mixed").drop("mixed")
+    found, indexed, words = _run_texts(_packed(texts), sizes), [], 0
+    for gram in [*range(GRAM + GRAM_STEP, window, GRAM_STEP), window]:
+        total = sizes.agg(F.sum("n")).first()[0] or 0
+        crowded = written(sizes.groupBy("minimizer").agg(F.sum("n").alias("words")).where(F.col("words") > CROWD_WORDS), "substring-crowded")
+        over = crowded.agg(F.sum("words")).first()[0] or 0
+        words += total - over
+        if not over:
+            indexed.append(found)
+            break
+        if not indexed:
+            found = written(found, "substring-runs")
+        indexed.append(found.join(crowded, "minimizer", "left_anti"))
+        cut = written(_cut(found.join(crowded, "minimizer", "left_semi"), window, gram), "substring-cut")
+        first = written(cut.groupBy("minimizer", "run").agg(F.min(F.struct("doc_id", "start")).alias("first")), "substring-parts")
+        n = F.size(F.split("run", " "))
+        later = cut.join(first, ["minimizer", "run"]).where(F.struct("doc_id", "start") != F.col("first"))
+        gone = gone.unionByName(intervals(later.withColumn("n", n), "part"))
+        # parts by grams of a whole window are single windows, so the first of equal ones needs no index
+        found = first.select("minimizer", "run", "first.doc_id", "first.start")
+        sizes = found.withColumn("n", n)
     shards = max(1, -(-words // SHARD_WORDS))
-    partly = found.repartition(int(shards), "minimizer").select("run", "doc_id", "start").mapInArrow(
-        lambda batches: _shard(batches, window), "doc_id bigint, a bigint, b bigint")
-    return gone.unionByName(partly)
+    texts_of_shards = reduce(DataFrame.unionByName, indexed).repartition(int(shards), "minimizer").select("run", "doc_id", "start")
+    searched = texts_of_shards.mapInArrow(lambda batches: _shard(batches, window), "doc_id bigint, a bigint, b bigint")
+    return gone.unionByName(searched.withColumn("step", F.lit("index")))
 
 
 def kept_words(words: list, intervals: list[tuple[int, int]]) -> list:
