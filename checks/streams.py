@@ -32,6 +32,18 @@ def str1(spark, d):
     return catalogue_rows(store)
 
 
+@query("str1_page_limit", ORACLE["job5_catalog_sync"])
+def str1_pages(spark, d):
+    """Runs of an exact number of pages over files with several pages each."""
+    store = catalogue_store(spark, d)
+    path, progress = landed_pages(spark, d, 3), work_path(spark, "progress")
+    genres = genre_payload(spark, d).withColumn("_corrupt_record", F.lit(None).cast("string"))
+    most = spark.read.text(path).count() // 2 + 1
+    while ingest.ingest_landed(store, path, genres, progress, WRITTEN, max_pages=most) == most:
+        pass
+    return catalogue_rows(store)
+
+
 @query("str5_redelivered_pages", ORACLE["job5_catalog_sync"])
 def str5(spark, d):
     """Every page arrives twice; the tables are those of a single delivery."""

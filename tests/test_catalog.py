@@ -145,6 +145,59 @@ def test_ingest_resumes_after_the_last_page(spark, store):
     assert ids() == [n * 10 + k for n in range(1, 6) for k in (0, 1)]
 
 
+def land(path, name, numbers, age):
+    with open(f"{path}/{name}", "w") as out:
+        out.write("\n\n".join(json.dumps(page(n, [n * 10])) for n in numbers) + "\n")
+    os.utime(f"{path}/{name}", (1_700_000_000 + age, 1_700_000_000 + age))
+
+
+@pytest.mark.parametrize("per_batch", [1, 2, 100])
+def test_a_run_takes_exactly_its_pages(spark, store, per_batch):
+    """Files hold several pages, blank lines or none; the limit falls inside files; one lands late with an old date."""
+    path, progress = work_path(spark, "landed"), work_path(spark, "progress")
+    os.makedirs(path)
+    land(path, "a b.json", [1, 2, 3], 1)
+    land(path, "empty.json", [], 2)
+    land(path, "c.json", [4, 5, 6, 7], 3)
+
+    def run(most=2):
+        return ingest.ingest_landed(store, path, genres(spark), progress, NOW, max_pages=most, pages_per_batch=per_batch)
+
+    def ids():
+        return sorted(r.tmdb_id for r in store.read("movies").collect())
+
+    assert run() == 2 and ids() == [10, 20]
+    assert run() == 2 and ids() == [10, 20, 30, 40]
+    land(path, "old.json", [8], 0)
+    assert run(1) == 1 and ids() == [10, 20, 30, 40, 80]
+    assert run(0) == 3 and ids() == [10 * n for n in range(1, 9)]
+    assert run() == 0
+
+
+def test_pages_of_a_failed_batch_are_taken_again(spark, store, monkeypatch):
+    path, progress = work_path(spark, "landed"), work_path(spark, "progress")
+    os.makedirs(path)
+    land(path, "a.json", [1, 2, 3], 1)
+
+    def run():
+        return ingest.ingest_landed(store, path, genres(spark), progress, NOW, pages_per_batch=2)
+
+    save, calls = store.upsert, []
+
+    def lost(*args, **named):
+        calls.append(1)
+        if len(calls) == 2:
+            raise OSError("lost")
+        return save(*args, **named)
+
+    monkeypatch.setattr(store, "upsert", lost)
+    with pytest.raises(OSError):
+        run()
+    monkeypatch.setattr(store, "upsert", save)
+    assert run() == 1
+    assert sorted(r.tmdb_id for r in store.read("movies").collect()) == [10, 20, 30] and run() == 0
+
+
 def test_failed_batch_is_run_again(spark, store, monkeypatch):
     path, checkpoint = work_path(spark, "landed"), work_path(spark, "checkpoint")
     os.makedirs(path)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from titleflow import schemas
 from titleflow.functions.dates import Moment
@@ -13,6 +14,7 @@ from titleflow.plans.catalog_sync import catalog_sync
 from titleflow.plans.state import plan_stored
 from titleflow.sinks.store import TableStore
 from titleflow.sources.listings import parse_payloads
+from titleflow.streaming import landed
 
 _STOP = "page limit of this run reached"
 
@@ -71,6 +73,31 @@ def ingest_pages(
     return run_available(pages, checkpoint, save, max_batches)
 
 
+def ingest_landed(
+    store: TableStore, path: str, genre_payloads: DataFrame, progress: str, now: Moment, max_pages: int = 0,
+    pages_per_batch: int = 100,
+) -> int:
+    """Catalogue sync of landed pages, exactly ``max_pages`` of them (0: all) where as many are left; returns how many.
+
+    Each batch is saved, then its places are added to the folder ``progress``, so the next run goes on after the last
+    saved page and a batch that fails comes again. One run at a time works on a progress folder.
+    """
+    spark, done = store.spark, 0
+    places = landed.progress_table(spark, progress)
+    batch = (places.agg(F.max("batch")).first()[0] or 0) + 1
+    while not max_pages or done < max_pages:
+        most = min(pages_per_batch, max_pages - done) if max_pages else pages_per_batch
+        files = landed.pending_files(spark, path, landed.progress_table(spark, progress), most)
+        if not files:
+            break
+        taken = landed.take(spark, path, files, most)
+        saved = landed.reached(taken, files, most)
+        catalog_sync(store, parse_payloads(taken, schemas.LISTING_PAGE), genre_payloads, now)
+        landed.commit(spark, progress, batch, saved)
+        done, batch = done + taken.count(), batch + 1
+    return done
+
+
 def plan_stream(
     store: TableStore, arriving: DataFrame, checkpoint: str, now: Moment, output: str
 ) -> int:
