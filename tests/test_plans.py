@@ -1,6 +1,7 @@
 """The physical plans that large inputs depend on."""
 
 import datetime as dt
+import re
 
 import pytest
 
@@ -31,14 +32,43 @@ def movies(spark):
     return spark.read.schema(schemas.MOVIES).parquet(path)
 
 
+REVIEW = "movie_id string, source string, content string, score int, source_rank int, ordinal long"
+
+
 def test_copies_and_top_reviews_are_limited_before_their_exchanges(spark, plan):
-    rows = spark.createDataFrame([("m", "s", "a b c", 1, 0, 0)], "movie_id string, source string, content string, score int, source_rank int, ordinal long")
-    text = plan(reviews.prepare_reviews(rows))
+    text = plan(reviews.winners(spark.createDataFrame([("m", "s", "a b c", 1, 0, 0)], REVIEW)))
     assert text.count("Exchange hashpartitioning") == 2
     assert text.count("row_number(), 1, Partial") == 1 and text.count("row_number(), 30, Partial") == 1
     assert text.count("https?://") == 1  # every text is cleaned once
 
 
+def exchanged(frame, capsys):
+    """The input columns of every exchange in a plan."""
+    capsys.readouterr()
+    frame.explain("formatted")
+    parts = capsys.readouterr().out.split("\n\n")
+    return [p.split("Input", 1)[1].splitlines()[0] for p in parts if re.match(r"\(\d+\) Exchange", p.strip())]
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_no_exchange_carries_a_text_before_the_winners_are_known(spark, plan, capsys, monkeypatch, few):
+    """Few winners are broadcast; the texts of more meet them behind the filter of winners."""
+    if not few:
+        monkeypatch.setattr(reviews, "BROADCAST_WINNERS", 0)
+    rows = spark.createDataFrame([("m", "s", "a b c", 1, 0, 0)], REVIEW)
+    assert len(exchanged(reviews.winners(rows), capsys)) == 2
+    assert not any("content" in columns for columns in exchanged(reviews.winners(rows), capsys))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(reviews.prepare_reviews(rows))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    # one exchange drops repeated arrivals of winners, two join what passed the filter with the winners
+    assert text.count("Exchange hashpartitioning") == (1 if few else 3)
+    assert few or text.count("__bitmap") and text.index("__bitmap") > text.index("SortMergeJoin")
+
+
 def test_bounds_of_the_candidate_feed_reach_the_scan(movies, plan):
     text = plan(candidates.candidate_pool(candidates.popular_recent(movies, NOW).select("id", "popularity"), 10))
     assert "GreaterThanOrEqual(popularity,20.0)" in text and "GreaterThanOrEqual(release_date" in text

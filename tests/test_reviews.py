@@ -1,3 +1,5 @@
+import pytest
+
 from titleflow.operators import lists, reviews
 from titleflow.operators.reviews import INSTRUCTIONS, NO_REVIEWS_NOTE
 
@@ -38,6 +40,31 @@ def test_words_after_the_fifteenth_do_not_count(spark):
     assert [r.id for r in reviews.prepare_reviews(frame(spark, rows)).collect()] == ["1"]
 
 
+@pytest.mark.parametrize("few", [reviews.BROADCAST_WINNERS, 0])
+def test_texts_are_fetched_for_winners_alone(spark, monkeypatch, few):
+    """By broadcast or through the filter of winners: nulls, a hot title and repeated arrivals included."""
+    monkeypatch.setattr(reviews, "BROADCAST_WINNERS", few)
+    rows = [("hot", f"h{i}", "s", f"review number {i % 700} of many", i % 97, 0, i) for i in range(3000)]
+    rows += [(f"m{i}", f"c{i}", "s", f"one review of {i}", i, 0, 0) for i in range(400)]
+    rows += [(None, "n", "s", "words of no title", None, None, None), ("e", "x", None, None, 1, 0, 0)]
+    rows += [("twice", "t1", "s", "the same arrival once", 5, 0, 0), ("twice", "t2", "s", "the same arrival again", 5, 0, 0)]
+    rows += [("again", "a", "s", "a row that repeats", 5, 0, 0)] * 2
+    got = reviews.prepare_reviews(frame(spark, rows), 3, 30).collect()
+    hot = {}
+    for r in rows[:3000]:
+        hot.setdefault(r[3], r)
+    best = sorted(hot.values(), key=lambda r: (-r[4], r[6]))[:30]
+    assert [(r.id, r.content) for r in sorted((r for r in got if r.movie_id == "hot"), key=lambda r: r.rank)] == [(r[1], r[3]) for r in best]
+    assert sorted(r.id for r in got if r.movie_id != "hot") == sorted([f"c{i}" for i in range(400)] + ["n", "t1", "t2", "a"])
+
+
+def test_the_filter_of_winners_passes_few_others(spark):
+    rows = frame(spark, [("m", str(i), "s", "c", 1, 0, i) for i in range(20_000)])
+    kept = rows.where("ordinal % 20 = 0")
+    passed = {r.ordinal for r in reviews._maybe(rows, kept, 1000).collect()}
+    assert {i for i in range(0, 20_000, 20)} <= passed and len(passed) < 1000 + 19_000 / 16 * 1.2
+
+
 def test_counts_show_zero(spark):
     prepared = reviews.prepare_reviews(frame(spark, [("m", "1", "s", "a b c", 1, 0, 0)]))
     titles = spark.createDataFrame([("m",), ("n",)], "movie_id string")
