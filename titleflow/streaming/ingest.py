@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
@@ -81,20 +82,35 @@ def ingest_landed(
 
     Each batch is saved, then its places are added to the folder ``progress``, so the next run goes on after the last
     saved page and a batch that fails comes again. One run at a time works on a progress folder.
+
+    The first batch takes ``pages_per_batch`` pages, each later one as many as the run has saved before it. A merge
+    rewrites the buckets that it touches, so with batches of one size the cost would grow with the square of the pages.
     """
     spark, done = store.spark, 0
     places = landed.progress_table(spark, progress)
     batch = (places.agg(F.max("batch")).first()[0] or 0) + 1
+    totals, held = {}, {}
     while not max_pages or done < max_pages:
-        most = min(pages_per_batch, max_pages - done) if max_pages else pages_per_batch
-        files = landed.pending_files(spark, path, landed.progress_table(spark, progress), most)
+        most = max(pages_per_batch, done)
+        most = min(most, max_pages - done) if max_pages else most
+        files = landed.pending_files(spark, path, landed.progress_table(spark, progress), min(most, landed.FILES))
         if not files:
             break
-        taken = landed.take(spark, path, files, most)
-        saved = landed.reached(taken, files, most)
-        catalog_sync(store, parse_payloads(taken, schemas.LISTING_PAGE), genre_payloads, now)
+        totals |= landed.counted(spark, path, [f.file for f in files if f.file not in totals])
+        saved = landed.reached(totals, files, most)
+        unread = [file for file, _, _ in saved if totals[file] and file not in held]
+        if unread:
+            held |= dict.fromkeys(unread, landed.numbered(spark, path, unread))
+        taken = sum(to - f.taken for f, (_, to, _) in zip(files, saved))
+        if taken:
+            frames = {id(held[file]): held[file] for file, _, _ in saved if file in held}.values()
+            pages = landed.between(reduce(DataFrame.unionByName, frames), files, saved)
+            catalog_sync(store, parse_payloads(pages, schemas.LISTING_PAGE), genre_payloads, now)
         landed.commit(spark, progress, batch, saved)
-        done, batch = done + taken.count(), batch + 1
+        done, batch = done + taken, batch + 1
+        # of the files that were read only those with pages left are needed again
+        for file in [file for file, _, whole in saved if whole]:
+            held.pop(file, None)
     return done
 
 

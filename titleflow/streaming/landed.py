@@ -8,13 +8,16 @@ with an old date is found all the same, as what counts is not its date but that
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from titleflow.session import written
 
 PROGRESS = "batch long, file string, taken long, whole boolean"
 
+# files that one batch looks at
+FILES = 20_000
+
 
 def progress_table(spark: SparkSession, folder: str) -> DataFrame:
     """The places that finished batches have reached; none for a folder that is not there yet."""
@@ -35,33 +38,51 @@ def pending_files(spark: SparkSession, path: str, progress: DataFrame, most: int
     return left.select("file", "age", F.coalesce("taken", F.lit(0)).alias("taken")).orderBy("age", "file").limit(most).collect()
 
 
-def take(spark: SparkSession, path: str, files: list, most: int) -> DataFrame:
-    """The next ``most`` pages of these files in order, written once: ``file, n, value``, ``n`` from 1 in the file.
+def _lines(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """The lines of these files that are pages, as blank ones are not: ``file, split, value``."""
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), "value"
+    ).where(F.col("file").isin(names) & (F.trim("value") != ""))
 
-    Blank lines are no pages. A task reads a file whole, so a file must fit one.
-    """
-    order = spark.createDataFrame([(k, f.file, f.taken) for k, f in enumerate(files)], "k int, file string, taken long")
-    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value").where(
-        F.col("file").isin([f.file for f in files]))
-    lines = F.filter(F.split("value", "\r\n|\r|\n"), lambda line: F.trim(line) != "")
-    pages = texts.select("file", F.posexplode(lines).alias("n", "value")).withColumn("n", F.col("n") + F.lit(1).cast("long"))
-    # files of a batch are as many as its pages at most
-    left = pages.join(F.broadcast(order), "file").where("n > taken").orderBy("k", "n").limit(most)
-    return written(left.select("file", "n", "value"), "landed-pages")
+
+def counted(spark: SparkSession, path: str, names: list[str]) -> dict[str, int]:
+    """The number of pages of each file."""
+    rows = _lines(spark, path, names).groupBy("file").agg(F.count(F.lit(1)).alias("n")).collect() if names else []
+    return dict.fromkeys(names, 0) | {r.file: r.n for r in rows}
+
+
+def reached(totals: dict[str, int], files: list, most: int) -> list[tuple]:
+    """``(file, taken, whole)`` after the next ``most`` pages of the files in order: one row per file looked at."""
+    places = []
+    for f in files:
+        if not most:
+            break
+        to = min(f.taken + most, max(totals[f.file], f.taken))
+        places.append((f.file, to, to >= totals[f.file]))
+        most -= to - f.taken
+    return places
 
 
-def reached(taken: DataFrame, files: list, most: int) -> list[tuple]:
-    """``(file, taken, whole)`` of a batch of ``most`` pages at most: one row per file it looked at.
+def numbered(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """The pages of these files, written once: ``file, n, value``, ``n`` from 1 in the file.
 
-    With fewer pages than asked all files are at their end, else all before the one of the last page.
+    Files are read in splits. Row ids rise by one inside a split, so a page's number is its place there and the pages of the
+    file's splits before; only counts per split meet.
     """
-    found = {r.file: r for r in taken.groupBy("file").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("pages")).collect()}
-    full = sum(r.pages for r in found.values()) >= most
-    last = max((k for k, f in enumerate(files) if f.file in found), default=-1)
-    return [
-        (f.file, found[f.file].n if f.file in found else f.taken, not full or k < last)
-        for k, f in enumerate(files) if not full or k <= last
-    ]
+    lines = written(_lines(spark, path, names).withColumn("at", F.monotonically_increasing_id()), "landed-pages")
+    splits = lines.groupBy("file", "split").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("pages"))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("pages").over(earlier), F.lit(0)) + 1 - F.col("first")
+    splits = written(splits.select("file", "split", before.alias("before")), "landed-splits")
+    return lines.join(splits, ["file", "split"]).select("file", (F.col("at") + F.col("before")).alias("n"), "value")
+
+
+def between(pages: DataFrame, files: list, places: list[tuple]) -> DataFrame:
+    """The pages from where the files stood up to the new places."""
+    # a row per file of the batch, FILES at most
+    bounds = pages.sparkSession.createDataFrame(
+        [(f.file, f.taken, to) for f, (_, to, _) in zip(files, places)], "file string, taken long, to long")
+    return pages.join(F.broadcast(bounds), "file").where("n > taken AND n <= to").select("value")
 
 
 def commit(spark: SparkSession, folder: str, batch: int, places: list[tuple]) -> None:
