@@ -142,3 +142,26 @@ def test_stream_of_odd_requests(spark):
     got = {r.request_id: (r.status, r.retry_after_hours) for r in stream.decisions(spark, folder).collect()}
     assert got == {1: ("queued", None), 2: ("cooldown", 6.0), 3: ("cooldown", 5.0), 4: ("not_found", None), 5: ("cooldown", 1.0), 6: ("queued", None),
                    7: ("cooldown", 8.0), 8: ("not_found", None), 9: ("queued", None), 10: ("queued", None), 11: ("queued", None), 12: ("cooldown", 1.0)}
+
+
+def test_titles_of_a_stream_share_state_rows(spark, monkeypatch):
+    """Calls and state rows do not rise with the titles; titles of a shard, one of them null, stay apart and expire on their own."""
+    monkeypatch.setattr(stream, "SHARDS", 3)
+    requests = random_requests(11, 40, 900, 8) + [(10_000 + k, None, START + dt.timedelta(hours=k)) for k in range(20)]
+    requests.sort(key=lambda r: r[2])
+    folder = work_path(spark, "gate")
+    stream.gate_stream(arriving(spark, requests, 5), folder)
+    got = stream.decisions(spark, folder)
+    columns = ["request_id", "movie_id", "requested_at", "status", "retry_after_hours", "accepted_at"]
+    whole = gate.gate_requests(frame(spark, [r for r in requests if r[1]]), None, None)
+    assert sorted(got.filter("movie_id IS NOT NULL").select(columns).collect()) == sorted(whole.select(columns).collect())
+    nameless = {r.request_id for r in got.filter("movie_id IS NULL AND status = 'queued'").collect()}
+    assert nameless == {10_000, 10_006, 10_012, 10_018}
+    assert spark.read.format("statestore").load(f"{folder}/checkpoint").count() <= 3
+    last = {}
+    for _, title, at in requests:
+        if title not in last or at - last[title] >= SIX:
+            last[title] = at
+    newest = max(r[2] for r in requests)
+    held = {r.movie_id: r.requested_at for r in stream.open_state(spark, folder).collect()}
+    assert held == {m: at for m, at in last.items() if at + SIX + dt.timedelta(hours=stream.LATENESS_HOURS) >= newest}
