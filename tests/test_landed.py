@@ -42,6 +42,7 @@ def test_pages_of_a_file_in_splits_are_numbered_in_order(spark):
     land(path, "a.json", [line for n in range(500) for line in (f"page {n}", " ")])
     land(path, "b.json", ["one"])
     land(path, "none.json", [""])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
     try:
         names = [r.file for r in landed.pending_files(spark, path, landed.progress_table(spark, path + "-none"), 9)]
@@ -49,5 +50,5 @@ def test_pages_of_a_file_in_splits_are_numbered_in_order(spark):
         assert sorted(landed.counted(spark, path, names).values()) == [0, 1, 500]
         found = sorted((r.n, r.value) for r in pages.collect() if r.value != "one")
     finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert found == [(n + 1, f"page {n}") for n in range(500)]

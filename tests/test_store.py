@@ -213,3 +213,18 @@ def test_a_broken_pointer_is_passed_over(spark, store):
     assert set(titles(store)) == {"tmdb_1"}
     store.save_movies(batch(spark, (2, "U", 1.0, None, [])), NOW)
     assert set(titles(store)) == {"tmdb_1", "tmdb_2"}
+
+
+def test_a_batch_carries_what_is_stored_and_no_more(spark, store, monkeypatch):
+    """Rows are sorted and shuffled to find the last of each id: without other columns, blank or repeated genres."""
+    rows = batch(spark, (1, "First", 3.0, None, ["X"]), (1, "Last", 4.0, None, ["Y", "", "Y", None, "Z"]), (2, "None", 1.0, None, None))
+    seen, last_wins = [], merge.last_wins
+    monkeypatch.setattr(merge, "last_wins", lambda b, key, order: seen.append(b) or last_wins(b, key, order))
+    # the order may be a stored column
+    store.save_movies(rows.withColumn("more", F.lit("x")), NOW, order="popularity")
+    assert {i: (r.title, r.popularity) for i, r in titles(store).items()} == {"tmdb_1": ("Last", 4.0), "tmdb_2": ("None", 1.0)}
+    assert genres(store) == [("tmdb_1", "Y"), ("tmdb_1", "Z")]
+    assert not {"more", "n"} & set(seen[0].columns)
+    assert sorted(len(r.genres or []) for r in seen[0].collect()) == [0, 1, 2]
+    plan = merge.genre_rows(rows, unique=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Exchange" in merge.genre_rows(rows)._jdf.queryExecution().executedPlan().toString()

@@ -18,6 +18,8 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # a page far behind the start falls back from the driver's heap to a sort on the cluster
     "spark.sql.execution.topKSortFallbackThreshold": "100000",
+    # columns on disk grow many times as rows: a task sorts the rows of its split in memory, without a spill
+    "spark.sql.files.maxPartitionBytes": "16m",
 }
 
 

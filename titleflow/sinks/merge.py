@@ -38,21 +38,31 @@ def upsert(old: DataFrame, new: DataFrame, key: str, keep_non_null: bool = False
     ).select(*old.columns)
 
 
+_MOVIE = [
+    "id", "tmdb_id", "imdb_id", "title", "release_date", "poster_url", "overview", "popularity", "imdb_score", "rotten_tomatoes",
+]
+
+
+def movie_batch(batch: DataFrame, order: str | None = None) -> DataFrame:
+    """What is stored of titles, with their place as ``__order``: blank and repeated genres dropped from each row's list."""
+    named = F.array_distinct(F.filter("genres", lambda genre: genre != ""))
+    return batch.select(*_MOVIE, named.alias("genres"), *([F.col(order).alias("__order")] if order is not None else []))
+
+
 def movie_rows(batch: DataFrame, now: Moment) -> DataFrame:
     """Movie rows as stored: the write time is the last update."""
-    return batch.select(
-        "id", "tmdb_id", "imdb_id", "title", "release_date", "poster_url", "overview",
-        "popularity", "imdb_score", "rotten_tomatoes",
-    ).withColumn("last_updated", dates.moment(now))
+    return batch.select(*_MOVIE).withColumn("last_updated", dates.moment(now))
 
 
-def genre_rows(batch: DataFrame) -> DataFrame:
-    """Genre rows of titles: blank names dropped, each pair once."""
-    return (
-        batch.select(F.col("id").alias("movie_id"), F.explode("genres").alias("genre"))
+def genre_rows(batch: DataFrame, unique: bool = False) -> DataFrame:
+    """Genre rows of titles: blank names dropped, each pair once. ``unique``: no id comes twice, so pairs do not meet
+    across rows and are not shuffled."""
+    genres = F.array_distinct("genres") if unique else F.col("genres")
+    rows = (
+        batch.select(F.col("id").alias("movie_id"), F.explode(genres).alias("genre"))
         .filter(F.col("genre") != "")
-        .dropDuplicates(["movie_id", "genre"])
     )
+    return rows if unique else rows.dropDuplicates(["movie_id", "genre"])
 
 
 def replace_children(old: DataFrame, touched: DataFrame, new: DataFrame) -> DataFrame:

@@ -173,12 +173,14 @@ class TableStore:
 
     def save_movies(self, batch: DataFrame, now: Moment, order: str | None = None) -> None:
         """Upsert titles with their ``genres``; with ``order`` the last row of an id wins."""
+        # only stored columns and distinct genres are sorted, shuffled and written
+        narrow = merge.movie_batch(batch, order)
         if order is not None:
-            batch = merge.last_wins(batch, "id", order)
-        batch = written(batch, "movie-batch")
+            narrow = merge.last_wins(narrow, "id", "__order").drop("__order")
+        batch = written(narrow, "movie-batch")
         parents = batch.select(F.col("id").alias("movie_id"))
         touched = self.touched(batch, "id")
-        self.replace_children("movie_genres", parents, merge.genre_rows(batch), touched)
+        self.replace_children("movie_genres", parents, merge.genre_rows(batch, unique=order is not None), touched)
         self.upsert("movies", merge.movie_rows(batch, now), touched=touched)
 
     def save_summaries(self, saved: DataFrame, now: Moment) -> None:
